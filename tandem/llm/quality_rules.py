@@ -37,7 +37,7 @@ COVER = 0.75
 STEPS = 3
 LEAST = 50
 #: Thousandths; the names of the statistics and the spread that each is granted at least.
-STATS = {"length": 80, "symbols": 350, "repeated": 600, "lines": 600}
+STATS = {"length": 80, "symbols": 350, "repeated": 1200, "lines": 1200}
 #: Rows within this quantile of the chi-squared law are kept.
 KEEP = 0.9999
 #: Bins for each doubling of 1 + squared distance.
