@@ -45,6 +45,17 @@ def settle(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of ids that are broadcast at most.
+BROADCAST_ROWS = 1_000_000
+
+
+def join_ids(big: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Joins texts with rows of ids and flags. The ids are counted first: up to ``BROADCAST_ROWS``
+    they go to the texts, so that no text is shuffled; beyond, both sides meet by hash."""
+    ids = settle(ids)
+    return big.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, key)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bounds the rows of an Arrow batch for the operators that hand whole texts to Python."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import small_batches
+from .common import join_ids, small_batches
 
 ORDERS = 6
 BITS = 18
@@ -212,7 +212,7 @@ def train(docs: DataFrame, labels: DataFrame, hold: tuple[int, int] = HOLD, labe
     known = labels.where(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label_col).cast("int").alias("y"))
     known = known.where(fold_of(F.col("doc_id"), hold[0]) != hold[1]).withColumn("half", (F.xxhash64("doc_id").bitwiseAND(F.lit(1))).cast("int"))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = texts.join(known, "doc_id").select("text", "y", "half", "doc_id")
+    rows = join_ids(texts, known, "doc_id")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = None
@@ -250,7 +250,7 @@ def train(docs: DataFrame, labels: DataFrame, hold: tuple[int, int] = HOLD, labe
                     yield pa.RecordBatch.from_arrays([pa.array(x[:, c]) for c in range(4)] + [pa.array([int(y[j] > 0) for j in at], pa.int32())], names=["a", "b", "c", "d", "y"])
 
     chosen = known.orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(FIT_ROWS)
-    sample = texts.join(chosen, "doc_id").select("text", "y", "half").mapInArrow(describe, "a double, b double, c double, d double, y int").toArrow()
+    sample = texts.join(F.broadcast(chosen), "doc_id").select("text", "y", "half").mapInArrow(describe, "a double, b double, c double, d double, y int").toArrow()
     x = np.stack([sample.column(c).to_numpy() for c in "abcd"], axis=1)
     fit = logistic(x, sample.column("y").to_numpy().astype(np.float64))
     shared.unpersist()
