@@ -28,7 +28,7 @@ def source_files(spark: SparkSession, root: str) -> DataFrame:
     f = f.where(F.col("language").isNotNull() & (extension(F.col("path")) != "") & ~in_skipped_folder(F.col("path")))
     # try_validate_utf8 alone would drop a file with one bad byte; make_valid_utf8 marks bad bytes, which then go.
     code = F.replace(F.make_valid_utf8(F.col("content").cast("string")), F.lit("\ufffd"), F.lit(""))
-    return f.select("path", "language", code.alias("code")).where(F.trim("code") != "")
+    return f.select("path", "language", code.alias("code")).where(F.col("code").rlike(r"\S"))
 
 
 def commits(spark: SparkSession, path: str) -> DataFrame:

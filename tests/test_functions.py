@@ -1,0 +1,65 @@
+from pyspark.sql import functions as F
+
+from tandem.functions import code, diff, paths, times, vectors
+
+
+def one(spark, value, fn, kind="string"):
+    return spark.createDataFrame([(value,)], f"s {kind}").select(fn(F.col("s")).alias("x")).first()["x"]
+
+
+PLAIN = "@@ -1,3 +1,4 @@\n a\n-b\n+B\n+C\n c"
+ODD = "@@ -10,2 +10,4 @@\n x\n\n+y\n+++z\n+w"
+
+
+def test_diff(spark):
+    """SC1 SC2 Q6."""
+    both = lambda s: tuple(one(spark, s, diff.added_deleted_lines))
+    assert one(spark, PLAIN, diff.modified_lines) == [2, 3] and both(PLAIN) == ([2, 3], [2])
+    assert one(spark, ODD, diff.modified_lines) == [11, 12] and both(ODD) == ([12, 14], [])
+    assert one(spark, "+q\n@@ -1 +1 @@\n+r", diff.modified_lines) == [1] and both("+q\n@@ -1 +1 @@\n+r") == ([0, 1], [])
+    assert one(spark, None, diff.modified_lines) == [] and both("  ") == ([], [])
+
+
+def test_normalize(spark):
+    """SC5."""
+    for path, want in {"Proj/source_code/a/b.py": "a/b.py", "projects\\X\\y.c": "X/y.c", "/a/b.py": "a/b.py", "": "", None: ""}.items():
+        assert one(spark, path, paths.normalize) == want
+
+
+def test_paths(spark):
+    """SC6 SC23 FLT1-FLT3."""
+    assert [one(spark, p, paths.extension) for p in ("a.PY", ".hidden", "x.tar.gz", "a/b", "a.d/b", "..a.b")] == [".py", "", ".gz", "", "", ".b"]
+    assert [one(spark, p, paths.language) for p in ("a.h", "b.TSX", "c.cc", "d")] == ["c", "tsx", None, None]
+    assert [one(spark, p, paths.in_skipped_folder) for p in ("a/.git/x.py", "node_modules/x.js", "a/b.py", ".x.py")] == [True, True, False, False]
+    assert [one(spark, p, paths.repository_name) for p in ("https://h/u/r.git", "git@h:u/r/", "")] == ["r", "r", "cloned_repo"]
+    assert [one(spark, p, paths.stem) for p in ("a/b.c.py", ".x")] == ["b.c", ".x"]
+    assert one(spark, "a::b", paths.is_node_id) is False and one(spark, "p::::f", paths.is_node_id) is True
+    assert one(spark, "p::::f", lambda c: paths.split_node_id(c)["name"]) == "f"
+
+
+def test_times(spark):
+    """SC12 SC13 Q7."""
+    df = spark.createDataFrame([("2024-01-01T00:00:00Z", "2024-01-02T02:00:00+00:00"), ("2024-01-02T00:00:00Z", "2024-01-01T23:00:00Z"), ("x", "2024-01-01")], "a string, b string")
+    assert [r.g for r in df.select(times.day_gap(times.parse(F.col("a")), times.parse(F.col("b"))).alias("g")).collect()] == [1, -1, None]
+
+
+def test_body(spark):
+    """SC7 SC8 JN2."""
+    span = lambda a, b: one(spark, "x\ny\nz", lambda c: code.body(c, F.lit(a), F.lit(b)))
+    assert (span(1, 2), span(3, 3), span(0, 2), span(2, 4)) == ("x\ny", "z", "", "")
+    assert one(spark, "x\ny\nz", lambda c: code.line_at(c, F.lit(4))) == 3
+    assert one(spark, "line 12 here", lambda c: code.mentions_line(c, F.lit(11), F.lit(12))) is True
+    assert one(spark, "line 7", lambda c: code.mentions_line(c, F.lit(11), F.lit(12))) is False
+
+
+def test_pair_vector(spark):
+    """ML8 JN15."""
+    df = spark.createDataFrame([([1.0, 2.0], [3.0, 5.0]), ([1.0, 2.0], None)], "a array<double>, b array<double>")
+    rows = [r.v for r in df.select(vectors.pair_vector(F.col("a"), F.col("b"), F.lit(4), F.lit(0), 2).alias("v")).collect()]
+    assert rows == [[1, 2, 3, 5, 2, 3, 3, 10, 0, 0, 0, 4, 0], [0] * 8 + [0, 0, 0, 4, 0]]
+
+
+def test_structural(spark):
+    """JN17 SC17."""
+    df = spark.createDataFrame([("a/b.py", "a/b.py"), ("a/b.py", "a/c/d.py")], "p string, q string")
+    assert [r.x for r in df.select(paths.structural(F.col("p"), F.col("q")).alias("x")).collect()] == [[1, 1, 0], [0, 0, 1]]
