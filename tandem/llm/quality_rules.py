@@ -176,23 +176,18 @@ def _medians(rows: DataFrame) -> DataFrame:
 def _concentrate(rows: DataFrame, est: DataFrame, cover: float) -> DataFrame:
     """One concentration step: the mean and covariance of the nearest ``cover`` rows of each group."""
     bin_of = F.floor(BINS * F.log2(1 + F.col("d2"))).cast("long")
-    near = _distance(rows.join(est, "g")).select("g", *_X, bin_of.alias("bin"))
-    run = W.partitionBy("g").orderBy("bin").rowsBetween(W.unboundedPreceding, 0)
-    bins = near.groupBy("g", "bin").count()
-    bins = bins.withColumn("upto", F.sum("count").over(run)).withColumn("n", F.sum("count").over(W.partitionBy("g")))
-    cut = bins.where(F.col("upto") >= cover * F.col("n")).groupBy("g").agg(F.min("bin").alias("cut"), F.first("n").alias("n"))
     exact = lambda c: F.sum(c.cast("decimal(20,0)"))
-    sums = (
-        near.join(cut, "g")
-        .where("bin <= cut")
-        .groupBy("g")
-        .agg(
-            F.first("n").alias("n"),
-            F.count("*").cast("double").alias("h"),
-            *[exact(F.col(x)).cast("double").alias(f"s{i}") for i, x in enumerate(_X)],
-            *[exact(F.col(_X[i]) * F.col(_X[j])).cast("double").alias(f"p{i}{j}") for i, j in _PAIRS],
-        )
+    sums = [f"s{i}" for i in range(D)] + [f"p{i}{j}" for i, j in _PAIRS]
+    # Sums by bin, in one pass: which bins are near is settled on them, so rows meet nothing but the estimate.
+    bins = (
+        _distance(rows.join(est, "g"))
+        .groupBy("g", bin_of.alias("bin"))
+        .agg(F.count("*").alias("h"), *[exact(F.col(x)).alias(f"s{i}") for i, x in enumerate(_X)], *[exact(F.col(_X[i]) * F.col(_X[j])).alias(f"p{i}{j}") for i, j in _PAIRS])
     )
+    run = W.partitionBy("g").orderBy("bin").rowsBetween(W.unboundedPreceding, 0)
+    bins = bins.withColumn("upto", F.sum("h").over(run)).withColumn("n", F.sum("h").over(W.partitionBy("g")))
+    near = bins.where(F.col("upto") - F.col("h") < cover * F.col("n"))
+    sums = near.groupBy("g").agg(F.first("n").alias("n"), F.sum("h").cast("double").alias("h"), *[F.sum(c).cast("double").alias(c) for c in sums])
     mean = lambda i: F.col(f"s{i}") / F.col("h")
     return sums.select("g", "n", *[mean(i).alias(f"m{i}") for i in range(D)], *[(F.col(f"p{i}{j}") / F.col("h") - mean(i) * mean(j)).alias(f"c{i}{j}") for i, j in _PAIRS])
 
