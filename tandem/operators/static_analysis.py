@@ -21,9 +21,9 @@ def function_metadata(files: DataFrame, parsed: DataFrame | None = None) -> Data
     file's own array, without a join. ``seq`` orders by path and line.
     """
     p = parsed if parsed is not None else parse_files(files)
-    f = p.select("path", "language", "classes", F.explode("functions").alias("f")).select("path", "language", "classes", "f.*")
+    f = p.select("path", "classes", F.explode("functions").alias("f")).select("path", "classes", F.col("f").dropFields("class_name").alias("f")).select("path", "classes", "f.*")
     owner = F.get(F.filter("classes", lambda c: (c["start_line"] <= F.col("start_line")) & (F.col("start_line") <= c["end_line"])), F.lit(0))["name"]
-    f = f.withColumn("class_name", owner) if "class_name" not in files.columns else f
+    f = f.withColumn("class_name", owner)
     f = f.withColumn("node_id", node_id(F.col("path"), F.col("class_name"), F.col("name")))
     best = f.groupBy("node_id").agg(F.max_by(F.struct("path", "language", "name", "start_line", "end_line", "class_name", "parameters"), F.col("start_line")).alias("m")).select("node_id", "m.*")
     best = best.join(files.select("path", "code"), "path").withColumn("body_code", body(F.col("code"), F.col("start_line"), F.col("end_line"))).drop("code")
