@@ -33,7 +33,8 @@ _TAG = re.compile(
     r"|<!\[CDATA\[.*?(?:\]\]>|\Z)"
     r"|<[!?][^>]*+>"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^<>]*+)>",
+    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^<>]*+)>"
+    r"|</?[a-zA-Z][^<]*+\Z",  # cut off at the page's end
     re.S,
 )
 _ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
@@ -56,7 +57,10 @@ NAMES = frozenset(
     "commentlist disqus reply replies respond related recommended share sharing social newsletter subscribe signup login "
     "modal popup overlay widget widgets pagination pager toolbar skip masthead topbar".split()
 )
-COMMENTS = frozenset("comment comments commentlist disqus reply replies respond".split())
+#: Parts that turn a class into a remark on the layout, as in 'has-sidebar'.
+LAYOUT = frozenset("has no with without is".split())
+#: Classes of an article that is a reader's comment.
+_COMMENT = re.compile(r"(?:comments?|repl(?:y|ies))(?:[-_](?:body|item|list|content|text|\d+))?", re.I)
 
 
 def _is_boiler(name: str, attrs: str) -> bool:
@@ -78,11 +82,18 @@ def _is_boiler(name: str, attrs: str) -> bool:
         if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value.lower()):
             return True
         if key in ("class", "id"):
-            parts = {p.lower() for p in _PART.findall(value)}
-            if parts & (COMMENTS if name == "article" else NAMES):
-                return True
-            if name != "article" and "header" in parts and not parts & {"article", "post", "entry", "content"}:
-                return True
+            for token in value.split():
+                if name == "article":
+                    if _COMMENT.fullmatch(token):
+                        return True
+                    continue
+                parts = [p.lower() for p in _PART.findall(token)]
+                if not parts or LAYOUT & set(parts):
+                    continue
+                if parts[0] in NAMES or parts[-1] in NAMES:
+                    return True
+                if parts[-1] == "header" and not {"article", "post", "entry", "content"} & set(parts):
+                    return True
     return False
 
 
@@ -118,6 +129,10 @@ def _lines(page: str) -> list[tuple[str, int, bool]]:
     """(text, characters outside links, inside the article) of each block; ('', 0, False) is a gap."""
     tags = _tags(page)
     ends = _regions(tags)
+    # How many articles begin before each tag: an element that holds them all is no boilerplate, whatever its name.
+    bodies = [0]
+    for _, _, closing, name, attrs in tags:
+        bodies.append(bodies[-1] + (not closing and name in ("article", "main") and not _is_boiler(name, attrs)))
     lines: list[tuple[str, int, bool]] = []
     parts: list[str] = []
     linked = anchors = 0
@@ -166,7 +181,8 @@ def _lines(page: str) -> list[tuple[str, int, bool]]:
         if closing:
             continue
         if i >= muted_to:
-            if _is_boiler(name, attrs):
+            holds_all = bodies[-1] and ends[i] >= 0 and bodies[ends[i]] - bodies[i] == bodies[-1] and name not in ("article", "main")
+            if _is_boiler(name, attrs) and not holds_all:
                 if name == "header" and article:
                     muted_to = header_to = max(i, ends[i])
                 elif name != "head" or ends[i] >= 0:
