@@ -23,12 +23,13 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, let
+from .common import let
 
-#: Words of a text in which A-Z are lower-cased.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: The same words in a text that still has its capitals.
-_ANY_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: What stands between words of a text in which A-Z are lower-cased. Splitting at these few
+#: ranges takes a third of the time of finding all that is outside them.
+_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The two letters beyond A-Z whose lower case holds ASCII, and a letter that has none.
+_KELVIN, _DOTTED, _OTHER = "\u212a", "\u0130", "\u00df"
 
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
@@ -48,13 +49,24 @@ TEMPLATES = {
 THRESHOLD = 0.9
 
 
+def folded(text: Column) -> Column:
+    """Lower case for finding ASCII words: as if A-Z alone were lower-cased, since no other letter
+    turns into ASCII and all remain parts of words. Words outside ASCII change, but they match nothing."""
+    return F.lower(F.replace(F.replace(text, F.lit(_KELVIN), F.lit(_OTHER)), F.lit(_DOTTED), F.lit(_OTHER)))
+
+
+def pieces(text: Column) -> Column:
+    """The words of a folded text; the first and the last may be empty, as what stands beside a gap."""
+    return F.split(text, _GAP)
+
+
 def _array(words) -> Column:
     return F.array(*[F.lit(w) for w in words])
 
 
 def token_frequencies(docs: DataFrame, tokens, text_col: str = "text") -> dict[str, int]:
     """In how many documents each of ``tokens`` stands; at most ``len(tokens)`` rows reach the driver."""
-    words = F.regexp_extract_all(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(WORD), F.lit(0))
+    words = pieces(folded(F.coalesce(F.col(text_col), F.lit(""))))
     found = docs.select(F.explode(F.array_intersect(_array(sorted(tokens)), words)).alias("token")).groupBy("token").count()
     return {r["token"]: r["count"] for r in found.collect()}
 
@@ -136,22 +148,25 @@ def scan_licenses(
         )
         return F.filter(counted, lambda m: m["n"] >= m["need"])
 
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    words_of = lambda c: F.regexp_extract_all(ascii_lower(c), F.lit(WORD), F.lit(0))
-    blocks = F.filter(
-        F.transform(F.split(text, "\n"), lambda line: F.array_intersect(in_rank_order, words_of(line))),
-        lambda b: F.size(b) >= least,
-    )
-    found = F.flatten(F.transform(blocks, matches))
     nothing = F.struct(F.lit(0).cast("long").alias("n"), F.lit(None).cast("long").alias("first"), F.lit(None).cast("long").alias("last"), F.array().cast("array<string>").alias("labels"))
-    # Every base phrase holds this word, whatever its capitals.
-    may = text.rlike("(?i)(?:" + "|".join(sorted({p.split()[-1] for p in base})) + ")")
-    rows = docs.select(
-        F.col(id_col).alias("doc_id"),
-        F.regexp_count(text, F.lit(_ANY_WORD)).cast("long").alias("n_words"),
-        F.when(may, let(words_of(text), lambda w: _base_hits(w, base))).otherwise(nothing).alias("base"),
-        found.alias("found"),
-    )
+    no_match = F.array().cast("array<struct<label:string,need:int,n:int,of:int>>")
+    # The prefix filter looks at the whole text first: without any prefix word in it no block can match.
+    prefixes = {p for shape in shapes for p in shape[2]}
+
+    def blocks_of(t: Column) -> Column:
+        return F.filter(F.transform(F.split(t, "\n"), lambda line: F.array_intersect(in_rank_order, pieces(line))), lambda b: F.size(b) >= least)
+
+    def of_words(t: Column, p: Column) -> Column:
+        empty = (p[0] == "").cast("int") + ((F.size(p) > 1) & (F.element_at(p, -1) == "")).cast("int")
+        return F.struct(
+            (F.size(p) - empty).cast("long").alias("n_words"),
+            # Every base phrase ends in one of these words.
+            F.when(F.arrays_overlap(p, _array(sorted({x.split()[-1] for x in base}))), let(F.filter(p, lambda w: w != ""), lambda w: _base_hits(w, base))).otherwise(nothing).alias("base"),
+            F.when(F.arrays_overlap(p, _array(sorted(prefixes))), F.flatten(F.transform(blocks_of(t), matches))).otherwise(no_match).alias("found"),
+        )
+
+    text = folded(F.coalesce(F.col(text_col), F.lit("")))
+    rows = docs.select(F.col(id_col).alias("doc_id"), let(text, lambda t: let(pieces(t), lambda p: of_words(t, p))).alias("x")).select("doc_id", "x.*")
     joined = lambda a: F.concat_ws(",", F.array_sort(F.array_distinct(a)))
     best = F.coalesce(F.array_max(F.transform("found", lambda m: m["n"] / m["of"])), F.lit(0.0))
     return rows.select(
