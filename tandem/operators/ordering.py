@@ -32,6 +32,11 @@ def first_commits(commits: DataFrame, n: int | None, seq: str = "seq") -> DataFr
     return commits.orderBy(seq).limit(n) if n else commits
 
 
+def preview(df: DataFrame, *order: Column | str, n: int = 5) -> DataFrame:
+    """ST16: the first rows in a stated order."""
+    return df.orderBy(*order).limit(n)
+
+
 def ranks(df: DataFrame, order: Sequence[Column | str], bucket: Column, by: str = "rank", groups: Sequence[str] = ()) -> DataFrame:
     """Adds the 1-based rank in ``order`` within ``groups`` and the group's size ``n``.
 

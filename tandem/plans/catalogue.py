@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions import code as code_fn
 from ..functions import diff as diff_fn
 from ..functions import paths, times
-from ..operators import cascade, features, graph, metrics, mining, models, ordering, parse, ranges, stats
+from ..operators import cascade, features, graph, metrics, mining, models, ordering, parse, ranges, static_analysis, stats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -816,3 +816,106 @@ def train_predict(spark, d):
     model = models.train(data, maxIter=5, maxDepth=4)
     return models.predict(model, data).select("func1", "func2", "label", F.round("score", 6).alias("score"))
 
+
+# --- further operators ---------------------------------------------------------------------------------------------------
+
+
+@query(
+    f"""WITH {_SCORED}, {_CURVE}, f AS (SELECT score, tp / (tp + fp) AS p, tp / total AS r FROM curve)
+SELECT round(score, 6) AS threshold, round(p, 6) AS precision, round(r, 6) AS recall, round(2 * p * r / nullif(p + r, 0), 6) AS f1 FROM f"""
+)
+def pr_curve(spark, d):
+    """AG22: the whole curve."""
+    c = metrics.pr_curve(scored(spark, d))
+    return c.select(F.round("threshold", 6).alias("threshold"), *[F.round(x, 6).alias(x) for x in ("precision", "recall", "f1")])
+
+
+@query("SELECT page_id, len(list_filter(range(page_id % 90 + 1, page_id % 90 + 4), lambda n: contains(html, CAST(n AS VARCHAR)))) > 0 AS mentioned FROM pages")
+def diff_mentions_span(spark, d):
+    """JN2: the page is the diff's text, the span three lines."""
+    start = (F.col("page_id") % 90 + 1).cast("int")
+    return table(spark, d, "pages").select("page_id", code_fn.mentions_line(F.col("html"), start, start + 2).alias("mentioned"))
+
+
+@query(r"SELECT page_id, coalesce(nullif(regexp_extract(regexp_replace(regexp_replace(url, '/+$', ''), '\.git$', ''), '([^/:]*)$', 1), ''), 'cloned_repo') AS name FROM pages")
+def repository_names(spark, d):
+    """SC23."""
+    return table(spark, d, "pages").select("page_id", paths.repository_name(F.col("url")).alias("name"))
+
+
+@query("SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) AS seconds FROM events")
+def iso_times(spark, d):
+    """SC12: times as ISO text with 'Z', parsed again."""
+    text = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))
+    return table(spark, d, "events").select("event_id", F.unix_seconds(times.parse(text)).alias("seconds"))
+
+
+@query("SELECT l_orderkey AS commit, p_brand AS file_path, p_name AS name, p_size AS start_line, p_size + 5 AS end_line FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY ALL")
+def affected_functions(spark, d):
+    """SET7."""
+    f = touched(spark, d).join(functions(spark, d), "node")
+    f = f.select("commit", F.col("file").alias("file_path"), "name", F.col("loc").alias("start_line"), (F.col("loc") + 5).alias("end_line"))
+    return ranges.affected_functions(f)
+
+
+@query("SELECT p_partkey, p_brand || '::' || coalesce(CASE WHEN p_size > 10 THEN p_type END, '') || '::' || p_name AS node_id, true AS valid, p_name AS name, p_brand AS path FROM part")
+def node_ids(spark, d):
+    """SC9 FLT18."""
+    f = functions(spark, d).select(F.col("node").alias("p_partkey"), paths.node_id(F.col("file"), F.when(F.col("loc") > 10, F.col("class_name")), F.col("name")).alias("node_id"))
+    parts = paths.split_node_id(F.col("node_id"))
+    return f.select("p_partkey", "node_id", paths.is_node_id(F.col("node_id")).alias("valid"), parts["name"].alias("name"), parts["path"].alias("path"))
+
+
+@query(f"WITH {_TOUCHED}, n AS (SELECT node, count(*) AS n FROM touched GROUP BY 1) SELECT p_partkey AS func1, p_partkey + 1 AS func2, CAST(coalesce(a.n, 0) AS DOUBLE) AS e1, CAST(coalesce(b.n, 0) AS DOUBLE) AS e2 FROM part LEFT JOIN n a ON a.node = p_partkey LEFT JOIN n b ON b.node = p_partkey + 1")
+def evolution_features(spark, d):
+    """JN16 AG7."""
+    f = functions(spark, d)
+    v = f.select(F.col("node").alias("node_id"), F.array(F.col("loc").cast("double")).alias("features"))
+    p = features.pair_features(f.select(F.col("node").alias("func1"), (F.col("node") + 1).alias("func2")), v, 1, mining.modify_counts(touched(spark, d)))
+    return p.select("func1", "func2", F.element_at("features", -2).alias("e1"), F.element_at("features", -1).alias("e2"))
+
+
+@query(
+    f"""WITH {_LONG.replace("x AS (SELECT", "few AS (SELECT * FROM embeddings ORDER BY md5(CAST(vec_id AS VARCHAR)), vec_id LIMIT 100), all_ AS (SELECT vec_id, i - 1 AS position, CAST(embedding[i] AS DOUBLE) AS x FROM embeddings, unnest(range(1, len(embedding) + 1)) AS u(i)), x AS (SELECT", 1).replace("FROM embeddings, unnest(range(1, len(embedding) + 1)) AS u(i)), fit", "FROM few, unnest(range(1, len(embedding) + 1)) AS u(i)), fit")}
+SELECT vec_id, round(sum((all_.x - mean) / CASE WHEN std = 0 THEN 1 ELSE std END), 4) AS total FROM all_ JOIN fit USING (position) GROUP BY 1"""
+)
+def adaptive_scaler(spark, d):
+    """ML14 ST13: fitted on the first hundred in hashed order (the sample is the feature)."""
+    e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("features"))
+    s = features.adaptive_scale(e, 100, "vec_id")
+    return s.select("vec_id", F.round(F.aggregate("features", F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
+
+
+@query(f"WITH {_POS}, {_EDGES}, q AS (SELECT CAST(floor(count(*) * 2.5) AS BIGINT) // 2 AS n FROM pos), p AS (SELECT DISTINCT least(src, dst) AS func1, greatest(src, dst) AS func2 FROM edges WHERE src <> dst), h AS (SELECT func1, func2, row_number() OVER (ORDER BY {_KEY}, func1, func2) AS r FROM p ANTI JOIN pos USING (func1, func2)) SELECT func1, func2 FROM h, q WHERE r <= n")
+def negatives_quota(spark, d):
+    """ML17 ST5 ST9: hard negatives up to half of the quota."""
+    pos = _positives(spark, d)
+    half = ordering.quota(pos.count(), 2.5)[1]
+    return graph.first_by_key(graph.hard_negatives(call_edges(spark, d), pos), half)
+
+
+@query("SELECT CASE regexp_extract(p_name, '^[^ ]*') WHEN '' THEN 'other' ELSE regexp_extract(p_name, '^[^ ]*') END AS language, count(*) AS n FROM part GROUP BY 1")
+def by_language(spark, d):
+    """AG6: functions by language; the name's first word stands for it."""
+    return stats.by_language(functions(spark, d).select(F.regexp_extract("name", "^[^ ]*", 0).alias("language")))
+
+
+@query()
+def commit_details(spark, d):
+    """SC4 FLT6 FLT7: inline commits with missing paths and empty diffs."""
+    files = "array<struct<filename:string,new_path:string,diff:string>>"
+    rows = [("c1", "2024-01-01T00:00:00Z", ("A",), [("a.py", "", _DIFFS[0]), ("", None, _DIFFS[0]), ("b.py", "x/b.py", _DIFFS[1])]), ("c2", None, None, [("c.py", None, "")])]
+    c = spark.createDataFrame(rows, f"hash string, committer_date string, author struct<name:string>, files_modified {files}")
+    return static_analysis.commit_details(c)
+
+
+@query()
+def negative_samples(spark, d):
+    """ML17: the quota filled with hard and same-file negatives."""
+    return graph.negatives(_positives(spark, d), functions(spark, d), call_edges(spark, d), ["file"])
+
+
+@query()
+def static_samples(spark, d):
+    """ML18."""
+    return graph.static_samples(functions(spark, d), call_edges(spark, d), ["file"])
