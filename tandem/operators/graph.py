@@ -2,26 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .ordering import SEED, canonical, pair_key
+from .state import settle
 
 PAIR = ["func1", "func2"]
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Cuts the lineage of an iteration by a table below ``spark.checkpoint.dir`` (a temporary folder where that is unset)."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.gettempdir()
-    path = f"{base.rstrip('/')}/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def build(calls: DataFrame) -> DataFrame:
     """GR1: (src, dst, call_line) of each edge; the first call's line is kept."""
     return calls.where("src is not null and dst is not null").groupBy("src", "dst").agg(F.min("call_line").alias("call_line"))

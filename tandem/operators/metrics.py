@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .ordering import ranks
+from .state import settle
 
 
 def _bucket(score: Column) -> Column:
@@ -24,7 +25,7 @@ def _bucket(score: Column) -> Column:
 def by_score(df: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
     """(score, tp, fp, n_pos, n_neg): counts at or above each distinct score, and the score's own."""
     d = df.groupBy(F.col(score).alias("score")).agg(F.count_if(F.col(label) == 1).alias("n_pos"), F.count_if(F.col(label) != 1).alias("n_neg"))
-    d = d.withColumn("_b", _bucket(F.col("score")))
+    d = settle(d.withColumn("_b", _bucket(F.col("score"))))  # scores may come from a model: they are computed once
     sums = d.groupBy("_b").agg(F.sum("n_pos").alias("_p"), F.sum("n_neg").alias("_n"))
     before = W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
     sums = sums.select("_b", F.coalesce(F.sum("_p").over(before), F.lit(0)).alias("_p"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n"))

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .state import settle
+
 SEED = 42
 
 
@@ -42,12 +44,13 @@ def ranks(df: DataFrame, order: Sequence[Column | str], bucket: Column, by: str
 
     ``bucket`` is a value that never falls along the order, such as the order key's first
     characters. Rows are ranked inside their bucket, and the sizes of the buckets before are
-    added, so no single task sees all rows; only the bucket sizes are summed in one place.
+    added, so no single task sees all rows; only the bucket sizes are summed in one place. The
+    rows are read twice, so they are settled first: what makes them may be costly.
     """
-    rows = df.withColumn("_bucket", bucket)
-    rows = rows.withColumn("_local", F.row_number().over(W.partitionBy(*groups, "_bucket").orderBy(*order)))
+    df = settle(df.withColumn("_bucket", bucket))
+    rows = df.withColumn("_local", F.row_number().over(W.partitionBy(*groups, "_bucket").orderBy(*order)))
     before = W.partitionBy(*groups).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    sizes = df.withColumn("_bucket", bucket).groupBy(*groups, "_bucket").agg(F.count("*").alias("_n"))
+    sizes = df.groupBy(*groups, "_bucket").agg(F.count("*").alias("_n"))
     sizes = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).withColumn("n", F.sum("_n").over(W.partitionBy(*groups)))
     out = rows.join(sizes.drop("_n"), [*groups, "_bucket"])
     return out.withColumn(by, F.col("_before") + F.col("_local")).drop("_bucket", "_local", "_before")

@@ -1,39 +1,53 @@
 """Lines to functions and classes (JN1-JN5, WN3).
 
-Every join has an equality key (the file, with the commit where there is one), so
-the interval is a residual of a hash-partitioned join, never a product.
+Every join has equality keys: the file, with the commit where there is one, and the stretch of
+lines. The interval is a residual of a hash-partitioned join, never a product, and a file with
+many functions compares a line only with those of its stretch.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Lines in a stretch. Spans are posted under each stretch that they touch, lines under their own.
+STRETCH = 64
+
+
+def _posted(spans: DataFrame, low: Column, high: Column) -> DataFrame:
+    first, last = F.floor(low / STRETCH), F.floor(high / STRETCH)
+    return spans.withColumn("_s", F.explode(F.when(last >= first, F.sequence(first, last))))
+
+
+def _meet(lines: DataFrame, spans: DataFrame, keys: Sequence[str], inside: Column) -> Column:
+    on = (lines["_s"] == spans["_s"]) & inside
+    for k in keys:
+        on = on & (lines[k] == spans[k])
+    return on
+
+
 def first_enclosing(lines: DataFrame, spans: DataFrame, keys: Sequence[str], line: str = "line", how: str = "left") -> DataFrame:
     """JN1, JN4, JN5: each row of ``lines`` with the first span (lowest ``seq``) of the same keys whose
-    start_line..end_line holds it; the outermost wins. The first is taken by an aggregation that
-    combines before the shuffle, not by sorting a file's matches."""
+    start_line..end_line holds it; the outermost wins. The first is taken by an aggregation on the join's
+    own partitions, not by sorting a file's matches."""
     rest = [c for c in spans.columns if c not in keys]
-    s = spans.select(*keys, F.struct("seq", *[c for c in rest if c != "seq"]).alias("span"))
+    s = _posted(spans, F.col("start_line"), F.col("end_line")).select(*keys, "_s", F.struct("seq", *[c for c in rest if c != "seq"]).alias("span"))
+    at = lines.withColumn("_s", F.floor(F.col(line) / STRETCH))
     inside = (F.col(line) >= F.col("span.start_line")) & (F.col(line) <= F.col("span.end_line"))
-    on = [lines[k] == s[k] for k in keys]
-    cond = on[0]
-    for c in on[1:]:
-        cond = cond & c
-    joined = lines.join(s, cond & inside, how).select(*[lines[c] for c in lines.columns], "span")
+    joined = at.join(s, _meet(at, s, keys, inside), how).select(*[at[c] for c in lines.columns], "span")
     return joined.groupBy(*lines.columns).agg(F.min("span").alias("span"))
 
 
 def enclosing_band(lines: DataFrame, spans: DataFrame, keys: Sequence[str], band: int = 1, line: str = "line") -> DataFrame:
     """JN3: for each span its lines within start-band..end+band, sorted and distinct."""
-    rest = [c for c in spans.columns if c not in keys]
-    joined = spans.join(lines.select(*keys, F.col(line).alias("_line")), list(keys)).where(
-        (F.col("_line") >= F.col("start_line") - band) & (F.col("_line") <= F.col("end_line") + band)
-    )
-    return joined.groupBy(*keys, *rest).agg(F.sort_array(F.collect_set("_line")).alias("lines"))
+    low, high = F.col("start_line") - band, F.col("end_line") + band
+    s = _posted(spans, low, high)
+    at = lines.select(*keys, F.col(line).alias("_line"), F.floor(F.col(line) / STRETCH).alias("_s"))
+    joined = s.join(at, _meet(at, s, keys, (F.col("_line") >= low) & (F.col("_line") <= high)))
+    return joined.select(*[s[c] for c in spans.columns], "_line").groupBy(*spans.columns).agg(F.sort_array(F.collect_set("_line")).alias("lines"))
 
 
 def affected_functions(functions: DataFrame) -> DataFrame:
