@@ -47,3 +47,13 @@ def test_study(spark, tmp_path):
         spark.createDataFrame([("c", "a.py", [(1, 2, "f"), (1, 9, "g")])], "commit string, path string, functions array<struct<start_line:int,end_line:int,name:string>>"),
     )
     assert {(r.function, tuple(r.lines)) for r in mod.collect()} == {("f", (2,)), ("g", (3, 9))}
+
+
+def test_command_line():
+    from tandem.__main__ import _parser
+
+    a = _parser().parse_args(["labels", "--project", "p", "--mode", "static"])
+    assert (a.phase, a.mode, a.min_cochange, a.negative_ratio, a.projects_dir) == ("labels", "static", 3, 2.5, "./projects")
+    assert _parser().parse_args(["predict", "--project", "p", "--model-path", "m"]).threshold == 0.7
+    with pytest.raises(SystemExit):
+        _parser().parse_args(["labels", "--project", "p", "--mode", "other"])
