@@ -49,11 +49,11 @@ def settle(df: DataFrame) -> DataFrame:
 BROADCAST_ROWS = 1_000_000
 
 
-def join_ids(big: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """Joins texts with rows of ids and flags. The ids are counted first: up to ``BROADCAST_ROWS``
-    they go to the texts, so that no text is shuffled; beyond, both sides meet by hash."""
+def join_ids(big: DataFrame, ids: DataFrame, key: str | list[str], how: str = "inner") -> DataFrame:
+    """Joins texts or other large rows with few rows of ids and flags. The ids are counted first: up to
+    ``BROADCAST_ROWS`` they go to the large side, which is not shuffled; beyond, both sides meet by hash."""
     ids = settle(ids)
-    return big.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, key)
+    return big.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, key, how)
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -12,7 +12,11 @@ pairs with fewer than the guaranteed 5 go, the rest are verified bit by bit. A p
 under several triples counts once, under the first triple that it shares.
 
 Exact copies have one fingerprint and enter as one node, so groups of copies cost
-nothing. Components come from alternating star contractions over tables in the
+nothing. A group of near copies is a ball of many fingerprints around the text they come from;
+its pairs would grow with the square of its size. A posting list of more than ``HEAVY`` fingerprints
+therefore has a centre, the one with the most rows. What is within 3 bits of the centre is tied to
+it, and so to each other; only pairs with a side further away are still compared. The components
+are the same as with all pairs. They come from alternating star contractions over tables in the
 shared folder; nothing but counts reaches the driver.
 
 Edge cases: null and empty texts have fingerprint zero and are linked like any other;
@@ -32,12 +36,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, small_batches
+from .common import join_ids, settle, small_batches
 
 MAX_BITS = 3
 SHINGLE = 3
 SEED = 42
 BYTES = 8
+#: Fingerprints in a posting list whose pairs are all compared.
+HEAVY = 64
 #: Bytes that a pair within MAX_BITS shares at least.
 MIN_SHARED = BYTES - MAX_BITS
 TRIPLES = [t for half in (range(4), range(4, 8)) for t in combinations(half, 3)]
@@ -70,16 +76,18 @@ def fingerprint(text: str | None, size: int = SHINGLE) -> int:
     return out
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint's 64 bits as a signed long."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry_col: str | None = None) -> DataFrame:
+    """(doc_id, fp, carry): fp is the fingerprint's 64 bits as a signed long; carry is a column taken along as text, null without one."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([fingerprint(x) for x in batch.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64()), batch.column(2)], names=["doc_id", "fp", "carry"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    carry = F.col(carry_col) if carry_col else F.lit(None)
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), carry.cast("string").alias("carry"))
+    return source.mapInArrow(run, "doc_id long, fp long, carry string")
 
 
 def _octet(fp: Column, k: int) -> Column:
@@ -91,29 +99,54 @@ def _triple_mask(t: tuple[int, ...]) -> int:
     return mask - (1 << 64) if mask >= 1 << 63 else mask
 
 
-def links(nodes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """(a, b), a < b: every pair of distinct fingerprints in ``nodes.fp`` within ``max_bits`` (3 at most)."""
+def _posted(nodes: DataFrame) -> DataFrame:
+    entries = F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(_triple_mask(t))).alias("v")) for i, t in enumerate(TRIPLES)])
+    return nodes.select("fp", "n", F.explode(entries).alias("e")).select("fp", "n", "e.t", "e.v")
+
+
+def _apart(a: Column, b: Column) -> Column:
+    return F.bit_count(a.bitwiseXOR(b))
+
+
+def _shared(x: Column) -> Column:
+    """The tally of shared positional bytes of two fingerprints with difference x."""
+    return sum((F.when(_octet(x, k) == 0, 1).otherwise(0) for k in range(BYTES)), F.lit(0))
+
+
+def _check(max_bits: int) -> None:
     if not 0 <= max_bits <= MAX_BITS:
         raise ValueError("the index guarantees pairs of up to 3 differing bits")
-    entries = F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(_triple_mask(t))).alias("v")) for i, t in enumerate(TRIPLES)])
-    posted = nodes.select("fp", F.explode(entries).alias("e")).select("fp", "e.t", "e.v")
+
+
+def links(nodes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """(a, b), a < b: every pair of distinct fingerprints in ``nodes.fp`` within ``max_bits`` (3 at most)."""
+    _check(max_bits)
+    posted = _posted(nodes.select("fp", F.lit(1).alias("n")))
     a, b = posted.alias("a"), posted.alias("b")
     x = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
-    shared = sum((F.when(_octet(x, k) == 0, 1).otherwise(0) for k in range(BYTES)), F.lit(0))
     first = F.lit(len(TRIPLES))
     for i, t in reversed(list(enumerate(TRIPLES))):
         first = F.when(x.bitwiseAND(F.lit(_triple_mask(t))) == 0, i).otherwise(first)
-    on = (
-        (F.col("a.t") == F.col("b.t"))
-        & (F.col("a.v") == F.col("b.v"))
-        & (F.col("a.fp") < F.col("b.fp"))
-        & (F.bit_count(x) <= max_bits)
-        & (shared >= MIN_SHARED)
-        & (F.col("a.t") == first)
-    )
+    on = (F.col("a.t") == F.col("b.t")) & (F.col("a.v") == F.col("b.v")) & (F.col("a.fp") < F.col("b.fp"))
+    on = on & (_shared(x) >= MIN_SHARED) & (F.bit_count(x) <= max_bits) & (F.col("a.t") == first)
     return a.join(b, on).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
 
 
+def spanning_links(nodes: DataFrame, max_bits: int = MAX_BITS, heavy: int = HEAVY) -> DataFrame:
+    """(a, b): links that connect what :func:`links` connects, with few of a ball's pairs. ``nodes`` has (fp, n), n its rows."""
+    _check(max_bits)
+    posted = _posted(nodes)
+    centres = posted.groupBy("t", "v").agg(F.max_by("fp", "n").alias("c"), F.count("*").alias("_size")).where(F.col("_size") > heavy).select("t", "v", "c")
+    posted = join_ids(posted, centres, ["t", "v"], "left").select("fp", "t", "v", "c", F.coalesce(_apart(F.col("fp"), F.col("c")) <= max_bits, F.lit(False)).alias("near"))
+    tied = posted.where(F.col("near") & (F.col("fp") != F.col("c"))).select(F.col("fp").alias("a"), F.col("c").alias("b"))
+    a, b = posted.where(~F.col("near")).alias("a"), posted.alias("b")
+    x = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
+    on = (F.col("a.t") == F.col("b.t")) & (F.col("a.v") == F.col("b.v")) & (F.col("b.near") | (F.col("a.fp") < F.col("b.fp")))
+    on = on & (_shared(x) >= MIN_SHARED) & (F.bit_count(x) <= max_bits)
+    far = a.join(b, on).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
+    return tied.unionByName(far)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node that has an edge (a, b); root is its component's smallest node."""
     edges = settle(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
@@ -137,13 +170,12 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
-    """(doc_id, fingerprint, component_id) of every row; see the module's notes."""
-    rows = settle(fingerprints(docs, id_col, text_col))
-    nodes = settle(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(links(nodes, max_bits))
-    known = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    known = settle(known)
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS, carry_col: str | None = None) -> DataFrame:
+    """(doc_id, fingerprint, component_id[, carry]) of every row; see the module's notes."""
+    rows = settle(fingerprints(docs, id_col, text_col, carry_col))
+    nodes = settle(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
+    roots = components(spanning_links(nodes.select("fp", "n"), max_bits))
+    known = settle(nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
     best = known.groupBy("root").agg(F.min("least").alias("component_id"))
     named = known.join(best, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", *(["carry"] if carry_col else []))

@@ -263,8 +263,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, hold: tuple[int, int] = H
     return scored.withColumn("_held_out", F.coalesce(fold_of(F.col(id_col), hold[0]) == hold[1], F.lit(False))).withColumn("_predicted", (F.col("_score") >= cut).cast("int"))
 
 
-def add_score(docs: DataFrame, scorer: Scorer, text_col: str = "text") -> DataFrame:
-    """``docs`` with the column ``_score``; rows pass through one Arrow map."""
+def add_score(docs: DataFrame, scorer: Scorer, text_col: str = "text", name: str = "_score") -> DataFrame:
+    """``docs`` with the score as column ``name``, which they must not have yet; rows pass through one Arrow map."""
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(scorer)
@@ -275,8 +275,8 @@ def add_score(docs: DataFrame, scorer: Scorer, text_col: str = "text") -> DataFr
         memo: dict[bytes, float] = {}
         for batch in batches:
             score = shared.value(batch.column(at).to_pylist(), memo)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.round(score, 6))], names=[*names, "_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.round(score, 6))], names=[*names, name])
 
-    schema = StructType([*docs.schema.fields, StructField("_score", DoubleType())])
+    schema = StructType([*docs.schema.fields, StructField(name, DoubleType())])
     return docs.mapInArrow(run, schema)
 

@@ -158,10 +158,10 @@ def test_links_and_components(spark):
             break
     roots = {f: root[f] for ab in want for f in ab}
     assert {x.node: x.root for x in simhash.components(found).collect()} == roots
-    few = simhash.spanning_links(nodes.withColumn("n", F.abs(F.hash("fp")) % 5))
+    few = simhash.spanning_links(nodes.withColumn("n", F.abs(F.hash("fp")) % 5), heavy=1)
     assert {x.node: x.root for x in simhash.components(few).collect()} == roots
     ball = [1 << i | 1 << j for i in range(32) for j in range(32)]
-    few = simhash.spanning_links(spark.createDataFrame([(0, 9)] + [(f, 1) for f in set(ball)], "fp long, n int")).distinct()
+    few = simhash.spanning_links(spark.createDataFrame([(0, 9)] + [(f, 1) for f in set(ball)], "fp long, n int"), heavy=1).distinct()
     assert few.count() < 3 * len(set(ball)) and simhash.components(few).select("root").distinct().count() == 1
 
 
