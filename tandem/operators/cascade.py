@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import basename, import_file, stem
 from ..functions.vectors import cosine
+from .state import settle
 
 
 def best_match(rows: DataFrame, key: str, rules: Sequence[DataFrame]) -> DataFrame:
@@ -31,6 +32,11 @@ def last_by(functions: DataFrame, keys: Sequence[str]) -> DataFrame:
     return functions.groupBy(*keys).agg(F.max_by("node_id", "seq").alias("node_id"), F.max("seq").alias("seq"))
 
 
+def first_by(functions: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The earliest function of each combination of keys: what a first-match lookup by these keys can return."""
+    return functions.groupBy(*keys).agg(F.min_by("node_id", "seq").alias("node_id"), F.min("seq").alias("seq"))
+
+
 def only_one(functions: DataFrame, name: str = "name") -> DataFrame:
     """Names that a single function has."""
     return functions.groupBy(name).agg(F.count("*").alias("_n"), F.min("node_id").alias("node_id"), F.min("seq").alias("seq")).where("_n = 1").drop("_n")
@@ -42,17 +48,18 @@ def match_historical(hist: DataFrame, functions: DataFrame, key: str = "hist_id"
     Rules: 1 path, class and name (class known); 2 path and name; 3 the current path ends with the
     historical one, same name; 4 base name and name; 5 a name that only one function has.
     """
+    hist = settle(hist)  # every rule reads it
     h = hist.select(key, "path", "class_name", "name")
     f = functions.select("node_id", "path", "class_name", "name", "seq")
     known = lambda df: df.where("class_name is not null and class_name <> ''")
     current = F.col("f.path")
-    suffix = h.alias("h").join(f.alias("f"), (F.col("h.name") == F.col("f.name")) & current.endswith(F.col("h.path")))
+    suffix = h.alias("h").join(first_by(f, ["path", "name"]).alias("f"), (F.col("h.name") == F.col("f.name")) & current.endswith(F.col("h.path")))
     based = lambda df: df.withColumn("base", basename(F.col("path")))
     rules = [
         known(h).join(last_by(known(f), ["path", "class_name", "name"]), ["path", "class_name", "name"]),
         h.join(last_by(f, ["path", "name"]), ["path", "name"]),
         suffix.select(key, "node_id", "seq"),
-        based(h).join(based(f).groupBy("base", "name").agg(F.min_by("node_id", "seq").alias("node_id"), F.min("seq").alias("seq")), ["base", "name"]),
+        based(h).join(first_by(based(f), ["base", "name"]), ["base", "name"]),
         h.join(only_one(f), "name"),
     ]
     return best_match(hist, key, rules)
@@ -81,6 +88,7 @@ def resolve_callees(calls: DataFrame, functions: DataFrame, imports: DataFrame,
     A plain call tries 4 its own file, 5 the imports, 6 a name that only one function has, 7 a file of
     the same stem, 8 the first function of that name.
     """
+    calls = settle(calls)  # every rule reads them
     c = calls.withColumn("receiver", F.regexp_extract("called", r"^(.*)\.[^.]*$", 1)).withColumn("method", F.element_at(F.split("called", r"\."), -1))
     dotted, plain = c.where(F.col("receiver") != ""), c.where(F.col("receiver") == "")
     f = functions.select("node_id", "path", "class_name", "name", "seq")
@@ -88,19 +96,23 @@ def resolve_callees(calls: DataFrame, functions: DataFrame, imports: DataFrame,
 
     def imported(df: DataFrame, alias: str) -> DataFrame:
         i = imports.select(F.col("path").alias("_p"), F.col("alias").alias("_a"), "target")
-        j = df.join(i, (F.col("path") == F.col("_p")) & (F.col(alias) == F.col("_a"))).select(key, "method", "target").alias("j")
-        return j.join(f.alias("f"), (F.col("j.method") == F.col("f.name")) & F.contains(F.col("f.path"), import_file(F.col("j.target")))).select(key, "node_id", "seq")
+        j = df.join(i, (F.col("path") == F.col("_p")) & (F.col(alias) == F.col("_a"))).select(key, "method", "target")
+        # The names of one import are looked up once, not for each call: the path test is no equality.
+        asked = j.select("method", "target").distinct().alias("j")
+        hit = asked.join(first_by(f, ["path", "name"]).alias("f"), (F.col("j.method") == F.col("f.name")) & F.contains(F.col("f.path"), import_file(F.col("j.target"))))
+        best = hit.groupBy("method", "target").agg(F.min_by("node_id", "seq").alias("node_id"), F.min("seq").alias("seq"))
+        return j.join(best, ["method", "target"]).select(key, "node_id", "seq")
 
     own = f.where("class_name is not null")
     rules = [
-        by_name(dotted.where("class_name is not null")).join(own, ["path", "class_name", "name"]),
+        by_name(dotted.where("class_name is not null")).join(first_by(own, ["path", "class_name", "name"]), ["path", "class_name", "name"]),
         imported(dotted, "receiver"),
-        by_name(dotted.drop("class_name")).join(f, ["path", "name"]),
-        by_name(plain.drop("class_name")).join(f, ["path", "name"]),
+        by_name(dotted.drop("class_name")).join(first_by(f, ["path", "name"]), ["path", "name"]),
+        by_name(plain.drop("class_name")).join(first_by(f, ["path", "name"]), ["path", "name"]),
         imported(plain, "method"),
         by_name(plain.drop("class_name")).join(only_one(f), "name"),
-        by_name(plain.drop("class_name")).withColumn("st", stem(F.col("path"))).drop("path").join(f.withColumn("st", stem(F.col("path"))).drop("path"), ["st", "name"]),
-        by_name(plain.drop("class_name", "path")).join(f.groupBy("name").agg(F.min_by("node_id", "seq").alias("node_id"), F.min("seq").alias("seq")), "name"),
+        by_name(plain.drop("class_name")).withColumn("st", stem(F.col("path"))).drop("path").join(first_by(f.withColumn("st", stem(F.col("path"))), ["st", "name"]), ["st", "name"]),
+        by_name(plain.drop("class_name", "path")).join(first_by(f, ["name"]), "name"),
     ]
     return best_match(calls, key, [r.select(key, "node_id", "seq") for r in rules])
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 
 #: Lines in a stretch. Spans are posted under each stretch that they touch, lines under their own.
-STRETCH = 64
+STRETCH = 16
 
 
 def _posted(spans: DataFrame, low: Column, high: Column) -> DataFrame:
@@ -32,7 +32,10 @@ def _meet(lines: DataFrame, spans: DataFrame, keys: Sequence[str], inside: Colum
 def first_enclosing(lines: DataFrame, spans: DataFrame, keys: Sequence[str], line: str = "line", how: str = "left") -> DataFrame:
     """JN1, JN4, JN5: each row of ``lines`` with the first span (lowest ``seq``) of the same keys whose
     start_line..end_line holds it; the outermost wins. The first is taken by an aggregation on the join's
-    own partitions, not by sorting a file's matches."""
+    own partitions, not by sorting a file's matches. Lines that come with further columns are looked up once each."""
+    if set(lines.columns) > {*keys, line}:
+        once = first_enclosing(lines.select(*keys, line).distinct(), spans, keys, line, how)
+        return lines.join(once, [*keys, line], how).select(*[lines[c] for c in lines.columns], "span")
     rest = [c for c in spans.columns if c not in keys]
     s = _posted(spans, F.col("start_line"), F.col("end_line")).select(*keys, "_s", F.struct("seq", *[c for c in rest if c != "seq"]).alias("span"))
     at = lines.withColumn("_s", F.floor(F.col(line) / STRETCH))
