@@ -32,9 +32,8 @@ def tfidf(counts: DataFrame, terms: DataFrame, n: DataFrame, key: str = "id") ->
 
     The vocabulary has a fixed size, so it is broadcast; the length of a text's vector comes from a window on its key.
     """
-    t = counts.join(F.broadcast(terms.select("term", "df", "position")), "term").crossJoin(F.broadcast(n))
-    raw = F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)
-    t = t.withColumn("raw", raw)
+    t = counts.join(F.broadcast(terms.select("term", "df", "position")), "term")
+    t = t.withColumn("raw", F.col("tf") * (F.log((1 + n.scalar()) / (1 + F.col("df"))) + 1))
     return t.select(key, "term", "position", (F.col("raw") / F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(W.partitionBy(key)))).alias("weight"))
 
 
@@ -86,10 +85,10 @@ def fit_scaler(df: DataFrame, vector: str = "features") -> DataFrame:
 
 
 def scale(df: DataFrame, scaler: DataFrame, vector: str = "features") -> DataFrame:
-    """ML10: the scaler's rows, as many as dimensions, become two arrays that are broadcast."""
+    """ML10: the scaler's rows, as many as dimensions, become two arrays in a scalar subquery."""
     packed = scaler.agg(F.sort_array(F.collect_list(F.struct("position", "mean", "std"))).alias("s"))
-    arrays = packed.select(F.transform("s", lambda x: x["mean"]).alias("_m"), F.transform("s", lambda x: x["std"]).alias("_s"))
-    return df.crossJoin(F.broadcast(arrays)).withColumn(vector, standardize(F.col(vector), F.col("_m"), F.col("_s"))).drop("_m", "_s")
+    arrays = packed.select(F.struct(F.transform("s", lambda x: x["mean"]).alias("mean"), F.transform("s", lambda x: x["std"]).alias("std"))).scalar()
+    return df.withColumn("_fit", arrays).withColumn(vector, standardize(F.col(vector), F.col("_fit.mean"), F.col("_fit.std"))).drop("_fit")
 
 
 def adaptive_scale(df: DataFrame, sample: int | None = 5000, key: str = "id", vector: str = "features") -> DataFrame:

@@ -100,10 +100,10 @@ def pagerank(edges: DataFrame, nodes: DataFrame, iterations: int = 10, damping:
     n = base.count()
     rank = base.select("node", "_out", F.lit(1.0 / max(n, 1)).alias("rank"))
     for i in range(1, iterations + 1):
-        loose = rank.where("_out is null").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("_loose"))
+        loose = rank.where("_out is null").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).scalar()
         given = links.join(rank.select(F.col("node").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") / F.col("_out")).alias("_in"))
-        new = (1 - damping) / n + damping * (F.coalesce("_in", F.lit(0.0)) + F.col("_loose") / n)
-        rank = base.join(given, "node", "left").crossJoin(F.broadcast(loose)).select("node", "_out", new.alias("rank"))
+        new = (1 - damping) / n + damping * (F.coalesce("_in", F.lit(0.0)) + loose / n)
+        rank = base.join(given, "node", "left").select("node", "_out", new.alias("rank"))
         if i % cut_every == 0:
             rank = settle(rank)
     return rank.select("node", "rank")

@@ -56,9 +56,9 @@ def average_precision(df: DataFrame, score: str = "score", label: str = "label")
 def pr_curve(df: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
     """AG22: (threshold, precision, recall, f1) at every distinct score; f1 null where it is not defined."""
     d = by_score(df, score, label)
-    total = df.agg(F.count_if(F.col(label) == 1).alias("p"))
-    precision, recall = F.col("tp") / (F.col("tp") + F.col("fp")), F.try_divide("tp", "p")
-    d = d.crossJoin(F.broadcast(total)).select(F.col("score").alias("threshold"), precision.alias("precision"), recall.alias("recall"))
+    total = df.agg(F.count_if(F.col(label) == 1)).scalar()
+    precision, recall = F.col("tp") / (F.col("tp") + F.col("fp")), F.try_divide(F.col("tp"), total)
+    d = d.select(F.col("score").alias("threshold"), precision.alias("precision"), recall.alias("recall"))
     return d.withColumn("f1", F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
 
 

@@ -67,8 +67,8 @@ def filter_pairs(
     keep = (F.col("unique_authors") >= min_authors) & (F.coalesce("avg_time_gap", F.lit(0.0)) <= max_avg_gap)
     if total is None:
         return matrix.where(keep & (F.col("cochange_count") >= min_cochange))
-    least = F.greatest(F.lit(min_cochange), F.floor(F.col("total") * F.lit(floor_ratio)).cast("int"))
-    return matrix.crossJoin(F.broadcast(total.select("total"))).where(keep & (F.col("cochange_count") >= least)).drop("total")
+    least = F.greatest(F.lit(min_cochange), F.floor(total.select("total").scalar() * F.lit(floor_ratio)).cast("int"))
+    return matrix.where(keep & (F.col("cochange_count") >= least))
 
 
 def total_commits(touched: DataFrame) -> DataFrame:
@@ -81,8 +81,8 @@ def filter_hubs(pairs: DataFrame, counts: DataFrame, total: DataFrame, max_modif
     side = lambda k: counts.select(F.col("node").alias(f"func{k}"), F.col("modify_count").alias(f"func{k}_modify_count"))
     both = pairs.join(side(1), "func1", "left").join(side(2), "func2", "left")
     both = both.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("func1_modify_count", "func2_modify_count")})
-    limit = F.col("total") * F.lit(max_modify_ratio)
-    return both.crossJoin(F.broadcast(total.select("total"))).where((F.col("func1_modify_count") <= limit) & (F.col("func2_modify_count") <= limit)).drop("total")
+    limit = total.select("total").scalar() * F.lit(max_modify_ratio)
+    return both.where((F.col("func1_modify_count") <= limit) & (F.col("func2_modify_count") <= limit))
 
 
 def positive_pairs(

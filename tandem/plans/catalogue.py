@@ -363,8 +363,8 @@ SELECT hist_id, arg_max(node_id, score * 1e6 - node_id * 1e-9) AS node_id, round
 def similarity_match(spark, d):
     """JN8 SC24: the first half of the vectors against the second, equal labels as equal names."""
     e = table(spark, d, "embeddings")
-    half = e.agg(F.floor(F.count("*") / 2).alias("half"))
-    e = e.crossJoin(F.broadcast(half)).select("half", "vec_id", F.col("label").cast("string").alias("name"), F.col("embedding").alias("vector"))
+    half = e.agg(F.floor(F.count("*") / 2)).scalar()
+    e = e.select(half.alias("half"), "vec_id", F.col("label").cast("string").alias("name"), F.col("embedding").alias("vector"))
     e = e.withColumn("path", F.concat(F.lit("p"), (F.col("vec_id") % 10).cast("string")))
     hist = e.where("vec_id < half").withColumnRenamed("vec_id", "hist_id")
     funcs = e.where("vec_id >= half").withColumn("seq", F.col("vec_id")).withColumnRenamed("vec_id", "node_id")
