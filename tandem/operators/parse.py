@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import PARSED_LANGUAGES
+from .state import ship
 
 # The patterns of functions, calls and imports in each language.
 _CLIKE = r"(?:^|\n)\s*(?:\w+\s+)*\w+(?:\s*<(?:[^<>]|<[^<>]*>)*>)?\s+(\w+)\s*\([^)]*\)\s*(?:const\s*)?(?:final\s*)?{"
@@ -236,6 +237,7 @@ _SHAPE = """functions array<struct<name:string,start_line:int,end_line:int,langu
 
 def parse_files(files: DataFrame, path: str = "path", language: str = "language", code: str = "code") -> DataFrame:
     """(path, language, functions, calls, classes, imports, error): everything of a file in one pass."""
+    ship(files.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -1,11 +1,28 @@
-"""Tables that cut the lineage of iterations and of rows that several branches read."""
+"""What lives outside a plan: tables that cut lineage, and the package on the executors."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package's source to the Python workers, once a context, so that Arrow maps can
+    import it wherever the driver was started and whatever the executors have installed."""
+    context = spark.sparkContext
+    if getattr(context, "_tandem_shipped", False):
+        return
+    package = Path(__file__).resolve().parents[1]
+    path = Path(tempfile.mkdtemp(prefix="tandem-")) / "tandem.zip"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f"{package.name}/{f.relative_to(package)}")
+    context.addPyFile(str(path))
+    context._tandem_shipped = True
 
 
 def settle(df: DataFrame) -> DataFrame:

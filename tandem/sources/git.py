@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..operators.state import ship
+
 CLONE_SECONDS, SHOW_SECONDS, PARSE_SECONDS = 300, 10, 5
 
 
@@ -68,6 +70,7 @@ def blobs(details: DataFrame, repo: str) -> DataFrame:
             code = [file_before(repo, c, p) or file_at(repo, c, p) for c, p in pairs]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(code, pa.string())], names=["commit", "path", "code"])
 
+    ship(details.sparkSession)
     return details.select("commit", F.col("path")).distinct().mapInArrow(run, "commit string, path string, code string").where("code is not null")
 
 
