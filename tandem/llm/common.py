@@ -9,6 +9,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.state import ship
+
 #: ASCII white space, as the word pattern ``[^\x20\x09-\x0D]+`` has it.
 SPACE = "\t\n\x0b\x0c\r "
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -57,7 +59,9 @@ def join_ids(big: DataFrame, ids: DataFrame, key: str | list[str], how: str = "i
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bounds the rows of an Arrow batch for the operators that hand whole texts to Python."""
+    """Readies the session for the operators that hand whole texts to Python: the package goes to the
+    workers, and an Arrow batch holds few rows."""
+    ship(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > BATCH_ROWS or int(spark.conf.get(key)) <= 0:
         spark.conf.set(key, str(BATCH_ROWS))
