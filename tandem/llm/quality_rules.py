@@ -218,11 +218,14 @@ def judge(
     key = lambda c: F.when(F.col(c).isNull(), "0").otherwise(F.concat(F.lit("1"), F.col(c)))
     rows = settle(vector(counted).withColumn("g", F.concat_ws("|", key("lang"), key("source"))))
     usable = rows.where(~F.col("base_failed"))
-    own = estimates(usable.select("g", *_X), cover, steps).where(F.col("n") >= LEAST)
-    pooled = estimates(usable.select(F.lit(ALL).alias("g"), *_X), cover, steps)
+    # Each row counts in its own group and in the one of all rows, so that one pass a step serves both.
+    both = usable.select(F.explode(F.array("g", F.lit(ALL))).alias("g"), *_X)
+    found = estimates(both, cover, steps)
+    own, pooled = found.where((F.col("g") != ALL) & (F.col("n") >= LEAST)), found.where(F.col("g") == ALL)
     shape = [F.struct(*[c for c in own.columns if c != "g"]).alias("est")]
-    fits = rows.join(own.select("g", *shape), "g", "left").crossJoin(F.broadcast(pooled.select(F.struct(*[c for c in own.columns if c != "g"]).alias("pool")).limit(1)).select(F.max("pool").alias("pool")))
-    fits = fits.withColumn("est", F.coalesce("est", "pool")).select(*rows.columns, "est.*")
+    pool = pooled.agg(F.max(F.struct(*[c for c in own.columns if c != "g"]))).scalar()
+    fits = rows.join(own.select("g", *shape), "g", "left")
+    fits = fits.withColumn("est", F.coalesce(F.col("est"), pool)).select(*rows.columns, "est.*")
     cut = chi2_quantile(keep)
     out = _distance(fits)
     kept = ~F.col("base_failed") & F.coalesce(F.col("d2") <= cut, F.lit(True))
