@@ -53,8 +53,8 @@ def match_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]
     return out
 
 
-def _strength(level: DataFrame) -> DataFrame:
-    """One row (strength) from the level's (n, bad)."""
+def _strength(level: DataFrame) -> Column:
+    """The level's prior strength from its (n, bad), as a scalar subquery."""
     t = level.agg(
         F.sum("n").cast("double").alias("n"),
         F.sum("bad").cast("double").alias("bad"),
@@ -67,7 +67,7 @@ def _strength(level: DataFrame) -> DataFrame:
     spread = F.try_divide(F.col("s") - F.col("n") * p * p - (F.col("k") - 1) * noise, F.col("n") - F.try_divide("nn", "n"))
     rho = F.try_divide(spread, noise)
     fitted = F.greatest(F.lit(STRENGTH[0]), F.least(F.lit(STRENGTH[1]), F.try_divide(1 - rho, rho)))
-    return t.select(F.when(rho > 0, fitted).otherwise(F.lit(STRENGTH[1])).alias("strength"))
+    return t.select(F.when(rho > 0, fitted).otherwise(F.lit(STRENGTH[1]))).scalar()
 
 
 def reputations(labelled: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -80,8 +80,9 @@ def reputations(labelled: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, D
     overall = suffixes.agg((F.coalesce(F.sum("bad"), F.lit(0)) + 1.0).alias("a"), (F.coalesce(F.sum("n") - F.sum("bad"), F.lit(0)) + 1.0).alias("b"))
 
     def shrink(level: DataFrame, prior: DataFrame, key: list[str]) -> DataFrame:
-        prior = prior.withColumn("mean", F.col("a") / (F.col("a") + F.col("b"))).drop("a", "b")
-        joined = (level.join(prior, key) if key else level.crossJoin(F.broadcast(prior))).crossJoin(F.broadcast(_strength(level)))
+        mean = (F.col("a") / (F.col("a") + F.col("b"))).alias("mean")
+        joined = level.join(prior.select(*key, mean), key) if key else level.withColumn("mean", prior.select(mean).scalar())
+        joined = joined.withColumn("strength", _strength(level))
         a = F.col("mean") * F.col("strength") + F.col("bad")
         return joined.withColumn("a", a).withColumn("b", (1 - F.col("mean")) * F.col("strength") + F.col("n") - F.col("bad")).drop("mean", "strength", "n", "bad")
 
@@ -123,7 +124,7 @@ def filter_urls(
     names = p.select("host").distinct().withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host")))
     pick = lambda df, key: df.select(key, F.struct("a", "b").alias(f"{key}_p"))
     names = names.join(pick(hosts, "host"), "host", "left").join(pick(domains, "domain"), "domain", "left").join(pick(suffixes, "suffix"), "suffix", "left")
-    names = names.crossJoin(F.broadcast(overall.select(F.struct("a", "b").alias("all_p"))))
+    names = names.withColumn("all_p", overall.select(F.struct("a", "b")).scalar())
     best = F.coalesce("host_p", "domain_p", "suffix_p", "all_p")
     a, b = best["a"], best["b"]
     mean = a / (a + b)
