@@ -7,7 +7,7 @@ share: the lower orders are Kneser-Ney continuation counts (in how many contexts
 a sequence stands) over all labelled documents, so that a rare expression that tells nothing
 gets the same probability from both, while an inflected form of a toxic stem still
 gets its stem's evidence. A document is judged by the difference of its two
-log-likelihoods a word, over the whole and over its best window, calibrated by a
+log-likelihoods a word, over the whole, over its best passage and over its clearest words, calibrated by a
 logistic fit on rows that the model in question has not counted (two halves, crossed).
 
 Counts come from every labelled row outside the held-out fold and are summed in Spark by
@@ -39,7 +39,11 @@ BUCKETS = 1 << BITS
 DISCOUNT = 0.75
 #: Shared counts that every class context is given.
 PULL = 4.0
-SPAN = 32
+#: Words in the passages that are compared, and the log ratio from which a word is an expression of its own.
+SPAN = 4
+CLEAR = 2.0
+#: Plain words that every text is granted where its clear expressions are averaged, so that a text of a few odd words is not judged by them alone.
+PLAIN = 32
 FIT_ROWS = 20_000
 MEMO = 400_000
 HOLD = (4, 2)
@@ -147,7 +151,8 @@ class Model:
 
 
 def features(texts: list[str | None], model: Model, memo: dict[bytes, float]) -> np.ndarray:
-    """For each text: mean log ratio a word, the same over the best window, sum over root of n, mean of the three highest words."""
+    """For each text the log ratio a word: over the whole, over its best passage, over its clear expressions
+    alone (what each exceeds ``CLEAR`` by), and over its three highest words."""
     split = [words_of(t) for t in texts]
     new = list({w for ws in split for w in ws}.difference(memo))
     if len(memo) + len(new) > MEMO:
@@ -166,24 +171,37 @@ def features(texts: list[str | None], model: Model, memo: dict[bytes, float]) ->
         span = min(SPAN, n)
         best = (upto[span:] - upto[:-span]).max() / SPAN
         high = np.sort(np.partition(r, n - 3)[-3:] if n > 3 else r)[::-1]
-        out[i] = upto[-1] / n, best, upto[-1] / np.sqrt(n), high.sum() / 3
+        out[i] = upto[-1] / n, best, np.maximum(r - CLEAR, 0).sum() / (n + PLAIN), high.sum() / 3
     return out
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(mean, spread, weights with the intercept first) by Newton steps on standardised columns."""
+    """(mean, spread, weights with the intercept first) by Newton steps on standardised columns.
+
+    All columns are evidence for a positive label, so no weight may be negative: the most negative one is
+    set to zero and the rest is fitted again. More evidence then never lowers a score, also beyond
+    what the fit has seen, as in a text of toxic words alone.
+    """
     mean, spread = x.mean(axis=0), x.std(axis=0)
     spread[spread == 0] = 1
-    z = np.hstack([np.ones((len(x), 1)), (x - mean) / spread])
-    w = np.zeros(z.shape[1])
-    pull = np.diag([1e-6] + [ridge] * x.shape[1])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + pull, z.T @ (y - p) - pull @ w)
-        w = w + step
-        if np.abs(step).max() < 1e-8:
+    every = np.hstack([np.ones((len(x), 1)), (x - mean) / spread])
+    used = list(range(every.shape[1]))
+    while True:
+        z, w = every[:, used], np.zeros(len(used))
+        pull = np.diag([1e-6] + [ridge] * (len(used) - 1))
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+            step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + pull, z.T @ (y - p) - pull @ w)
+            w = w + step
+            if np.abs(step).max() < 1e-8:
+                break
+        worst = int(np.argmin(w[1:])) + 1 if len(used) > 1 else 0
+        if not worst or w[worst] >= 0:
             break
-    return mean, spread, w
+        del used[worst]
+    out = np.zeros(every.shape[1])
+    out[used] = w
+    return mean, spread, out
 
 
 def fold_of(doc_id: Column, folds: int) -> Column:

@@ -167,3 +167,11 @@ def test_voter_is_exact_nearest_neighbours():
         w = np.maximum((v.vectors @ (x / np.linalg.norm(x)))[at], 0) ** quality_knn.SHARP
         assert abs(s - (w @ y[at] + 0.01 * v.share) / (w.sum() + 0.01)) < 0.05 and sims.size == 60
     assert abs(v.score([None])[0] - v.share) < 1e-6 and quality_knn.Voter([], np.array([])).score(["x"])[0] == 0.5
+
+
+def test_more_evidence_never_lowers_a_score():
+    r = np.random.default_rng(3)
+    a = r.normal(size=500)
+    x = np.stack([a + r.normal(scale=0.1, size=500), a + r.normal(scale=0.1, size=500), -a], axis=1)
+    mean, spread, w = toxicity.logistic(x, (a > 0).astype(float))
+    assert (w[1:] >= 0).all() and w[3] == 0 and w[1:].max() > 1
