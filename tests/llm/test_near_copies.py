@@ -58,3 +58,14 @@ def test_stage_drops_copies_with_changed_words(spark):
         rows += [(2 * i, " ".join(words), "en", "s"), (2 * i + 1, " ".join([*words[:40], "changed", *words[41:]]), "en", "s")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()) == list(range(0, 40, 2))
+
+
+def test_stage_keeps_one_row_a_component(spark):
+    """Several null ids, and one id on two different texts: all are judged by their texts."""
+    r = random.Random(9)
+    text = lambda: " ".join(f"w{r.randint(0, 900)}" for _ in range(40))
+    copied = text()
+    rows = [(None, text()) for _ in range(6)] + [(7, text()), (7, text()), (None, copied), (9, copied), (8, copied)]
+    docs = spark.createDataFrame([(i, t, "en", "s") for i, t in rows], "doc_id long, text string, lang string, source string")
+    left = corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()
+    assert sorted((x.doc_id or 0, x.text) for x in left) == sorted((i or 0, t) for i, t in rows[:8] + rows[10:])
