@@ -67,6 +67,13 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """``name``, with as many underscores before it as it takes to clash with no column."""
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name = "_" + name
+    return name
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once a row: a one-element ``transform`` binds it."""
     return F.transform(F.array(value), body)[0]

@@ -1,23 +1,32 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Words are spelled as bytes between a start and an end mark. Two models, one of toxic and one of
-ordinary documents, give each byte's probability after up to five bytes before it.
-What a class has not seen often is smoothed through backoff counts that both classes
-share: the lower orders are Kneser-Ney continuation counts (in how many contexts
-a sequence stands) over all labelled documents, so that a rare expression that tells nothing
-gets the same probability from both, while an inflected form of a toxic stem still
-gets its stem's evidence. A document is judged by the difference of its two
-log-likelihoods a word, over the whole, over its best passage and over its clearest words, calibrated by a
-logistic fit on rows that the model in question has not counted (two halves, crossed).
-
-Counts come from every labelled row outside the held-out fold and are summed in Spark by
-hashed sequence, at most ``ORDERS * BUCKETS`` rows whatever the input; that bounds
-what reaches the driver and the workers. The logistic fit takes at most ``FIT_ROWS`` rows.
-
-Edge cases: null and empty texts and texts without words score by the intercept alone;
-null ids are never learned from; a labels table with one class only or none gives the
-share of toxic labels (0 without labels) as every score; equal texts score alike; texts are
-read whole; extra columns are ignored; an empty table gives no rows.
+Two models, one of toxic and one of ordinary documents, give the probability of each word after the word
+before it, interpolated down to the word alone and to its spelling:
+
+* pairs of words are counted by the documents that hold them, single words by Kneser-Ney continuation
+  (the different words that they follow), each class for itself; a count c is discounted by the whole part of ``2 sqrt(c)``, at most c,
+  so that what a class shows a few times by chance leaves no trace;
+* what the discounts free goes to backoff counts that both classes share: a word's continuation
+  count is there in how many classes it stands, and below it is the spelling, byte by byte after up to five bytes
+  of the word, where a class's own counts at the longest sequence that fits are smoothed by shared
+  continuation counts. A rare expression that tells nothing gets the same probability from both,
+  and an inflected form of a toxic stem still gets its stem's evidence.
+
+Every table is keyed by the sequence itself (bytes) or by 64-bit hashes of its words, summed in Spark, and
+so the same however rows are dealt to tasks. Entries that the discounts leave nothing are not kept: they
+change no probability.
+
+A document is judged by its log-likelihood ratio a word, over the whole and over its best passages of each
+length in ``SPANS``, calibrated by a logistic fit on rows that the model in question has not counted (two halves,
+drawn apart by class, crossed; a class of one text is not crossed). Which of the lengths count is chosen by cross-validation inside those rows.
+
+The models learn from at most ``SAMPLE`` labelled rows outside the held-out fold: of each class half, the
+first by a hash of the id; equal texts count once. Memory and driver rows are bounded by that; the sample's n-grams are all counted.
+
+Edge cases: null and empty texts and texts without words score by the intercept alone; null ids are never
+learned from; of labels that disagree on an id or a text the highest counts; with labelled texts of one class only
+every score is the share of toxic labels (0 without labels); equal texts score alike, so ties are equal; texts are
+read whole, however long; extra columns may have any names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,151 +36,256 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import join_ids, small_batches
+from .common import settle, small_batches, unused
 
 ORDERS = 6
-BITS = 18
-BUCKETS = 1 << BITS
+#: Of the byte sequences: what a count is discounted by, and the shared counts that every class context is given.
 DISCOUNT = 0.75
-#: Shared counts that every class context is given.
-PULL = 4.0
-#: Words in the passages that are compared, and the log ratio from which a word is an expression of its own.
-SPAN = 4
-CLEAR = 2.0
-#: Plain words that every text is granted where its clear expressions are averaged, so that a text of a few odd words is not judged by them alone.
-PLAIN = 32
-FIT_ROWS = 20_000
+PULL = 16.0
+#: Of the word sequences: standard errors by which a count is discounted.
+ERRORS = 2.0
+#: Words in the passages that are compared.
+SPANS = (1, 4, 16)
+#: A word's log ratio is held within this.
+MOST = 6.0
+SAMPLE = 8000
 MEMO = 400_000
 HOLD = (4, 2)
 CUT = 0.3
+FOLDS = 5
 
-_FACTOR = np.uint64(0x100000001B3)
-_MIX = np.uint64(0x9E3779B97F4A7C15)
 _START, _END = b"\x01", b"\x02"
 #: ASCII that is no letter or digit separates words.
 _SPACED = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
+#: The halves that each of the three models counts: the two that are crossed, and the whole one.
+_HALVES = ((0,), (1,), (0, 1))
+#: A count up to this is discounted entirely.
+_GONE = int(ERRORS * ERRORS)
 
 
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").lower().translate(_SPACED).split()
 
 
-def _grams(words: list[bytes]) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
-    """Place in its word of each byte; for each order the (buckets, validity) of the sequences ending there; words' offsets."""
-    data = np.frombuffer(b"".join(_START + w + _END for w in words), np.uint8)
+def word_hash(word: bytes) -> int:
+    """A word's signed 64-bit key; no word has that of the text's start, 0."""
+    h = xxhash.xxh64_intdigest(word, 1)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def pair_hash(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The 64-bit key of a pair of words from their own."""
+    a = v.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    a = (a ^ (a >> np.uint64(32))) + w.view(np.uint64)
+    a = (a ^ (a >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (a ^ (a >> np.uint64(32))).view(np.int64)
+
+
+def discounted(c: np.ndarray) -> np.ndarray:
+    """What of a word sequence's counts is taken off; whole numbers, so that their sums are exact."""
+    return np.minimum(c, np.floor(ERRORS * np.sqrt(c)))
+
+
+def spelled(words: list[bytes]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """Place of each byte in its marked word; for each order the key of the sequence that ends there (-1: it does not fit); words' offsets.
+
+    A key holds the sequence's bytes themselves, the last one lowest.
+    """
+    data = np.frombuffer(b"".join(_START + w + _END for w in words), np.uint8).astype(np.int64)
     lengths = np.array([len(w) + 2 for w in words], np.int64)
     offsets = np.concatenate([[0], np.cumsum(lengths)[:-1]])
     place = np.arange(len(data)) - np.repeat(offsets, lengths)
-    out, h = [], np.zeros(len(data), np.uint64)
-    for k in range(1, ORDERS + 1):
-        before = np.concatenate([np.zeros(1, np.uint64), h[:-1]])
-        h = before * _FACTOR + data.astype(np.uint64) + np.uint64(1)
-        out.append(((((h ^ (h >> np.uint64(29))) * _MIX) >> np.uint64(64 - BITS)).astype(np.int64), place >= k - 1))
-    return place, out, offsets
-
+    keys, key = [], np.zeros(len(data), np.int64)
+    for k in range(ORDERS):
+        moved = np.concatenate([np.zeros(k, np.int64), data[: len(data) - k]])
+        key = key + (moved << (8 * k))
+        keys.append(np.where(place >= k, key, -1))
+    return place, keys, offsets
+
+
+def byte_counts(words: Counter) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(order, keys, counts) of the sequences in the words, each word as often as it is counted."""
+    listed = list(words)
+    for a in range(0, len(listed), 20_000):
+        part = listed[a : a + 20_000]
+        place, keys, _ = spelled(part)
+        times = np.repeat(np.array([words[w] for w in part], np.int64), np.array([len(w) + 2 for w in part]))
+        for o in range(ORDERS):
+            at = (keys[o] >= 0) & (place >= 1)
+            found, back = np.unique(keys[o][at], return_inverse=True)
+            if len(found):
+                yield o, found, np.bincount(back, weights=times[at], minlength=len(found)).astype(np.int64)
 
-class Counts:
-    """Counts by order and bucket for (fold, class), with the bucket of each sequence's context and suffix."""
 
-    def __init__(self) -> None:
-        self.n = np.zeros((ORDERS, 4, BUCKETS), np.int64)
-        self.context = np.zeros((ORDERS, BUCKETS), np.int32)
-        self.suffix = np.zeros((ORDERS, BUCKETS), np.int32)
-
-    def add(self, words: Counter, column: int) -> None:
-        listed = list(words)
-        times = np.array([words[w] for w in listed], np.int64)
-        for a in range(0, len(listed), 20_000):
-            part = listed[a : a + 20_000]
-            place, grams, offsets = _grams(part)
-            weight = np.repeat(times[a : a + 20_000], np.diff(np.append(offsets, len(place))))
-            for k, (key, valid) in enumerate(grams):
-                at = np.flatnonzero(valid & (place >= 1))
-                self.n[k, column] += np.bincount(key[at], weights=weight[at], minlength=BUCKETS).astype(np.int64)
-                if k:
-                    self.context[k, key[at]] = grams[k - 1][0][at - 1]
-                    self.suffix[k, key[at]] = grams[k - 1][0][at]
-
-    def rows(self) -> Iterator[pa.RecordBatch]:
-        for k in range(ORDERS):
-            at = np.flatnonzero(self.n[k].any(axis=0))
-            if len(at):
-                cols = [np.full(len(at), k, np.int32), at.astype(np.int32), self.context[k, at], self.suffix[k, at], *(self.n[k, c, at] for c in range(4))]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["k", "key", "context", "suffix", "n0", "n1", "n2", "n3"])
+def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The place of each wanted key in sorted ``keys``; their number where it is missing."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64)
+    at = np.searchsorted(keys, wanted)
+    return np.where(keys[np.minimum(at, len(keys) - 1)] == wanted, np.minimum(at, len(keys) - 1), len(keys))
 
 
-class Model:
-    """Tables of the two classes and of what they share; ``columns`` are the pairs (ordinary, toxic) of counted columns."""
+class Spelling:
+    """Byte models of the two classes. ``order``, ``key`` and ``n`` (2 x rows) are the counts of sequences."""
 
-    def __init__(self, k: np.ndarray, key: np.ndarray, context: np.ndarray, suffix: np.ndarray, n: np.ndarray) -> None:
-        f = lambda: np.zeros((ORDERS, BUCKETS), np.float32)
-        self.shared, self.shared_rest = f(), np.ones((ORDERS, BUCKETS), np.float32)
-        self.own, self.own_rest = [f(), f()], [np.ones((ORDERS, BUCKETS), np.float32) for _ in range(2)]
-        any_n = n.sum(axis=0)
+    def __init__(self, order: np.ndarray, key: np.ndarray, n: np.ndarray) -> None:
+        some = n.sum(axis=0) > 0
+        order, key, n = order[some], key[some], n[:, some]
+        rows = []
         for o in range(ORDERS):
-            at = (k == o) & (any_n > 0)
-            keys, ctx = key[at], context[at] if o else np.zeros(at.sum(), np.int64)
+            at = np.flatnonzero(order == o)
+            at = at[np.argsort(key[at], kind="stable")]
+            rows.append((key[at], n[:, at].astype(np.float64)))
+        #: By order: sequences; their contexts; discounted shares and what contexts leave, shared and by class. The last place is for what was never seen.
+        self.keys = [keys for keys, _ in rows]
+        self.contexts, self.shared, self.shared_rest, self.own, self.own_rest = [], [], [], [], []
+        for o, (keys, counts) in enumerate(rows):
+            contexts, ctx = np.unique(keys >> 8, return_inverse=True)
+            size = len(contexts) + 1
+            self.contexts.append(contexts)
             if o < ORDERS - 1:
-                above = (k == o + 1) & (any_n > 0)
-                follow = np.bincount(suffix[above], minlength=BUCKETS)[keys]
-                c = np.where(follow > 0, follow, any_n[at]).astype(np.float64)  # the word's start has nothing before it
-                total, kinds = np.bincount(ctx, weights=c, minlength=BUCKETS), np.bincount(ctx, minlength=BUCKETS)
-                self.shared[o, keys] = np.maximum(c - DISCOUNT, 0) / np.maximum(total[ctx], 1)
-                self.shared_rest[o] = np.where(total > 0, DISCOUNT * kinds / np.maximum(total, 1), 1)
-            if o:
-                for i in range(2):
-                    c = n[i][at].astype(np.float64)
-                    total, kinds = np.bincount(ctx, weights=c, minlength=BUCKETS), np.bincount(ctx, weights=c > 0, minlength=BUCKETS)
-                    self.own[i][o, keys] = np.maximum(c - DISCOUNT, 0) / (total[ctx] + PULL)
-                    self.own_rest[i][o] = np.where(total > 0, (DISCOUNT * kinds + PULL) / (total + PULL), 1)
-
-    def ratios(self, words: list[bytes]) -> np.ndarray:
-        """log P(word | toxic) - log P(word | ordinary) of each word."""
-        place, grams, offsets = _grams(words)
-        n = len(place)
-        low = np.full(n, 1 / 256)
-        top = np.minimum(place, ORDERS - 1)  # order (from 0) of the longest sequence that fits
-        out = np.zeros(n)
+                above = rows[o + 1][0] & ((1 << (8 * (o + 1))) - 1)
+                follow = np.bincount(_find(keys, above), minlength=len(keys) + 1)[: len(keys)].astype(np.float64)
+                c = np.where(follow > 0, follow, counts.sum(axis=0))  # a sequence that only begins words has nothing before it
+                total, kinds = np.bincount(ctx, weights=c, minlength=size), np.bincount(ctx, minlength=size)
+                self.shared.append(np.append((c - DISCOUNT) / total[ctx], 0.0))
+                self.shared_rest.append(np.where(total > 0, DISCOUNT * kinds / np.maximum(total, 1), 1.0))
+            self.own.append([])
+            self.own_rest.append([])
+            for i in range(2):
+                total, off = np.bincount(ctx, weights=counts[i], minlength=size), np.bincount(ctx, weights=discounted(counts[i]), minlength=size)
+                self.own[o].append(np.append((counts[i] - discounted(counts[i])) / (total[ctx] + PULL), 0.0))
+                self.own_rest[o].append((off + PULL) / (total + PULL))
+
+    def log_probabilities(self, words: list[bytes]) -> np.ndarray:
+        """log P(spelling) of each word under the two classes, 2 x words."""
+        place, keys, offsets = spelled(words)
+        low = np.full(len(place), 1 / 256)
+        top = np.minimum(place, ORDERS - 1)
+        out = np.zeros((2, len(place)))
         for o in range(ORDERS):
-            key = grams[o][0]
-            ctx = np.concatenate([[0], grams[o - 1][0][:-1]]) if o else np.zeros(n, np.int64)
+            at = np.flatnonzero((top >= o) & (place >= 1))
+            entry, ctx = _find(self.keys[o], keys[o][at]), _find(self.contexts[o], keys[o][at] >> 8)
             if o:
-                at = np.flatnonzero(top == o)
-                p = [self.own[i][o, key[at]] + self.own_rest[i][o, ctx[at]] * low[at] for i in range(2)]
-                out[at] = np.log(p[1]) - np.log(p[0])
+                last = top[at] == o
+                here = at[last]
+                for i in range(2):
+                    out[i, here] = np.log(self.own[o][i][entry[last]] + self.own_rest[o][i][ctx[last]] * low[here])
             if o < ORDERS - 1:
-                fits = top >= o
-                low = np.where(fits, self.shared[o, key] + self.shared_rest[o, ctx] * low, low)
-        out[place == 0] = 0
-        return np.add.reduceat(out, offsets)
+                low[at] = self.shared[o][entry] + self.shared_rest[o][ctx] * low[at]
+        return np.add.reduceat(out, offsets, axis=1)
+
+
+class Words:
+    """Models of words after words, from the counts that discounts leave something of.
 
+    ``single`` has (key, class counts x 2, classes that hold it), ``totals`` the (sums, discounts) of both counts;
+    ``pairs`` (word before, word, class counts x 2) and ``contexts`` (word before, sums x 2, discounts x 2).
+    """
+
+    def __init__(self, single: tuple, totals: tuple, pairs: tuple, contexts: tuple) -> None:
+        left = lambda c, total: np.append((c - discounted(c)) / np.maximum(total, 1), 0.0)
+        rest = lambda off, total: np.where(total > 0, off / np.maximum(total, 1), 1.0)
+        by = np.argsort(single[0], kind="stable")
+        self.key = single[0][by]
+        self.single = [left(c[by], total) for c, (total, _) in zip(single[1:3], totals)]
+        self.single_rest = [float(rest(off, total)) for total, off in totals[:2]]
+        known, classes = (single[3] > 0).sum(), single[3].sum()
+        self.shared = np.append(np.maximum(single[3][by] - DISCOUNT, 0) / max(classes, 1), 0.0)
+        self.shared_rest = float(DISCOUNT * known / classes) if classes else 1.0
+        by = np.argsort(contexts[0], kind="stable")
+        self.context = contexts[0][by]
+        total, off = [x[by] for x in contexts[1]], [x[by] for x in contexts[2]]
+        self.rest = [np.append(rest(off[i], total[i]), 1.0) for i in range(2)]
+        key = pair_hash(pairs[0], pairs[1])
+        by = np.argsort(key, kind="stable")
+        self.pair, at = key[by], _find(self.context, pairs[0][by])
+        self.own = [left(pairs[2][i][by], np.append(total[i], 0)[at]) for i in range(2)]
+
+    def alone(self, hashes: np.ndarray, spelling: np.ndarray) -> np.ndarray:
+        """P(word) of each class, 2 x words, from the words' spelling probabilities."""
+        at = _find(self.key, hashes)
+        return np.stack([self.single[i][at] + self.single_rest[i] * (self.shared[at] + self.shared_rest * spelling[i]) for i in range(2)])
+
+    def after(self, before: np.ndarray, word: np.ndarray, alone: np.ndarray) -> np.ndarray:
+        """P(word | word before) of each class."""
+        out = alone.copy()
+        ctx = _find(self.context, before)
+        at = np.flatnonzero(ctx < len(self.context))
+        if len(at):
+            pair, ctx = _find(self.pair, pair_hash(before[at], word[at])), ctx[at]
+            for i in range(2):
+                out[i, at] = self.own[i][pair] + self.rest[i][ctx] * alone[i, at]
+        return out
+
+
+class Model:
+    def __init__(self, spelling: Spelling, words: Words) -> None:
+        self.spelling, self.words = spelling, words
+
+    def describe(self, new: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(keys, 2 x probabilities) of words by themselves."""
+        hashes = np.array([word_hash(w) for w in new], np.int64)
+        return hashes, self.words.alone(hashes, np.exp(self.spelling.log_probabilities(new)))
+
+
+class Memo:
+    """What a worker remembers of words: their key and their probabilities."""
 
-def features(texts: list[str | None], model: Model, memo: dict[bytes, float]) -> np.ndarray:
-    """For each text the log ratio a word: over the whole, over its best passage, over its clear expressions
-    alone (what each exceeds ``CLEAR`` by), and over its three highest words."""
+    def __init__(self) -> None:
+        self.clear()
+
+    def clear(self) -> None:
+        self.at: dict[bytes, int] = {}
+        self.hashes, self.alone = np.empty(0, np.int64), np.empty((2, 0))
+
+    def look_up(self, words: list[bytes], model: Model) -> np.ndarray:
+        new = sorted(set(words).difference(self.at))
+        if len(self.at) + len(new) > MEMO:
+            self.clear()
+            new = sorted(set(words))
+        for a in range(0, len(new), 20_000):
+            part = new[a : a + 20_000]
+            hashes, alone = model.describe(part)
+            self.at.update(zip(part, range(len(self.at), len(self.at) + len(part))))
+            self.hashes, self.alone = np.append(self.hashes, hashes), np.append(self.alone, alone, axis=1)
+        return np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
+
+
+def ratios(words: list[bytes], first: np.ndarray, model: Model, memo: Memo) -> np.ndarray:
+    """log P(word | before, toxic) - log P(word | before, ordinary); ``first`` are the places where a text starts."""
+    at = memo.look_up(words, model)
+    hashes = memo.hashes[at]
+    before = np.concatenate([[0], hashes[:-1]])
+    before[first] = 0
+    p = np.log(np.maximum(model.words.after(before, hashes, memo.alone[:, at]), 1e-300))
+    return np.clip(p[1] - p[0], -MOST, MOST)
+
+
+def features(texts: list[str | None], model: Model, memo: Memo) -> np.ndarray:
+    """For each text the log ratio a word: over the whole, and over its best passage of each of ``SPANS``.
+    A text shorter than a span is as if ordinary words without evidence followed."""
     split = [words_of(t) for t in texts]
-    new = list({w for ws in split for w in ws}.difference(memo))
-    if len(memo) + len(new) > MEMO:
-        memo.clear()
-        new = list({w for ws in split for w in ws})
-    for a in range(0, len(new), 20_000):
-        part = new[a : a + 20_000]
-        memo.update(zip(part, model.ratios(part).tolist()))
-    out = np.zeros((len(texts), 4))
-    get = memo.__getitem__
-    for i, ws in enumerate(split):
-        if not ws:
-            continue
-        r = np.fromiter(map(get, ws), np.float64, len(ws))
-        n, upto = len(r), np.concatenate([[0], np.cumsum(r)])
-        span = min(SPAN, n)
-        best = (upto[span:] - upto[:-span]).max() / SPAN
-        high = np.sort(np.partition(r, n - 3)[-3:] if n > 3 else r)[::-1]
-        out[i] = upto[-1] / n, best, np.maximum(r - CLEAR, 0).sum() / (n + PLAIN), high.sum() / 3
+    out = np.zeros((len(texts), 1 + len(SPANS)))
+    lengths = np.array([len(ws) for ws in split], np.int64)
+    if not lengths.any():
+        return out
+    ends = np.cumsum(lengths)
+    first = (ends - lengths)[lengths > 0]
+    r = ratios([w for ws in split for w in ws], first, model, memo)
+    for i, (end, n) in enumerate(zip(ends, lengths)):
+        if n:
+            upto = np.concatenate([[0], np.cumsum(r[end - n : end])])
+            out[i, 0] = upto[-1] / n
+            for j, span in enumerate(SPANS, 1):
+                k = min(span, n)
+                out[i, j] = (upto[k:] - upto[:-k]).max() / span
     return out
 
 
@@ -204,6 +318,27 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarr
     return mean, spread, out
 
 
+def _probability(x: np.ndarray, fit: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    mean, spread, w = fit
+    return 1 / (1 + np.exp(-np.clip(w[0] + ((x - mean) / spread) @ w[1:], -30, 30)))
+
+
+def chosen_columns(x: np.ndarray, y: np.ndarray, fold: np.ndarray) -> list[int]:
+    """The whole text's ratio and those spans that give the least cross-validated log loss; of equal losses the fewest columns."""
+    best, found = np.inf, [0]
+    sets = [[0], *[[0, j] for j in range(1, x.shape[1])], *[[0, i, j] for i in range(1, x.shape[1]) for j in range(i + 1, x.shape[1])], list(range(x.shape[1]))]
+    for columns in sets:
+        loss = 0.0
+        for f in range(FOLDS):
+            held = fold == f
+            if held.any() and 0 < y[~held].mean() < 1:
+                p = np.clip(_probability(x[held][:, columns], logistic(x[~held][:, columns], y[~held])), 1e-6, 1 - 1e-6)
+                loss -= (y[held] * np.log(p) + (1 - y[held]) * np.log(1 - p)).sum()
+        if loss < best - 1e-9:
+            best, found = loss, columns
+    return found
+
+
 def fold_of(doc_id: Column, folds: int) -> Column:
     """crc32(doc_id as text) mod folds; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % folds
@@ -212,89 +347,145 @@ def fold_of(doc_id: Column, folds: int) -> Column:
 class Scorer:
     """A fitted model with its calibration; ``share`` stands in where there is nothing to tell classes apart."""
 
-    def __init__(self, model: Model | None, fit: tuple | None, share: float) -> None:
-        self.model, self.fit, self.share = model, fit, share
+    def __init__(self, model: Model | None, columns: list[int], fit: tuple | None, share: float) -> None:
+        self.model, self.columns, self.fit, self.share = model, columns, fit, share
 
-    def __call__(self, texts: list[str | None], memo: dict[bytes, float]) -> np.ndarray:
+    def __call__(self, texts: list[str | None], memo: Memo) -> np.ndarray:
         if self.model is None:
             return np.full(len(texts), self.share)
-        mean, spread, w = self.fit
-        z = w[0] + ((features(texts, self.model, memo) - mean) / spread) @ w[1:]
-        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        return _probability(features(texts, self.model, memo)[:, self.columns], self.fit)
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (o, a, b, n0..n3) from (text, y, half): of byte sequences their order and key; of pairs, as order ``ORDERS``,
+    the keys of both words. What a document holds counts once, in the column of its half and class."""
+
+    def emit(o: int, a: np.ndarray, b: np.ndarray, column: int, n: np.ndarray) -> pa.RecordBatch:
+        counts = [n if c == column else np.zeros(len(a), np.int64) for c in range(4)]
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), o, np.int32)), pa.array(a), pa.array(b), *map(pa.array, counts)], names=["o", "a", "b", "n0", "n1", "n2", "n3"])
+
+    for batch in batches:
+        held = [Counter() for _ in range(4)]
+        pairs: list[list[np.ndarray]] = [[] for _ in range(4)]
+        keys: dict[bytes, int] = {}
+        for text, y, half in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            words = words_of(text)
+            if words:
+                column = 2 * half + (y > 0)
+                held[column].update(set(words))
+                for w in set(words).difference(keys):
+                    keys[w] = word_hash(w)
+                h = np.array([0, *map(keys.__getitem__, words)], np.int64)
+                pairs[column].append(np.unique(np.stack([h[:-1], h[1:]], axis=1), axis=0))
+        for column in range(4):
+            if pairs[column]:
+                found, n = np.unique(np.concatenate(pairs[column]), axis=0, return_counts=True)
+                yield emit(ORDERS, found[:, 0].copy(), found[:, 1].copy(), column, n)
+            for o, found, n in byte_counts(held[column]):
+                yield emit(o, found, np.zeros(len(found), np.int64), column, n)
+
+
+def _columns(df: DataFrame, names: list[str]) -> list[np.ndarray]:
+    t = df.select(names).toArrow()
+    return [t.column(c).to_numpy().astype(np.int64) for c in names]
+
+
+def fit_models(rows: DataFrame) -> list[Model]:
+    """The models of both halves and of the whole from settled (text, y, half) rows."""
+    counted = rows.mapInArrow(_count, "o int, a long, b long, n0 long, n1 long, n2 long, n3 long")
+    summed = settle(counted.groupBy("o", "a", "b").agg(*[F.sum(f"n{i}").alias(f"n{i}") for i in range(4)]))
+    n = {(m, c): sum((F.col(f"n{2 * h + c}") for h in halves[1:]), F.col(f"n{2 * halves[0] + c}")) for m, halves in enumerate(_HALVES) for c in range(2)}
+    names = {k: f"c{k[0]}{k[1]}" for k in n}
+    off = lambda c: F.least(c, F.floor(ERRORS * F.sqrt(c))).cast("long")
+    some = lambda cs: F.greatest(*cs) > _GONE
+    types = summed.where(F.col("o") == ORDERS)
+    # Single words count by the different words before them.
+    kinds = {names[k]: F.sum((c > 0).cast("long")) for k, c in n.items()} | {f"e{m}": F.max((n[m, 0] > 0).cast("long")) + F.max((n[m, 1] > 0).cast("long")) for m in range(3)}
+    single = settle(types.groupBy("b").agg(*[c.alias(k) for k, c in kinds.items()]))
+    totals = single.agg(*[F.coalesce(F.sum(k), F.lit(0)).alias(f"t_{k}") for k in names.values()], *[F.coalesce(F.sum(off(F.col(k))), F.lit(0)).alias(f"d_{k}") for k in names.values()]).first()
+    word, *one = _columns(single, ["b", *kinds])
+    one = dict(zip(kinds, one))
+    strong = settle(types.where(some(n.values())).select("a", "b", *[c.alias(names[k]) for k, c in n.items()]))
+    before, after, *two = _columns(strong, ["a", "b", *names.values()])
+    two = dict(zip(names.values(), two))
+    needed = strong.select("a").distinct()  # as many as the strong pairs at most, which the sample bounds
+    sums = types.join(F.broadcast(needed), "a").groupBy("a").agg(*[F.sum(c).alias(f"t_{names[k]}") for k, c in n.items()], *[F.sum(off(c)).alias(f"d_{names[k]}") for k, c in n.items()])
+    context, *three = _columns(sums, ["a", *[f"{p}_{x}" for p in "td" for x in names.values()]])
+    three = dict(zip([f"{p}_{x}" for p in "td" for x in names.values()], three))
+    order, key, *n4 = _columns(summed.where(F.col("o") < ORDERS), ["o", "a", "n0", "n1", "n2", "n3"])
+    out = []
+    for m, halves in enumerate(_HALVES):
+        of = [names[m, c] for c in range(2)]
+        words = Words(
+            (word, one[of[0]], one[of[1]], one[f"e{m}"]),
+            [(totals[f"t_{k}"], totals[f"d_{k}"]) for k in of],
+            (before, after, [two[k] for k in of]),
+            (context, [three[f"t_{k}"] for k in of], [three[f"d_{k}"] for k in of]),
+        )
+        out.append(Model(Spelling(order, key, np.stack([sum(n4[2 * h + c] for h in halves) for c in range(2)])), words))
+    return out
 
 
-def train(docs: DataFrame, labels: DataFrame, hold: tuple[int, int] = HOLD, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> Scorer:
-    """Learns from the labelled rows whose fold is not the held-out one."""
+def train(docs: DataFrame, labels: DataFrame, hold: tuple[int, int] = HOLD, label_col: str = "toxic", sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Scorer:
+    """Learns from at most ``sample`` labelled rows whose fold is not the held-out one."""
     spark = docs.sparkSession
     small_batches(spark)
     known = labels.where(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label_col).cast("int").alias("y"))
-    known = known.where(fold_of(F.col("doc_id"), hold[0]) != hold[1]).withColumn("half", (F.xxhash64("doc_id").bitwiseAND(F.lit(1))).cast("int"))
+    known = known.where(fold_of(F.col("doc_id"), hold[0]) != hold[1]).withColumn("h", F.xxhash64("doc_id", F.lit(7)))
+    pick = lambda toxic: known.where((F.col("y") > 0) == F.lit(toxic)).orderBy("h", "doc_id").limit(sample // 2)
+    chosen = pick(True).unionByName(pick(False)).select("doc_id", "y")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = join_ids(texts, known, "doc_id")
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = None
-        for batch in batches:
-            counts = counts or Counts()
-            bags = [Counter() for _ in range(4)]
-            for text, y, half in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                bags[2 * half + (y > 0)].update(words_of(text))
-            for i, bag in enumerate(bags):
-                if bag:
-                    counts.add(bag, i)
-        if counts:
-            yield from counts.rows()
-
-    shape = "k int, key int, context int, suffix int, n0 long, n1 long, n2 long, n3 long"
-    summed = rows.select("text", "y", "half").mapInArrow(count, shape).groupBy("k", "key").agg(F.min("context").alias("context"), F.min("suffix").alias("suffix"), *[F.sum(f"n{i}").alias(f"n{i}") for i in range(4)])
-    t = summed.toArrow()  # ORDERS * BUCKETS rows at most
-    k, key, context, suffix, *n = (t.column(c).to_numpy().astype(np.int64) for c in ("k", "key", "context", "suffix", "n0", "n1", "n2", "n3"))
-    del t
-    have = [int(c.sum()) for c in n] if len(k) else [0] * 4
-    if not all(have):
-        s = known.agg(F.avg((F.col("y") > 0).cast("double"))).first()[0]
-        return Scorer(None, None, float(s or 0.0))
-    half = [Model(k, key, context, suffix, np.stack(n[2 * i : 2 * i + 2])) for i in range(2)]
-    shared = spark.sparkContext.broadcast(half)
+    once = texts.join(F.broadcast(chosen), "doc_id").where("text is not null").groupBy("text").agg(F.max((F.col("y") > 0).cast("int")).alias("y"))
+    # The sample bounds these windows; halves alternate within a class.
+    nth = F.row_number().over(W.partitionBy("y").orderBy(F.xxhash64("text"), "text"))
+    rows = settle(once.withColumn("half", nth % 2).withColumn("id", F.xxhash64("text")))
+    have = {(r["y"], r["half"]): r["n"] for r in rows.groupBy("y", "half").agg(F.count("*").alias("n")).collect()}
+    if len({y for y, _ in have}) < 2:
+        share = known.agg(F.avg((F.col("y") > 0).cast("double"))).first()[0]
+        return Scorer(None, [], None, float(share or 0.0))
+    models = fit_models(rows)
+    crossed = len(have) == 4
+    shared = spark.sparkContext.broadcast([models[1], models[0]] if crossed else [models[2], models[2]])
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models, memos = shared.value, ({}, {})
+        memos = Memo(), Memo()
         for batch in batches:
-            text, y, of = (batch.column(i).to_pylist() for i in range(3))
+            text, y, of, ids = (batch.column(i).to_pylist() for i in range(4))
             for i in range(2):
                 at = [j for j, h in enumerate(of) if h == i]
                 if at:
-                    x = features([text[j] for j in at], models[1 - i], memos[1 - i])
-                    yield pa.RecordBatch.from_arrays([pa.array(x[:, c]) for c in range(4)] + [pa.array([int(y[j] > 0) for j in at], pa.int32())], names=["a", "b", "c", "d", "y"])
+                    x = features([text[j] for j in at], shared.value[i], memos[i])
+                    yield pa.RecordBatch.from_arrays([pa.array(list(x)), pa.array([y[j] for j in at], pa.int32()), pa.array([ids[j] for j in at], pa.int64())], names=["x", "y", "id"])
 
-    chosen = known.orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(FIT_ROWS)
-    sample = texts.join(F.broadcast(chosen), "doc_id").select("text", "y", "half").mapInArrow(describe, "a double, b double, c double, d double, y int").toArrow()
-    x = np.stack([sample.column(c).to_numpy() for c in "abcd"], axis=1)
-    fit = logistic(x, sample.column("y").to_numpy().astype(np.float64))
+    found = rows.select("text", "y", "half", "id").mapInArrow(describe, "x array<double>, y int, id long").toArrow().to_pylist()
     shared.unpersist()
-    return Scorer(Model(k, key, context, suffix, np.stack([n[0] + n[2], n[1] + n[3]])), fit, 0.0)
+    found.sort(key=lambda r: (r["id"], r["y"], r["x"]))
+    x, y = np.array([r["x"] for r in found]), np.array([r["y"] for r in found], np.float64)
+    columns = chosen_columns(x, y, np.arange(len(y)) % FOLDS)
+    return Scorer(models[2], columns, logistic(x[:, columns], y), 0.0)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, hold: tuple[int, int] = HOLD, cut: float = CUT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with (held_out, score, predicted) added under the names ``_held_out``, ``_score``, ``_predicted``."""
-    scored = add_score(docs, train(docs, labels, hold, id_col=id_col, text_col=text_col), text_col)
-    return scored.withColumn("_held_out", F.coalesce(fold_of(F.col(id_col), hold[0]) == hold[1], F.lit(False))).withColumn("_predicted", (F.col("_score") >= cut).cast("int"))
+    """(doc_id, held_out, score, predicted) of every row."""
+    scorer = train(docs, labels, hold, id_col=id_col, text_col=text_col)
+    scored = add_score(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), scorer, name="score")
+    held = F.coalesce(fold_of(F.col("doc_id"), hold[0]) == hold[1], F.lit(False))
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
 
 
-def add_score(docs: DataFrame, scorer: Scorer, text_col: str = "text", name: str = "_score") -> DataFrame:
-    """``docs`` with the score as column ``name``, which they must not have yet; rows pass through one Arrow map."""
+def add_score(docs: DataFrame, scorer: Scorer, text_col: str = "text", name: str | None = None) -> DataFrame:
+    """``docs`` with the score as its last column, ``name`` or ``_score`` with as many underscores before it as it takes
+    to clash with none; rows pass through one Arrow map."""
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(scorer)
     at = docs.columns.index(text_col)
-    names = list(docs.columns)
+    names = [*docs.columns, name or unused(docs, "_score")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[bytes, float] = {}
+        memo = Memo()
         for batch in batches:
             score = shared.value(batch.column(at).to_pylist(), memo)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.round(score, 6))], names=[*names, name])
-
-    schema = StructType([*docs.schema.fields, StructField(name, DoubleType())])
-    return docs.mapInArrow(run, schema)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.round(score, 6))], names=names)
 
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(names[-1], DoubleType())]))

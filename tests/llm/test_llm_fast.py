@@ -136,19 +136,6 @@ def test_leaks_and_clean_texts():
     assert set(index.matches("well yes no more")) == {92}
 
 
-def test_word_models_are_distributions():
-    c = toxicity.Counts()
-    from collections import Counter
-
-    c.add(Counter({b"good": 5, b"god": 2, b"bad": 1}), 0)
-    c.add(Counter({b"bad": 6, b"badly": 2}), 1)
-    rows = [b.to_pydict() for b in c.rows()]
-    get = lambda n: np.concatenate([np.array(r[n], np.int64) for r in rows])
-    m = toxicity.Model(get("k"), get("key"), get("context"), get("suffix"), np.stack([get("n0"), get("n1")]))
-    r = dict(zip([b"good", b"bad", b"badness", b"zzz"], m.ratios([b"good", b"bad", b"badness", b"zzz"])))
-    assert r[b"good"] < 0 < r[b"bad"] and r[b"badness"] > 0 and abs(r[b"zzz"]) < abs(r[b"good"])
-
-
 def test_terms():
     cols, vals = quality_knn.terms("Aa### bb bb\nAa### bb bb")
     assert len(cols) == len(vals) and (vals >= 0).all() and quality_knn.terms(None)[0].size == 0
