@@ -36,27 +36,41 @@ FROM words LEFT JOIN base_sum USING (r) LEFT JOIN hit_sum USING (r) LEFT JOIN ba
 
 def mixing_sql() -> str:
     weights = ", ".join(str(w) for w in mixing.WEIGHTS)
+    most, tiny = mixing.MAX_COPIES, mixing.TINY
     return rf"""
 WITH docs AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-    CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || '|{mixing.SEED}'), 1, 12)) AS BIGINT) AS u
+    CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || '|' || md5(coalesce(text, '')) || '|{mixing.SEED}'), 1, 12)) AS BIGINT) AS u
   FROM documents),
 sources AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM docs GROUP BY source),
 weighed AS (
   SELECT *, [{weights}][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(mixing.WEIGHTS)} + 1] AS w,
-    CAST({mixing.MAX_COPIES} * source_size AS DOUBLE) AS cap, {mixing.SHARE} * sum(source_size) OVER () AS budget FROM sources),
+    CAST({most} * source_size AS DOUBLE) AS cap, {mixing.SHARE} * sum(source_size) OVER () AS budget FROM sources),
 levels AS (
   SELECT *, (budget - coalesce(sum(cap) OVER before, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER before, 0)) AS level FROM weighed
   WINDOW before AS (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 water AS (SELECT arg_min(level, cap / w) AS water FROM levels WHERE cap / w >= level),
 plan AS (SELECT source, source_size, round(CASE WHEN water IS NULL OR w * water > cap THEN cap ELSE w * water END, 6) AS target FROM levels, water),
-needs AS (SELECT *, CAST(floor(CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END + 1e-12) AS BIGINT) AS whole, target - floor(CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END + 1e-12) * source_size AS need FROM plan),
+sized AS (SELECT *, CASE WHEN size > 0 THEN len(bin(size)) ELSE 0 END AS q FROM docs),
+classes AS (SELECT source, q, sum(size) AS s FROM sized GROUP BY source, q),
+rates AS (
+  SELECT classes.source, q, s, source_size, target,
+    (target - {most} * coalesce(sum(s) OVER (PARTITION BY classes.source ORDER BY q DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+      / nullif(CAST(sum(s * q) OVER (PARTITION BY classes.source ORDER BY q) AS DOUBLE), 0) AS rate
+  FROM classes JOIN plan ON classes.source IS NOT DISTINCT FROM plan.source),
+best AS (SELECT source, arg_max(rate, q) AS rate FROM rates WHERE rate * q <= {most} GROUP BY source),
+expected AS (
+  SELECT rates.source, q, s, source_size, target, greatest(0.0, least({most}.0, coalesce(best.rate * q, {most}.0))) AS c
+  FROM rates LEFT JOIN best ON rates.source IS NOT DISTINCT FROM best.source),
+split AS (SELECT *, CAST(floor(c + {tiny}) AS BIGINT) AS whole, CASE WHEN c - floor(c + {tiny}) > {tiny} THEN c - floor(c + {tiny}) ELSE 0 END AS pi FROM expected),
+needs AS (SELECT *, target - sum(s * whole) OVER (PARTITION BY source) AS need FROM split),
 ranked AS (
-  SELECT doc_id, size, source_size, target, whole, need, u,
-    sum(size) OVER (PARTITION BY docs.source ORDER BY u, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS got
-  FROM docs JOIN needs ON docs.source IS NOT DISTINCT FROM needs.source)
+  SELECT sized.doc_id, sized.source, size, source_size, target, whole, need, pi > 0 AND size > 0 AS open,
+    CASE WHEN pi > 0 AND size > 0 THEN (((u + 0.5) / 281474976710656.0) / (1 - (u + 0.5) / 281474976710656.0)) / (pi / (1 - pi)) END AS rank
+  FROM sized JOIN needs ON sized.source IS NOT DISTINCT FROM needs.source AND sized.q = needs.q),
+summed AS (SELECT *, sum(CASE WHEN open THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY rank NULLS LAST, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS got FROM ranked)
 SELECT doc_id, size, source_size, CAST(target AS DOUBLE) AS target,
-  CAST(size * (whole + CASE WHEN need > 0 AND got < need AND got + size / 2.0 <= need THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM ranked"""
+  CAST(size * (whole + CASE WHEN open AND need > 0 AND got < need AND got + size / 2.0 <= need THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM summed"""
 
 
 def url_sql() -> str:

@@ -109,27 +109,6 @@ def test_rule_counts(spark):
     assert got == {i: brute_counts(t) for i, t in enumerate(texts)}
 
 
-def test_robust_estimate(spark):
-    """The distances equal those of concentration steps in NumPy, and gross outliers are rejected."""
-    r = np.random.default_rng(2)
-    good = r.normal([1500, 0, 0, 0], [100, 40, 30, 20], (400, 4))
-    x = np.round(np.vstack([good, r.normal([2400, 2500, 3000, 0], 20, (60, 4))])).astype(int)
-    rows_ = spark.createDataFrame([("g", *map(int, v)) for v in x], "g string, x0 long, x1 long, x2 long, x3 long")
-    e = quality_rules.estimates(rows_).first()
-    floors = np.diag([v * v for v in quality_rules.STATS.values()])
-    m, c = np.sort(x, axis=0)[(len(x) + 1) // 2 - 1].astype(float), floors.astype(float)
-    for _ in range(quality_rules.STEPS):
-        d2 = np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
-        bins = np.floor(quality_rules.BINS * np.log2(1 + d2)).astype(int)
-        cut = next(b for b in sorted(set(bins)) if (bins <= b).sum() >= quality_rules.COVER * len(x))
-        near = x[bins <= cut]
-        m = near.mean(axis=0)
-        c = np.cov(near.T, bias=True) * quality_rules.consistency() + floors
-    assert np.allclose([e[f"m{i}"] for i in range(4)], m) and np.allclose(e["l00"], math.sqrt(c[0, 0])) and np.allclose(e["l33"], np.linalg.cholesky(c)[3, 3])
-    d2 = np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
-    assert (d2[400:] > quality_rules.chi2_quantile(quality_rules.KEEP)).all() and (d2[:400] < quality_rules.chi2_quantile(quality_rules.KEEP)).mean() > 0.99
-
-
 def test_links_and_components(spark):
     """All pairs within three bits, and the components, against brute force."""
     r = random.Random(8)
@@ -185,6 +164,51 @@ def test_mix_meets_targets(docs):
         assert sum(x.size for x in own) == own[0].source_size and abs(sum(x.taken for x in own) - own[0].target) <= max(x.size for x in own)
 
 
+def test_copies_meet_the_target_unequally(spark):
+    """Expected words are the target; longer documents are worth more copies, none more than two."""
+    classes = [("a", q, 1000 * q, sum(1000 * k for k in range(1, 9)), 20_000.0) for q in range(1, 9)] + [("b", 3, 50, 50, 100.0), ("c", 0, 0, 0, 0.0), ("d", 5, 70, 90, 30.0), ("d", 2, 20, 90, 30.0)]
+    got = mixing.copies(spark.createDataFrame(classes, "skey string, q long, s long, source_size long, target double")).collect()
+    words = {(c[0], c[1]): c[2] for c in classes}
+    for name, target in (("a", 20_000), ("b", 100), ("d", 30)):
+        own = {r.q: r.whole + r.pi for r in got if r.skey == name}
+        assert abs(sum(c * words[name, q] for q, c in own.items()) - target) < 1e-6 and max(own.values()) <= 2
+        assert [own[q] for q in sorted(own)] == sorted(own.values())
+    assert len({r.pi for r in got if r.skey == "a"}) > 4
+
+
+def test_inclusion_follows_the_odds(spark):
+    """Over many seeds each document is taken as often as its inclusion probability says, and another rank would not do it."""
+    r = random.Random(2)
+    docs = spark.createDataFrame([(i, " ".join(["w"] * r.choice([3, 10, 40, 100, 300])), "s") for i in range(1000)], "doc_id long, text string, source string")
+    seeds = 10
+    taken, size = {}, {}
+    for seed in range(seeds):
+        for x in mixing.mix(docs, share=0.6, weights=(1.0,), seed=seed, buckets=8).collect():
+            size[x.doc_id] = x.size
+            taken.setdefault(x.size, []).append(x.copies)
+    total = sum(size.values())
+    bits = {s: s.bit_length() for s in taken}
+    rate = 0.6 * total / sum(s * bits[s] for s in size.values())
+    for s, seen in taken.items():
+        want = min(2.0, rate * bits[s])
+        assert abs(sum(seen) / len(seen) - want) < 5 * math.sqrt(0.25 / len(seen)) + 0.02, (s, want, sum(seen) / len(seen))
+    share = {s: sum(x) / len(x) for s, x in taken.items()}
+    assert share[300] > 1.5 * share[3] > 0
+
+
+def test_rows_of_one_id_are_spread(spark):
+    docs = spark.createDataFrame([(None if i % 2 else 7, f"word{i} " * 20, "s") for i in range(400)], "doc_id long, text string, source string")
+    got = mixing.mix(docs, share=0.5, weights=(1.0,)).collect()
+    assert 190 <= sum(x.copies for x in got) <= 210
+    same = spark.createDataFrame([(7, "a b c", "s")] * 100, "doc_id long, text string, source string")
+    assert sum(x.copies for x in mixing.mix(same, share=0.5, weights=(1.0,)).collect()) == 50
+
+
+def test_mix_carries_any_columns(docs):
+    got = mixing.mix(docs, carry=True).collect()
+    assert len(got) == docs.count() and set(got[0].row.asDict()) == set(docs.columns) and {x.row.u for x in got} == {"u"}
+
+
 def test_targets_fill_like_water(spark):
     df = spark.createDataFrame([("a", 10), ("b", 1000), ("c", 100), (None, 50), ("e", 0)], "source string, source_size long")
     t = {r.source: r.target for r in mixing.targets(df).collect()}
