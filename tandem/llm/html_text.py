@@ -1,16 +1,19 @@
 """Main-text extraction by line-block distribution.
 
-A page becomes a list of lines, one for each block element. A line weighs as many
-characters as it has outside links; what structure already marks as boilerplate
-(menus, headers, footers, sidebars, notices, adverts, forms, comments) weighs
-nothing and leaves a gap as wide as the sliding window. Weights are summed over
-the window; text starts where the sum surges over the threshold and ends where it
-dives to zero. An ``article`` or ``main`` element puts a floor under the weight of
-its own lines, so that its short paragraphs are kept, and mutes the rest.
-
-Edge cases: null or empty html and pages without text give ``''``; markup cut off
-anywhere is read as far as it goes; equal pages give equal texts; rows are never
-dropped; columns other than the id, the url and the html are ignored.
+A page becomes a list of lines, one for each block element. A line weighs as many characters as it has outside
+links (inside an article also those of a link beyond the first ``LINK``: longer ones are text, not a menu's). Weights are
+summed over windows of ``WINDOW`` lines. A line lies in a dive if some window around it weighs nothing;
+what is between dives is a run, and a run surges if a window in it weighs over ``THRESHOLD``. The runs that
+surge are the text; where nothing surges, all runs that weigh anything are.
+
+Structure only mutes and divides: what is marked as boilerplate (menus, headers, footers, sidebars, notices, adverts, forms,
+comments) is left out, and on a page without an article leaves a gap of a window. If there is an ``article`` or
+``main`` element, what is outside is left out, and the article is one text: if any of its
+runs surges, all do, while a menu of ``WINDOW`` short links in a row is a dive within it.
+
+Edge cases: null or empty html and pages without text give ``''``; an article of nothing but links is its links; markup cut off
+anywhere is read as far as it goes; pages of any length are read whole; equal pages give equal texts, and equal
+weights are treated alike; rows are never dropped; columns other than the id, the url and the html are ignored.
 """
 
 from __future__ import annotations
@@ -27,6 +30,8 @@ from .common import small_batches
 
 WINDOW = 3
 THRESHOLD = 80
+#: Characters of a menu's link at most.
+LINK = 40
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -40,7 +45,7 @@ _TAG = re.compile(
 _ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
-RAW = frozenset("script style noscript template iframe svg math textarea title object canvas audio video select".split())
+RAW = frozenset("script style noscript template iframe svg textarea title object canvas audio video select".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer "
@@ -51,18 +56,40 @@ GAPS = frozenset("br td th".split())
 BOILER = frozenset("nav header footer aside form menu dialog button fieldset head".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
+#: Whole class names and ids of boilerplate, also with the qualifiers beside them, as in 'left-sidebar' or 'cookie-notice'.
 NAMES = frozenset(
     "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion cookie cookies consent "
     "gdpr notice notices sidebar sidebars menu menus nav navbar navigation breadcrumb breadcrumbs footer comment comments "
     "commentlist disqus reply replies respond related recommended share sharing social newsletter subscribe signup login "
     "modal popup overlay widget widgets pagination pager toolbar skip masthead topbar".split()
 )
-#: Parts that turn a class into a remark on the layout, as in 'has-sidebar'.
-LAYOUT = frozenset("has no with without is".split())
+QUALIFIERS = frozenset(
+    "site page main primary secondary top bottom left right global sticky fixed mobile desktop item items list links link bar box "
+    "block container wrapper wrap area section inner outer content body text icons icon buttons button form post posts article articles "
+    "entry stories reader user the to us this slot unit space zone holder frame placeholder row col column panel title heading label side rail".split()
+)
+#: What may stand beside 'header' for it to be the site's.
+SITE = frozenset("site page main top global sticky fixed mobile nav navbar masthead".split())
+#: Elements whose ids name a place to link to, and elements that stand in a line.
+ANCHORED = HEADINGS | frozenset("p li dt dd blockquote figure figcaption td th tr".split())
+INLINE = frozenset("a abbr b bdi bdo cite code data del dfn em font i ins kbd mark math q s samp small span strike strong sub sup time tt u var".split())
+#: What is text in an article's own header.
+STANDING = HEADINGS | frozenset("p blockquote".split())
 #: Classes of an article that is a reader's comment.
 _COMMENT = re.compile(r"(?:comments?|repl(?:y|ies))(?:[-_](?:body|item|list|content|text|\d+))?", re.I)
 
 
+def _named(token: str) -> bool:
+    """Whether a class name or id says boilerplate as a whole; one other word in it, and it does not."""
+    parts = [p.lower() for p in _PART.findall(token)]
+    words = [p for p in parts if not p.isdigit()]
+    if not words:
+        return False
+    if words[-1] == "header":
+        return len(words) == 1 or set(words[:-1]) <= SITE
+    return any(w in NAMES for w in words) and all(w in NAMES or w in QUALIFIERS for w in words)
+
+
 def _is_boiler(name: str, attrs: str) -> bool:
     if name in BOILER:
         return True
@@ -81,31 +108,25 @@ def _is_boiler(name: str, attrs: str) -> bool:
             return True
         if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value.lower()):
             return True
-        if key in ("class", "id"):
-            for token in value.split():
-                if name == "article":
-                    if _COMMENT.fullmatch(token):
-                        return True
-                    continue
-                parts = [p.lower() for p in _PART.findall(token)]
-                if not parts or LAYOUT & set(parts):
-                    continue
-                if parts[0] in NAMES or parts[-1] in NAMES:
-                    return True
-                if parts[-1] == "header" and not {"article", "post", "entry", "content"} & set(parts):
-                    return True
+        if name in INLINE or (key == "id" and name in ANCHORED) or key not in ("class", "id"):
+            continue
+        if any(_COMMENT.fullmatch(token) if name == "article" else _named(token) for token in value.split()):
+            return True
     return False
 
 
 def _tags(page: str) -> list[tuple[int, int, bool, str, str]]:
     """(start, end, closing, name, attributes); comments and raw elements come as the name ''."""
     out, at = [], 0
+    open_ended = set()  # raw elements of which no end follows
     while m := _TAG.search(page, at):
         at = m.end()
         name = (m[2] or m[5] or "").lower()
         closing, attrs = bool(m[1] or m[4]), m[3] or m[6] or ""
         if name in RAW and not closing and not attrs.endswith("/"):
-            end = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
+            end = None if name in open_ended else re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
+            if not end:
+                open_ended.add(name)
             at = end.end() if end else len(page) if name in ("script", "style") else at
             name = ""
         out.append((m.start(), at, closing, name, attrs))
@@ -125,37 +146,33 @@ def _regions(tags: list[tuple[int, int, bool, str, str]]) -> list[int]:
     return ends
 
 
-def _lines(page: str) -> list[tuple[str, int, bool]]:
-    """(text, characters outside links, inside the article) of each block; ('', 0, False) is a gap."""
+def _lines(page: str) -> list[tuple[str, int, int]]:
+    """(text, characters inside links, article) of each block; article is 0 outside, else its number. ('', 0, 0) is a gap."""
     tags = _tags(page)
     ends = _regions(tags)
     # How many articles begin before each tag: an element that holds them all is no boilerplate, whatever its name.
     bodies = [0]
     for _, _, closing, name, attrs in tags:
         bodies.append(bodies[-1] + (not closing and name in ("article", "main") and not _is_boiler(name, attrs)))
-    lines: list[tuple[str, int, bool]] = []
+    lines: list[tuple[str, int, int]] = []
     parts: list[str] = []
     linked = anchors = 0
     muted_to = -1  # tag index up to which text is boilerplate
     loose = False  # inside boilerplate that never closes: it lasts to the next block
-    heading_to = header_to = article_to = -1  # headings in the article's own header are kept
-    article = False
+    standing_to = header_to = article_to = -1  # headings and paragraphs in the article's own header are kept
+    article = count = 0
 
     def flush() -> None:
         nonlocal linked
         text = " ".join(_html.unescape("".join(parts)).split())
         if text:
-            lines.append((text, max(0, len(text) - linked), article))
+            lines.append((text, min(len(text), linked), article))
         parts.clear()
         linked = 0
 
-    def gap() -> None:
-        flush()
-        lines.extend([("", 0, False)] * WINDOW)
-
     def take(raw: str, i: int) -> None:
         nonlocal linked
-        if raw and (i > muted_to or i <= heading_to) and not loose:
+        if raw and (i > muted_to or i <= standing_to) and not loose:
             parts.append(raw)
             if anchors:
                 linked += len(" ".join(_html.unescape(raw).split()))
@@ -168,7 +185,6 @@ def _lines(page: str) -> list[tuple[str, int, bool]]:
             continue
         if name == "a":
             anchors = max(0, anchors + (-1 if closing else 1)) if not attrs.endswith("/") else anchors
-            continue
         if name in GAPS:
             parts.append(" ")
             continue
@@ -177,63 +193,80 @@ def _lines(page: str) -> list[tuple[str, int, bool]]:
             loose = False
             anchors = 0
         if i >= article_to:
-            article = False
+            article = 0
         if closing:
             continue
         if i >= muted_to:
             holds_all = bodies[-1] and ends[i] >= 0 and bodies[ends[i]] - bodies[i] == bodies[-1] and name not in ("article", "main")
             if _is_boiler(name, attrs) and not holds_all:
-                if name == "header" and article:
+                if name in INLINE:
+                    muted_to = ends[i]
+                elif name == "header" and article:
                     muted_to = header_to = max(i, ends[i])
                 elif name != "head" or ends[i] >= 0:
-                    gap()
+                    flush()
+                    lines.extend([("", 0, 0)] * (0 if article else WINDOW))
                     muted_to = ends[i] if ends[i] >= 0 else i
                     loose = ends[i] < 0
             elif name in ("article", "main"):
+                if not article:
+                    count += 1
                 article_to = max(article_to, ends[i] if ends[i] >= 0 else len(tags))
-                article = True
-        elif name in HEADINGS and i <= header_to:
-            heading_to = ends[i]
+                article = count
+        elif name in STANDING and i <= header_to and not _is_boiler(name, attrs):
+            standing_to = ends[i]
     take(page[at:], len(tags))
     flush()
     return lines
 
 
+def _runs(weights: list[int], window: int) -> list[tuple[int, int]]:
+    """Stretches of lines of which none lies in a window that weighs nothing."""
+    n = len(weights)
+    upto = [0]
+    for w in weights:
+        upto.append(upto[-1] + w)
+    dives_to, live = 0, []
+    for i in range(n):
+        if i + window <= n and upto[i + window] == upto[i]:
+            dives_to = i + window
+        live.append(i >= dives_to)
+    runs, begin = [], None
+    for i, alive in enumerate([*live, False]):
+        if alive and begin is None:
+            begin = i
+        elif not alive and begin is not None:
+            runs.append((begin, i))
+            begin = None
+    return runs
+
+
+def _surges(weights: list[int], window: int, threshold: int) -> bool:
+    return any(sum(weights[i : i + window]) > threshold for i in range(len(weights)))
+
+
 def main_text(page: str | None, window: int = WINDOW, threshold: int = THRESHOLD) -> str:
     """The main text of one page, one block a line; '' where there is none."""
     lines = _lines(page or "")
-    if any(inside for _, _, inside in lines):
-        weights = [(max(w, threshold + 1) if w else 0) if inside else 0 for _, w, inside in lines]
+    texts: list[tuple[list[list[str]], list[bool], bool]] = []  # of each text its runs, which surge, and whether it weighs anything
+    inside = sorted({a for _, _, a in lines if a})
+    if inside:
+        for number in inside:
+            own = [(text, linked) for text, linked, a in lines if a == number]
+            weights = [len(text) - linked + max(0, linked - LINK) for text, linked in own]
+            runs = _runs(weights, window) if any(weights) else [(0, len(own))]
+            surge = any(_surges(weights[a:b], window, threshold) for a, b in runs)
+            texts.append(([[t for t, _ in own[a:b]] for a, b in runs], [surge] * len(runs), any(weights)))
+        weighty = any(x[2] for x in texts)
     else:
-        weights = [w for _, w, _ in lines]
-    n = len(lines)
-    sums = [sum(weights[i : i + window]) for i in range(n)]
-    spans: list[tuple[int, int]] = []
-    i = 0
-    while i < n:
-        if weights[i] and sums[i] > threshold:
-            dive = i
-            while dive < n and sums[dive]:
-                dive += 1
-            spans.append((i, dive))
-            i = dive
-        else:
-            i += 1
-    if not spans:
-        # Nothing surges: the heaviest run of lines without a gap is all the text there is.
-        i = 0
-        while i < n:
-            dive = i
-            while dive < n and sums[dive]:
-                dive += 1
-            if dive > i:
-                spans.append((i, dive))
-            i = dive + 1
-        spans = sorted(spans, key=lambda s: -sum(weights[s[0] : s[1]]))[:1]
-    kept = []
-    for a, b in spans:
-        last = max((j for j in range(a, b) if weights[j]), default=a - 1)
-        kept += [lines[j][0] for j in range(a, last + 1) if lines[j][0]]
+        gap = [("", 0, 0)] * window
+        own = gap + lines + gap
+        weights = [len(text) - linked for text, linked, _ in own]
+        runs = [(a, b) for a, b in _runs(weights, window) if any(weights[a:b])]
+        texts.append(([[t for t, _, _ in own[a:b] if t] for a, b in runs], [_surges(weights[a:b], window, threshold) for a, b in runs], True))
+        weighty = True
+    surging = any(any(surges) for _, surges, _ in texts)
+    kept = [line for runs, surges, weighs in texts for run, s in zip(runs, surges) if s or not surging and (weighs or not weighty) for line in run]
     return "\n".join(kept)
 
 
