@@ -1,18 +1,18 @@
 """License scans: base phrases, and an exact set-similarity join of text blocks with templates.
 
-A block is a line of the text, as the set of its words. A template is found in a block
-whose words hold at least ``threshold`` of the template's distinct words. Words are ordered
-by global frequency, rarest first, counted over all documents. A template of t words that
-needs k of them has as prefix its t - k + 1 rarest words: a block without any of
-these cannot reach k. A block is looked at only if it has at least k template words
+A block is a window of the text's words, wherever lines break. A template of n words, of which t are different, is found in a
+block of at most n / ``threshold`` words (its longest, so that a sentence that happens to hold the words far apart is
+none) that holds at least k = ceil(``threshold`` * t) of the t. Words are ordered by global frequency, rarest first, counted over all
+documents. A template has as prefix its t - k + 1 rarest words: a block without any of
+these cannot reach k, so only windows around a prefix word are formed. A block is looked at only if it has at least k template words
 (length), shares a prefix word, and still can reach k from the places at which the
 first shared word stands in both ordered sets (position); what is left is verified by
 counting. The templates are a fixed, small parameter, so the join needs no shuffle: each
 document is read once, and its row is complete where it was read.
 
 Edge cases: null and empty texts give zero counts, null positions, empty labels and
-score 0; equal rows give equal rows; empty lines are no blocks; any other column is
-ignored; an empty table gives no rows.
+score 0; very long texts are scanned whole; of windows that tie the label counts once; equal rows give equal rows; columns other
+than the id and the text may have any names and are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -114,55 +114,57 @@ def scan_licenses(
     ``score`` is the highest containment among the blocks that reach the threshold, 1 where
     a base phrase stands, else 0.
     """
-    sets = {k: set(v.split()) for k, v in templates.items()}
+    lists = {k: v.split() for k, v in templates.items()}
+    sets = {k: set(v) for k, v in lists.items()}
     seen = token_frequencies(docs, set().union(*sets.values()), text_col)
     ranked = sorted(set().union(*sets.values()), key=lambda w: (seen.get(w, 0), w))
     shapes = []
     for label, words in sets.items():
         need = max(1, math.ceil(threshold * len(words) - 1e-9))
         own = [w for w in ranked if w in words]
-        shapes.append((label, own, own[: len(own) - need + 1], need))
-    least = min(s[3] for s in shapes)
+        shapes.append((label, own, own[: len(own) - need + 1], need, math.floor(len(lists[label]) / threshold + 1e-9)))
     postings = F.array(
         *[
-            F.struct(F.lit(label).alias("label"), _array(own).alias("words"), _array(prefix).alias("prefix"), F.lit(need).alias("need"))
-            for label, own, prefix, need in shapes
+            F.struct(F.lit(label).alias("label"), _array(own).alias("words"), _array(prefix).alias("prefix"), F.lit(need).alias("need"), F.lit(most).alias("most"))
+            for label, own, prefix, need, most in shapes
         ]
     )
     in_rank_order = _array(ranked)
+    # The prefix filter looks at the whole text first: without any prefix word in it no block can match.
+    prefixes = _array(sorted({p for shape in shapes for p in shape[2]}))
 
     def reach(t: Column, block: Column) -> Column:
         """What template t can still reach, from the first prefix word that the block shares."""
         first = F.array_intersect(t["prefix"], block)[0]
         return F.least(F.size(t["words"]) - F.array_position(t["words"], first), F.size(block) - F.array_position(block, first)) + 1
 
-    def matches(block: Column) -> Column:
-        likely = F.filter(
-            postings, lambda t: (F.size(block) >= t["need"]) & F.arrays_overlap(t["prefix"], block) & F.coalesce(reach(t, block) >= t["need"], F.lit(False))
-        )
-        counted = F.transform(
-            likely,
-            lambda t: F.struct(
-                t["label"].alias("label"), t["need"].alias("need"), F.size(F.array_intersect(t["words"], block)).alias("n"), F.size(t["words"]).alias("of")
-            ),
-        )
-        return F.filter(counted, lambda m: m["n"] >= m["need"])
+    def best(t: Column, w: Column, anchors: Column) -> Column:
+        """The most words of template t in a block of words w; 0 below the threshold. A block that reaches it
+        holds a prefix word, and may as well begin at its first template word."""
+        around = F.transform(F.filter(anchors, lambda i: F.array_contains(t["prefix"], F.get(w, i))), lambda i: F.sequence(F.greatest(F.lit(0), i - t["most"] + 1), i))
+        begins = F.filter(F.array_distinct(F.flatten(around)), lambda i: F.array_contains(t["words"], F.get(w, i)))
+        blocks = F.transform(begins, lambda i: F.array_intersect(in_rank_order, F.slice(w, i + 1, t["most"])))
+        likely = F.filter(blocks, lambda x: (F.size(x) >= t["need"]) & F.arrays_overlap(t["prefix"], x) & F.coalesce(reach(t, x) >= t["need"], F.lit(False)))
+        return F.coalesce(F.array_max(F.filter(F.transform(likely, lambda x: F.size(F.array_intersect(t["words"], x))), lambda n: n >= t["need"])), F.lit(0))
 
-    nothing = F.struct(F.lit(0).cast("long").alias("n"), F.lit(None).cast("long").alias("first"), F.lit(None).cast("long").alias("last"), F.array().cast("array<string>").alias("labels"))
-    no_match = F.array().cast("array<struct<label:string,need:int,n:int,of:int>>")
-    # The prefix filter looks at the whole text first: without any prefix word in it no block can match.
-    prefixes = {p for shape in shapes for p in shape[2]}
+    def matches(w: Column) -> Column:
+        def at(anchors: Column) -> Column:
+            found = F.transform(postings, lambda t: F.struct(t["label"].alias("label"), best(t, w, anchors).alias("n"), F.size(t["words"]).alias("of")))
+            return F.filter(found, lambda m: m["n"] > 0)
+
+        return let(F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: F.array_contains(prefixes, F.get(w, i))), at)
 
-    def blocks_of(t: Column) -> Column:
-        return F.filter(F.transform(F.split(t, "\n"), lambda line: F.array_intersect(in_rank_order, pieces(line))), lambda b: F.size(b) >= least)
+    nothing = F.struct(F.lit(0).cast("long").alias("n"), F.lit(None).cast("long").alias("first"), F.lit(None).cast("long").alias("last"), F.array().cast("array<string>").alias("labels"))
+    no_match = F.array().cast("array<struct<label:string,n:int,of:int>>")
 
     def of_words(t: Column, p: Column) -> Column:
         empty = (p[0] == "").cast("int") + ((F.size(p) > 1) & (F.element_at(p, -1) == "")).cast("int")
+        words = F.filter(p, lambda w: w != "")
         return F.struct(
             (F.size(p) - empty).cast("long").alias("n_words"),
             # Every base phrase ends in one of these words.
-            F.when(F.arrays_overlap(p, _array(sorted({x.split()[-1] for x in base}))), let(F.filter(p, lambda w: w != ""), lambda w: _base_hits(w, base))).otherwise(nothing).alias("base"),
-            F.when(F.arrays_overlap(p, _array(sorted(prefixes))), F.flatten(F.transform(blocks_of(t), matches))).otherwise(no_match).alias("found"),
+            F.when(F.arrays_overlap(p, _array(sorted({x.split()[-1] for x in base}))), let(words, lambda w: _base_hits(w, base))).otherwise(nothing).alias("base"),
+            F.when(F.arrays_overlap(p, prefixes), let(words, matches)).otherwise(no_match).alias("found"),
         )
 
     text = folded(F.coalesce(F.col(text_col), F.lit("")))
