@@ -6,11 +6,12 @@ the whole (repeated neighbours, distinct words, repeated lines, capitals, symbol
 A truncated singular value decomposition of a bounded sample of labelled rows
 (``SAMPLE`` at most, the same in every run) gives the latent space. The labelled
 vectors, a fixed number, are broadcast; every document gets its exact cosines with
-all of them, block by block, and its ``NEIGHBOURS`` nearest vote for their labels, weighted by similarity.
+all of them, block by block, and its ``NEIGHBOURS`` nearest vote for their labels, weighted by similarity; with the
+last of them vote all that are as near.
 
 Edge cases: null and empty texts are nearest to nothing and score the sample's share of
 good labels; null ids are never learned from; without labels the score is 0.5;
-equal texts score alike; texts are read whole; extra columns are ignored; an empty table gives no rows.
+equal texts score alike, and of equally near neighbours all count; texts are read whole, however long; extra columns may have any names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -38,6 +39,8 @@ HOLD = (3, 1)
 WORD_WEIGHT = 0.25
 #: Similarities are raised to this power in the vote.
 SHARP = 8
+#: Similarities that agree in so many digits are equal.
+DIGITS = 9
 
 _PLAIN = bytes(c for c in range(256) if c >= 128 or 97 <= c <= 122)
 _SHAPE = bytes(ord("X") if 65 <= c <= 90 else ord("9") if 48 <= c <= 57 else c for c in range(256))
@@ -59,7 +62,7 @@ def terms(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     cols = [crc(w) % WORDS for w in bag]
     vals = 1 + np.log(np.fromiter(bag.values(), np.float64, len(bag)))
     left = data.translate(_SHAPE, _PLAIN).split()
-    marks = Counter(x[:4] for x in left)
+    marks = Counter(left)
     lines = [x for x in data.split(b"\n") if x.strip()]
     same = sum(a == b for a, b in zip(words, words[1:]))
     shares = [
@@ -67,7 +70,7 @@ def terms(text: str | None) -> tuple[np.ndarray, np.ndarray]:
         _bin("same", same / n),
         _bin("distinct", len(bag) / n, 5),
         _bin("lines", 1 - len(set(lines)) / len(lines)),
-        _bin("capitals", sum(x.count(b"X") * k for x, k in marks.items()) / (4 * n)),
+        _bin("capitals", sum(x.count(b"X") * k for x, k in marks.items()) / sum(map(len, words))),
         _bin("length", min(1.0, (len(data) - n) / (20 * n))),
     ]
     other = {WORDS + crc(m) % MARKS: 0.0 for m in marks}
@@ -85,18 +88,18 @@ class Voter:
 
     def __init__(self, bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, rank: int = RANK, seed: int = 42) -> None:
         self.share = float(labels.mean()) if len(labels) else 0.5
-        self.good = labels.astype(np.float32)
+        self.good = labels.astype(np.float64)
         df = np.zeros(SIZE)
         for cols, _ in bags:
             df[np.unique(cols)] += 1
         self.idf = np.log((1 + len(bags)) / (1 + df)) + 1
-        self.space = np.zeros((SIZE, 0), np.float32)
-        x = np.zeros((len(bags), SIZE), np.float32)
+        self.space = np.zeros((SIZE, 0), np.float64)
+        x = np.zeros((len(bags), SIZE), np.float64)
         for i, (cols, vals) in enumerate(bags):
             np.add.at(x[i], cols, self._weigh(cols, vals))
         if len(bags):
             rng = np.random.default_rng(seed)
-            q = x @ rng.standard_normal((SIZE, rank + 8)).astype(np.float32)
+            q = x @ rng.standard_normal((SIZE, rank + 8)).astype(np.float64)
             for _ in range(3):
                 q, _ = np.linalg.qr(q)
                 q, _ = np.linalg.qr(x.T @ q)
@@ -113,7 +116,7 @@ class Voter:
             length = np.sqrt((v[part] ** 2).sum())
             if length:
                 v[part] *= weight / length
-        return v.astype(np.float32)
+        return v.astype(np.float64)
 
     @staticmethod
     def _unit(v: np.ndarray) -> np.ndarray:
@@ -123,18 +126,18 @@ class Voter:
     def score(self, texts: list[str | None]) -> np.ndarray:
         if not len(self.good):
             return np.full(len(texts), self.share)
-        found = np.zeros((len(texts), self.space.shape[1]), np.float32)
+        found = np.zeros((len(texts), self.space.shape[1]), np.float64)
         for i, t in enumerate(texts):
             cols, vals = terms(t)
             if len(cols):
                 found[i] = self._weigh(cols, vals) @ self.space[cols]
         found = self._unit(found)
-        near = found @ self.vectors.T
+        near = np.round(found @ self.vectors.T, DIGITS)
         k = min(NEIGHBOURS, near.shape[1])
-        at = np.argpartition(-near, k - 1, axis=1)[:, :k]
-        weight = np.maximum(np.take_along_axis(near, at, axis=1), 0) ** SHARP
+        least = np.partition(near, near.shape[1] - k, axis=1)[:, near.shape[1] - k]
+        weight = np.where(near >= least[:, None], np.maximum(near, 0) ** SHARP, 0.0)
         total = weight.sum(axis=1)
-        voted = (weight * self.good[at]).sum(axis=1)
+        voted = weight @ self.good
         # One more voter of small weight holds the sample's share: a text near to nothing gets that.
         return np.clip((voted + 0.01 * self.share) / (total + 0.01), 0, 1)
 

@@ -120,18 +120,31 @@ def test_terms():
     assert len(cols) == len(vals) and (vals >= 0).all() and quality_knn.terms(None)[0].size == 0
 
 
+def test_terms_are_whole():
+    """Marks differ beyond their fourth character, and capitals are a share of all characters."""
+    cols = lambda t: set(quality_knn.terms(t)[0].tolist())
+    assert cols("abc#######!") != cols("abc#######?") and cols("x AAAAAAAAAA") != cols("x AAAAaaaaaa")
+
+
 def test_voter_is_exact_nearest_neighbours():
+    """Against a sort of all similarities; neighbours as near as the last one vote too."""
     r = random.Random(1)
     texts = [" ".join(r.choice(["alpha", "beta", "GAMMA!!", "x***"] if i % 2 else ["one", "two", "three"]) for _ in range(20)) for i in range(60)]
-    y = np.array([i % 2 for i in range(60)], float)
+    texts += [texts[0]] * 20 + [texts[1]] * 20
+    y = np.array([i % 3 > 0 for i in range(len(texts))], float)
     v = quality_knn.Voter([quality_knn.terms(t) for t in texts], y, rank=8)
-    for t, s in zip(texts[:10], v.score(texts[:10])):
+    probes = texts[:30] + ["alpha two GAMMA!!", "one x***", "zzz"]
+    for t, s in zip(probes, v.score(probes)):
         cols, vals = quality_knn.terms(t)
         x = v._weigh(cols, vals) @ v.space[cols]
-        sims = np.sort((v.vectors @ (x / np.linalg.norm(x))) * 1.0)
-        at = np.argsort(-(v.vectors @ (x / np.linalg.norm(x))))[: quality_knn.NEIGHBOURS]
-        w = np.maximum((v.vectors @ (x / np.linalg.norm(x)))[at], 0) ** quality_knn.SHARP
-        assert abs(s - (w @ y[at] + 0.01 * v.share) / (w.sum() + 0.01)) < 0.05 and sims.size == 60
+        near = np.round(v.vectors @ (x / np.linalg.norm(x)), quality_knn.DIGITS)
+        last = sorted(near, reverse=True)[quality_knn.NEIGHBOURS - 1]
+        votes = [(max(n, 0) ** quality_knn.SHARP, good) for n, good in zip(near, y) if n >= last]
+        assert len(votes) >= quality_knn.NEIGHBOURS
+        want = (sum(w * good for w, good in votes) + 0.01 * v.share) / (sum(w for w, _ in votes) + 0.01)
+        assert abs(s - want) < 1e-9
+    assert sum(n >= last for n in near) >= quality_knn.NEIGHBOURS
+    assert np.allclose(v.score(probes), [v.score([t])[0] for t in probes], atol=1e-9)
     assert abs(v.score([None])[0] - v.share) < 1e-6 and quality_knn.Voter([], np.array([])).score(["x"])[0] == 0.5
 
 
