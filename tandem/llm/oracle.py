@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from . import license_scan, mixing, url_filter
 
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -16,15 +18,16 @@ def license_sql() -> str:
         parts = phrase.split()
         same = " AND ".join(f"w[i + {k + 1}] = {_quote(p)}" for k, p in enumerate(parts))
         places.append(f"SELECT r, {_quote(label)} AS label, i FROM words, unnest(range(len(w) - {len(parts) - 1})) AS t(i) WHERE {same}")
-    shapes = ", ".join(f"({_quote(k)}, {sorted(set(v.split()))!r})" for k, v in license_scan.TEMPLATES.items())
+    most = {k: math.floor(len(v.split()) / license_scan.THRESHOLD + 1e-9) for k, v in license_scan.TEMPLATES.items()}
+    shapes = ", ".join(f"({_quote(k)}, {sorted(set(v.split()))!r}, {most[k]})" for k, v in license_scan.TEMPLATES.items())
     return f"""
 WITH docs AS (SELECT row_number() OVER () AS r, doc_id, {lower} AS t FROM documents),
 words AS (SELECT r, doc_id, regexp_extract_all(t, '{word}') AS w FROM docs),
 base AS ({" UNION ALL ".join(places)}),
 base_sum AS (SELECT r, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word FROM base GROUP BY r),
-templates(label, own) AS (VALUES {shapes}),
-blocks AS (SELECT r, list_distinct(regexp_extract_all(line, '{word}')) AS b FROM docs, unnest(string_split(t, chr(10))) AS u(line)),
-hits AS (SELECT r, label, len(list_intersect(own, b)) AS n, len(own) AS k FROM blocks, templates WHERE len(list_intersect(own, b)) >= ceil({license_scan.THRESHOLD} * len(own) - 1e-9)),
+templates(label, own, most) AS (VALUES {shapes}),
+blocks AS (SELECT r, label, own, len(list_intersect(own, w[i + 1:i + most])) AS n FROM words, templates, unnest(range(len(w))) AS t(i)),
+hits AS (SELECT r, label, n, len(own) AS k FROM blocks WHERE n >= ceil({license_scan.THRESHOLD} * len(own) - 1e-9)),
 hit_sum AS (SELECT r, max(n / k) AS best FROM hits GROUP BY r),
 base_names AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS names FROM base GROUP BY r),
 all_names AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS names FROM (SELECT r, label FROM base UNION ALL SELECT r, label FROM hits) GROUP BY r)
@@ -77,7 +80,17 @@ def url_sql() -> str:
     host = rf"translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)([^?#]*)', 1), '{_UP}', '{_LOW}')"
     rules = ", ".join(f"({_quote(h)}, {_quote(p)}, {_quote(v)})" for h, p, v in url_filter.RULES)
     low, high = url_filter.STRENGTH
-    bare = "regexp_replace(regexp_replace(host, '^[^@]*@', ''), ':[0-9]*$', '')"
+    bare = "rtrim(regexp_replace(regexp_replace(host, '^[^@]*@', ''), ':[0-9]*$', ''), '.')"
+    last = lambda n: f"array_to_string(string_split({bare}, '.')[-{n}:], '.')"
+    listed = lambda names: ", ".join(map(_quote, sorted(names)))
+    exact = {n: [x for x in url_filter.SUFFIXES if x.count(".") == n - 1 and x[0] not in "*!"] for n in (2, 3)}
+    wild, but = [x[2:] for x in url_filter.SUFFIXES if x.startswith("*.")], [x[1:] for x in url_filter.SUFFIXES if x.startswith("!")]
+    address = f"(regexp_full_match({bare}, '[0-9]+(\\.[0-9]+){{3}}') OR starts_with({bare}, '['))"
+    kind = f"""CASE WHEN {last(3)} IN ({listed(exact[3])}) THEN 3 WHEN {last(2)} IN ({listed(but)}) THEN 1
+  WHEN {last(2)} IN ({listed(exact[2])}) OR ({last(1)} IN ({listed(wild)}) AND len(string_split({bare}, '.')) > 1) THEN 2 ELSE 1 END"""
+    suffix = f"CASE WHEN {address} THEN {bare} ELSE array_to_string(string_split({bare}, '.')[-({kind}):], '.') END"
+    domain = f"CASE WHEN {address} THEN {bare} ELSE array_to_string(string_split({bare}, '.')[-(1 + {kind}):], '.') END"
+    steps = url_filter.GRID
 
     def strength(name: str, level: str) -> str:
         return f"""{name}_t AS (SELECT CAST(sum(n) AS DOUBLE) AS n, CAST(sum(bad) AS DOUBLE) AS bad, count(*) AS k, sum(CAST(n AS DOUBLE) * n) AS nn, sum(CAST(bad AS DOUBLE) * bad / n) AS s FROM {level}),
@@ -93,7 +106,7 @@ rules(h, start, verdict) AS (VALUES {rules}),
 fits AS (SELECT r, h || start AS rule, verdict, row_number() OVER (PARTITION BY r ORDER BY len(h || start) DESC, h || start) AS nth
   FROM p, rules WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, start)),
 outcome AS (SELECT doc_id AS page_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
-hosts AS (SELECT host, array_to_string(string_split({bare}, '.')[-2:], '.') AS domain, string_split({bare}, '.')[-1] AS suffix, count(*) AS n, sum(bad) AS bad
+hosts AS (SELECT host, {domain} AS domain, {suffix} AS suffix, count(*) AS n, sum(bad) AS bad
   FROM p JOIN outcome USING (page_id) WHERE host <> '' GROUP BY host),
 domains AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY domain, suffix),
 suffixes AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM domains GROUP BY suffix),
@@ -102,10 +115,17 @@ overall AS (SELECT coalesce(sum(bad), 0) + 1.0 AS a, coalesce(sum(n) - sum(bad),
 s_post AS ({post("suffix", "suffixes", "overall", "ON true", "s_fit")}),
 d_post AS ({post("domain, suffix", "domains", "s_post", "USING (suffix)", "d_fit")}),
 h_post AS ({post("host", "hosts", "d_post", "USING (domain, suffix)", "h_fit")}),
-named AS (SELECT host, array_to_string(string_split({bare}, '.')[-2:], '.') AS domain, string_split({bare}, '.')[-1] AS suffix FROM (SELECT DISTINCT host FROM p)),
+named AS (SELECT host, {domain} AS domain, {suffix} AS suffix FROM (SELECT DISTINCT host FROM p)),
 best AS (SELECT named.host, coalesce(h_post.a, d_post.a, s_post.a, overall.a) AS a, coalesce(h_post.b, d_post.b, s_post.b, overall.b) AS b
   FROM named LEFT JOIN h_post ON named.host = h_post.host LEFT JOIN d_post ON named.domain = d_post.domain LEFT JOIN s_post ON named.suffix = s_post.suffix CROSS JOIN overall),
-bounds AS (SELECT host, round(greatest(0.0, a / (a + b) - {url_filter.Z} * sqrt((a / (a + b)) * (1 - a / (a + b)) / (a + b + 1))), 9) AS bad_bound FROM best)
+span AS (SELECT host, a, b, ln(a / b) AS mid, sqrt(1 / a + 1 / b) AS sd FROM best),
+ends AS (SELECT *, mid - ({url_filter.WIDE} * sd + {url_filter.TAIL} / a) AS zl, mid + ({url_filter.WIDE} * sd + {url_filter.TAIL} / b) AS zr FROM span),
+grid AS (SELECT host, a, b, zl, (zr - zl) / {steps} AS h, zl + k * ((zr - zl) / {steps}) AS z, k, a * ln(a / (a + b)) + b * ln(b / (a + b)) AS top FROM ends, range({steps + 1}) AS t(k)),
+dense AS (SELECT host, zl, h, k, exp(-a * ln(1 + exp(-z)) - b * ln(1 + exp(z)) - top) AS f FROM grid),
+cumulated AS (SELECT *, sum(f) OVER (PARTITION BY host) AS total, sum(f) OVER (PARTITION BY host ORDER BY k ROWS UNBOUNDED PRECEDING) - f / 2 AS c FROM dense),
+stepped AS (SELECT *, coalesce(lag(c) OVER (PARTITION BY host ORDER BY k), 0) AS c0 FROM cumulated),
+crossed AS (SELECT host, zl + h * (k - 1 + ({1 - url_filter.CERTAIN} * total - c0) / (c - c0)) AS z FROM stepped WHERE c >= {1 - url_filter.CERTAIN} * total AND c0 < {1 - url_filter.CERTAIN} * total),
+bounds AS (SELECT host, round(1 / (1 + exp(-z)), 6) AS bad_bound FROM crossed)
 SELECT p.page_id, p.host, p.path, rule, coalesce(verdict, CASE WHEN bad_bound > {url_filter.LIMIT} THEN 'block' ELSE 'allow' END) AS verdict, CAST(bad_bound AS DOUBLE) AS bad_bound
 FROM p JOIN bounds USING (host) LEFT JOIN (SELECT * FROM fits WHERE nth = 1) AS f USING (r)"""
 

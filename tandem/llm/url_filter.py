@@ -5,14 +5,19 @@ beta-binomial priors down the name: the suffix towards the rate of all labelled
 registered domain towards its suffix, the host towards its domain. The prior strength of each
 level is fitted by moments: the spread of the level's rates beyond what binomial
 noise explains gives the correlation rho, and the strength is (1 - rho) / rho. A page is blocked
-where the lower posterior bound of its host's bad rate is over the limit; hosts never seen get
+where the lower posterior bound of its host's bad rate, a quantile of the beta law, is over the limit; hosts never seen get
 their domain's, suffix's or the overall posterior.
 
-Outcomes are counted by host before anything is joined; a hot host is then a single row.
+Suffixes are those under which anyone can register (``SUFFIXES``, a parameter; the last label where none fits), the registered domain is the
+suffix with one label more, and an address of numbers is its own domain and suffix.
+
+Outcomes are counted by host before anything is joined; a hot host is then a single row. Pages meet the hosts' bounds by
+broadcast up to a counted size; beyond it by hash, where the engine's skew handling splits a hot host's pages.
 
 Edge cases: a null url, or one without '://', has an empty host and path and is judged by
-the overall rate; ports and user names stay part of the host as given; no labels at all
-means that nothing but rules can block; equal rows give equal rows; other columns are
+the overall rate; ports and user names stay part of the host as given, but not of its domain; very long urls are read whole; of rules of equal
+length the first by code point counts; no labels at all
+means that nothing but rules can block; equal rows give equal rows; columns other than the id and the url may have any names and are
 ignored; an empty table gives no rows.
 """
 
@@ -23,13 +28,25 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import ascii_lower, join_ids, let, settle
 
 #: (host, path, verdict)
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
-#: Block where the bad rate is over LIMIT with the certainty of Z standard deviations.
+#: Block where the bad rate is over LIMIT with certainty CERTAIN.
 LIMIT = 0.35
-Z = 1.645
+CERTAIN = 0.95
+#: Steps in which a posterior is summed over the log odds of the rate, and how far to both sides: in standard deviations, and beside that in units of the tail's decay.
+GRID = 512
+WIDE, TAIL = 10.0, 25.0
+#: Suffixes of more than one label under which names are registered; '*' is any label, '!' an exception to that.
+SUFFIXES = (
+    "co.uk org.uk ac.uk gov.uk net.uk me.uk ltd.uk plc.uk sch.uk nhs.uk com.au net.au org.au edu.au gov.au id.au co.nz net.nz org.nz ac.nz govt.nz "
+    "co.jp ne.jp or.jp ac.jp go.jp co.kr or.kr ac.kr go.kr com.cn net.cn org.cn gov.cn edu.cn com.tw org.tw com.hk org.hk com.sg com.my co.in net.in org.in ac.in gov.in "
+    "co.id co.th in.th ac.th com.vn com.ph com.br net.br org.br gov.br com.ar com.mx org.mx com.co com.pe com.ve com.ec com.uy com.tr org.tr gov.tr com.ua com.pl net.pl org.pl "
+    "co.il org.il ac.il co.za org.za ac.za co.ke co.ng com.ng com.eg com.sa com.pk com.gr com.pt com.es com.ru co.at or.at co.hu "
+    "github.io gitlab.io blogspot.com wordpress.com herokuapp.com netlify.app vercel.app pages.dev web.app s3.amazonaws.com "
+    "*.ck !www.ck *.bd *.np *.kh *.mm *.er *.fk"
+).split()
 #: Strengths that a fit may give, and the one where it has too little to go by.
 STRENGTH = (1.0, 1000.0)
 
@@ -93,16 +110,64 @@ def reputations(labelled: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, D
 
 
 def _bare(host: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(host, "^[^@]*@", ""), ":[0-9]*$", "")
+    """The host without user name, port and final dots."""
+    return F.rtrim(F.regexp_replace(F.regexp_replace(host, "^[^@]*@", ""), ":[0-9]*$", ""), F.lit("."))
+
+
+def _is_address(bare: Column) -> Column:
+    return bare.rlike(r"^[0-9]+(\.[0-9]+){3}$") | bare.startswith("[")
+
+
+def _suffix_labels(bare: Column, suffixes: Sequence[str]) -> Column:
+    """Of how many labels the host's suffix is."""
+    last = lambda n: F.substring_index(bare, ".", -n)
+    exact = lambda n: [x for x in suffixes if x.count(".") == n - 1 and x[0] not in "*!"]
+    wild, but = [x[2:] for x in suffixes if x.startswith("*.")], [x[1:] for x in suffixes if x.startswith("!")]
+    two = last(2).isin(exact(2)) | (last(1).isin(wild) & F.contains(bare, F.lit(".")))
+    return F.when(last(3).isin(exact(3)), 3).when(last(2).isin(but), 1).when(two, 2).otherwise(1)
+
+
+def _last_labels(bare: Column, n: Column) -> Column:
+    return F.array_join(F.slice(F.split(bare, r"\."), -F.least(n, F.size(F.split(bare, r"\."))), 9), ".")
+
+
+def domain_of(host: Column, suffixes: Sequence[str] = SUFFIXES) -> Column:
+    """The suffix and one label before it, if there is one."""
+    bare = _bare(host)
+    return F.when(_is_address(bare), bare).otherwise(_last_labels(bare, _suffix_labels(bare, suffixes) + 1))
+
+
+def suffix_of(host: Column, suffixes: Sequence[str] = SUFFIXES) -> Column:
+    bare = _bare(host)
+    return F.when(_is_address(bare), bare).otherwise(_last_labels(bare, _suffix_labels(bare, suffixes)))
+
+
+def beta_quantile(a: Column, b: Column, p: float) -> Column:
+    """Below which rate the share ``p`` of a beta law lies. Over the log odds z of the rate the density is
+    smooth for all a and b; it is summed by trapezoids, and the step in which the sum passes ``p`` is divided in proportion."""
+    sd = F.sqrt(1 / a + 1 / b)
+    low = F.log(a / b) - (WIDE * sd + TAIL / a)
+    step = (F.log(a / b) + (WIDE * sd + TAIL / b) - low) / GRID
+    top = a * F.log(a / (a + b)) + b * F.log(b / (a + b))
+
+    def density(s: Column, k: Column) -> Column:
+        z = s["low"] + k * s["step"]
+        return F.exp(-s["a"] * F.log(1 + F.exp(-z)) - s["b"] * F.log(1 + F.exp(z)) - s["top"])
 
+    def crossing(f: Column, s: Column, target: Column) -> Column:
+        start = F.struct(F.lit(0.0).alias("sum"), F.lit(0.0).alias("c"), F.lit(0).alias("k"), F.lit(None).cast("double").alias("at"))
 
-def domain_of(host: Column) -> Column:
-    """The last two labels: the suffix and one before it."""
-    return F.substring_index(_bare(host), ".", -2)
+        def move(acc: Column, x: Column) -> Column:
+            c = acc["sum"] + x / 2
+            here = acc["k"] - 1 + (target - acc["c"]) / (c - acc["c"])
+            passed = acc["at"].isNull() & (c >= target) & (acc["c"] < target)
+            return F.struct((acc["sum"] + x).alias("sum"), c.alias("c"), (acc["k"] + 1).alias("k"), F.when(passed, here).otherwise(acc["at"]).alias("at"))
 
+        at = F.aggregate(f, start, move, lambda acc: acc["at"])
+        return 1 / (1 + F.exp(-(s["low"] + s["step"] * at)))
 
-def suffix_of(host: Column) -> Column:
-    return F.substring_index(_bare(host), ".", -1)
+    scale = F.struct(low.alias("low"), step.alias("step"), top.alias("top"), a.alias("a"), b.alias("b"))
+    return let(scale, lambda s: let(F.transform(F.sequence(F.lit(0), F.lit(GRID)), lambda k: density(s, k)), lambda f: let(p * F.aggregate(f, F.lit(0.0), lambda acc, x: acc + x), lambda target: crossing(f, s, target))))
 
 
 def filter_urls(
@@ -112,7 +177,7 @@ def filter_urls(
     url_col: str = "url",
     rules: Sequence[tuple[str, str, str]] = RULES,
     limit: float = LIMIT,
-    z: float = Z,
+    certain: float = CERTAIN,
 ) -> DataFrame:
     """(page_id, host, path, rule, verdict, bad_bound) of every page; ``outcomes`` has (page_id, bad)."""
     url = F.col(url_col)
@@ -126,10 +191,10 @@ def filter_urls(
     names = names.join(pick(hosts, "host"), "host", "left").join(pick(domains, "domain"), "domain", "left").join(pick(suffixes, "suffix"), "suffix", "left")
     names = names.withColumn("all_p", overall.select(F.struct("a", "b")).scalar())
     best = F.coalesce("host_p", "domain_p", "suffix_p", "all_p")
-    a, b = best["a"], best["b"]
-    mean = a / (a + b)
-    bound = mean - z * F.sqrt(mean * (1 - mean) / (a + b + 1))
-    names = names.select("host", F.round(F.greatest(F.lit(0.0), bound), 9).alias("bad_bound"))
-    out = p.join(names, "host")
+    # Many hosts share a posterior; each is summed once.
+    names = settle(names.select("host", best["a"].alias("a"), best["b"].alias("b")))
+    laws = settle(names.select("a", "b").distinct().withColumn("bad_bound", F.round(beta_quantile(F.col("a"), F.col("b"), 1 - certain), 6)))
+    names = names.join(laws, ["a", "b"]).select("host", "bad_bound")
+    out = join_ids(p, names, "host")
     verdict = F.coalesce(F.col("fit.verdict"), F.when(F.col("bad_bound") > limit, "block").otherwise("allow"))
     return out.select("page_id", "host", "path", F.col("fit.rule").alias("rule"), verdict.alias("verdict"), "bad_bound")

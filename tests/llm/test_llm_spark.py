@@ -233,6 +233,75 @@ def test_licenses(spark):
     assert [got[i] for i in range(len(cases))] == list(cases.values())
 
 
+def test_blocks_are_windows(spark):
+    """Wrapped templates are found, words strewn over a sentence or a page are not; against every window."""
+    grant = license_scan.TEMPLATES["mit-grant"].split()
+    bsd = license_scan.TEMPLATES["bsd"].split()
+    r = random.Random(4)
+    strewn = " ".join(f"{w} " + " ".join(f"x{r.randint(0, 99)}" for _ in range(3)) for w in grant)
+    texts = [
+        "Foo.\n" + "\n".join(" ".join(grant[i : i + 6]) for i in range(0, len(grant), 6)) + "\nBar",
+        "the museum released a film and mit students under contract got a license for it",
+        "the apache helicopter of version 2 0 was licensed under the the the army license",
+        strewn,
+        "\n".join(bsd[:9] + ["other"] + bsd[9:]),
+        " ".join(bsd[1:10] + bsd[11:]),
+        "license " * 5000 + "licensed under cc by sa 4 0",
+        "",
+        *(" ".join(r.choice(sorted(set(grant + bsd))) for _ in range(200)) for _ in range(20)),
+        *(" ".join(r.sample(grant, len(grant)) + bsd) for _ in range(5)),
+    ]
+    want = []
+    for t in texts:
+        words = t.lower().split()
+        found = {}
+        for label, template in license_scan.TEMPLATES.items():
+            own, most = set(template.split()), math.floor(len(template.split()) / license_scan.THRESHOLD + 1e-9)
+            best = max((len(own & set(words[i : i + most])) for i in range(len(words))), default=0)
+            if best >= math.ceil(license_scan.THRESHOLD * len(own) - 1e-9):
+                found[label] = best / len(own)
+        want.append((",".join(sorted(found)), max(found.values(), default=0.0)))
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id int, text string")
+    got = {x.doc_id: (x.labels, x.score) for x in license_scan.scan_licenses(df).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+    assert [got[i][0] for i in range(7)] == ["mit-grant", "", "", "", "bsd", "bsd" if want[5][0] else "", "cc-by-sa"]
+
+
+def test_domains(spark):
+    cases = {
+        "news.bbc.co.uk": ("bbc.co.uk", "co.uk"),
+        "shop.co.uk": ("shop.co.uk", "co.uk"),
+        "co.uk": ("co.uk", "co.uk"),
+        "a.b.example.com": ("example.com", "com"),
+        "u@x.example.org:80": ("example.org", "org"),
+        "10.0.0.1:8080": ("10.0.0.1", "10.0.0.1"),
+        "[::1]": ("[::1]", "[::1]"),
+        "a.b.c.ck": ("b.c.ck", "c.ck"),
+        "x.www.ck": ("www.ck", "ck"),
+        "me.github.io": ("me.github.io", "github.io"),
+        "b.s3.amazonaws.com": ("b.s3.amazonaws.com", "s3.amazonaws.com"),
+        "localhost": ("localhost", "localhost"),
+        "example.com.": ("example.com", "com"),
+        "": ("", ""),
+    }
+    df = spark.createDataFrame([(h,) for h in cases], "h string")
+    got = {r.h: (r.d, r.s) for r in df.select("h", url_filter.domain_of(F.col("h")).alias("d"), url_filter.suffix_of(F.col("h")).alias("s")).collect()}
+    assert got == cases
+
+
+def test_beta_quantile(spark):
+    """Against the law's sum over a fine grid, and a sample."""
+    pairs = [(1.0, 1.0), (0.1, 0.9), (0.02, 3.0), (2.5, 7.0), (40.0, 60.0), (900.0, 100.0), (5.0, 0.2), (3000.0, 9000.0)]
+    df = spark.createDataFrame(pairs, "a double, b double")
+    got = {(r.a, r.b): (r.low, r.mid) for r in df.select("a", "b", url_filter.beta_quantile(F.col("a"), F.col("b"), 0.05).alias("low"), url_filter.beta_quantile(F.col("a"), F.col("b"), 0.5).alias("mid")).collect()}
+    rng = np.random.default_rng(1)
+    for a, b in pairs:
+        draws = rng.beta(a, b, 400_000)
+        for p, x in zip((0.05, 0.5), got[a, b]):
+            assert abs((draws < x).mean() - p) < 0.006, (a, b, p, x)
+    assert abs(got[1.0, 1.0][0] - 0.05) < 1e-3
+
+
 @pytest.mark.parametrize("name", sorted(oracle.sql()))
 def test_against_sql(spark, sf_dir, name, docs, tmp_path):
     from tests.test_catalogue import compare
