@@ -1,17 +1,20 @@
-"""Near copies by exact set similarity: texts whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more.
+"""Operator 6 for a similarity of word sets: texts whose 5-word shingles have a Jaccard similarity of 0.8 or more.
 
-A SimHash of 64 bits does not reach this: at 0.8 two fingerprints differ in about ten bits, so no byte need be
-shared. The search is a prefix-filtered set join instead, which misses no pair: in any one order of all shingles,
-two sets of similarity 4/5 share one among the first n // 5 + 1 of each. The order is rare ones first, by counts
-in a sample of the texts; the order decides how many candidates are met, never which pairs are found.
-Candidates pass the size and position filters and are verified on the whole sets.
+A SimHash of 64 bits does not reach this: at 0.8 two fingerprints differ in about ten bits, which may leave no byte
+shared. So the positional bytes of the inverted index are more: the 8 of the SimHash and ``MINIMA`` beside, each a byte
+of the least of all shingles under one of as many hash functions, which two sets share with the probability of their
+similarity. The index posts each text under keys of four positional bytes (four keys from each eight bytes); a pair met under any key is
+tallied over all positions, and pairs below ``LEAST`` shared minima go, as do pairs whose sizes alone forbid
+the similarity; the rest are verified on their whole sets. A pair at 0.8 escapes all keys with a
+probability of some 1e-5 and the tally with 1e-5; more similar ones hardly ever. README has the figures.
 
-Texts with equal sets are one node. A shingle in more than ``HEAVY`` prefixes has centres, to which the others
-are compared first; then only pairs of its nodes whose components still differ are. The components are those of
-all pairs, as in :mod:`simhash`.
+Texts with equal sets are one node. A key with more than ``HEAVY`` nodes has a centre, to which the others
+are compared first; then only pairs of its nodes whose components still differ are. The centre is the node of least
+hash, so that the keys of one group mostly have the same one. Components are those of all pairs, as in :mod:`simhash`.
 
 Edge cases: words are as in :mod:`simhash`; fewer than five words are one shingle; null and empty texts
-have no shingle and are one node; rows with equal ids each get a row; an empty table gives no rows.
+have no shingle and are one node; texts of any length are read whole; rows with equal ids each get a row; of ties
+for a component's id the smallest counts; other columns may have any names and are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,150 +28,146 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import join_ids, settle, small_batches
-from .simhash import SEED, components
+from .simhash import SEED, components, fingerprint_of, shingle_hashes
 
 SHINGLE = 5
 #: Least similarity, as a fraction.
 ALIKE = (4, 5)
-#: Nodes in a posting list whose pairs are all compared.
+#: Bytes of minima, and how many of them a pair has to share. At a similarity of 0.8 the mean is 51.2 and the deviation 3.2.
+MINIMA = 64
+LEAST = 38
+#: Nodes of a key whose pairs are all compared.
 HEAVY = 16
-#: Centres of a longer list.
-CENTRES = 2
-#: Longs of the bitmap that bounds from below how many shingles one set has beyond another.
-LONGS = 16
-#: One node in so many is counted for the order of shingles; those met COMMON times there go last, HOT of them at most.
-SAMPLE, COMMON, HOT = 8, 4, 200_000
+
+LONGS = MINIMA // 8
+#: Four bytes of eight: the halves, and every other one.
+_MASKS = [0x00000000FFFFFFFF, 0xFFFFFFFF00000000, 0x00FF00FF00FF00FF, 0xFF00FF00FF00FF00]
+_RNG = np.random.default_rng(42)
+_FACTORS = _RNG.integers(0, 1 << 63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_TERMS = _RNG.integers(0, 1 << 63, MINIMA, dtype=np.uint64)
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
+_NAMES = [f"b{k}" for k in range(LONGS + 1)]
 
 
 def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
     """The distinct shingles of a text as sorted XXH64 values, signed."""
-    words = (text or "").encode("utf-8", "replace").lower().split()
-    if not words:
-        return np.empty(0, np.int64)
-    flat, digest = b" ".join(words), xxhash.xxh64_intdigest
-    starts = np.cumsum([0] + [len(w) + 1 for w in words]).tolist()
-    hashes = [digest(flat[a : b - 1], SEED) for a, b in zip(starts, starts[min(size, len(words)) :])]
-    return np.unique(np.array(hashes, dtype=np.uint64).view(np.int64))
+    return np.unique(shingle_hashes(text, size)).view(np.int64)
+
+
+def minima(items: np.ndarray) -> np.ndarray:
+    """``LONGS`` longs of positional bytes of a set of shingles; zeros for an empty one."""
+    if not len(items):
+        return np.zeros(LONGS, np.int64)
+    values, out = items.view(np.uint64), np.full(MINIMA, ~np.uint64(0))
+    for a in range(0, len(values), 4096):
+        out = np.minimum(out, (values[a : a + 4096, None] * _FACTORS + _TERMS).min(axis=0))
+    return ((out * _SPREAD) >> np.uint64(56)).astype(np.uint8).view(np.int64)
 
 
-def _lists(values: list[np.ndarray]) -> pa.Array:
-    ends = np.cumsum([0] + [len(v) for v in values]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(values) if values else np.empty(0, np.int64)))
+def _node(items: np.ndarray) -> int:
+    h = xxhash.xxh64_intdigest(items.tobytes(), SEED)
+    return h - (1 << 64) if h >> 63 else h
 
 
-def shingle_sets(docs: DataFrame, id_col: str, text_col: str, carry_col: str | None) -> DataFrame:
-    """(doc_id, carry, node, items): the set of each row, and a hash of the whole set."""
+def signatures(docs: DataFrame, id_col: str, text_col: str, carry_col: str | None, size: int = SHINGLE) -> DataFrame:
+    """(doc_id, carry, node, size, b0..): a hash of each row's set, how large that is, and the positional bytes, the SimHash's last."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(x) for x in batch.column(1).to_pylist()]
-            nodes = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(nodes), _lists(sets)], names=["doc_id", "carry", "node", "items"])
+            every = [shingle_hashes(x, size) for x in batch.column(1).to_pylist()]
+            sets = [np.unique(h).view(np.int64) for h in every]
+            found = np.stack([np.append(minima(s), np.array([fingerprint_of(h)], np.uint64).view(np.int64)) for s, h in zip(sets, every)]) if sets else np.zeros((0, LONGS + 1), np.int64)
+            columns = [batch.column(0), batch.column(2), pa.array([_node(s) for s in sets], pa.int64()), pa.array(map(len, sets), pa.int32())]
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.array(found[:, k].copy()) for k in range(LONGS + 1))], names=["doc_id", "carry", "node", "size", *_NAMES])
 
     carry = F.col(carry_col) if carry_col else F.lit(None)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), carry.cast("string").alias("carry"))
-    return source.mapInArrow(run, "doc_id long, carry string, node long, items array<long>")
+    return source.mapInArrow(run, "doc_id long, carry string, node long, size int, " + ", ".join(f"{b} long" for b in _NAMES))
 
 
-def common_shingles(sets: DataFrame) -> list[int]:
-    """The most common shingles of a sample of the nodes, the most common last."""
-    some = sets.where(F.pmod("node", F.lit(SAMPLE)) == 0).select("node", "items").dropDuplicates(["node"])
-    counted = some.select(F.explode("items").alias("s")).groupBy("s").count().where(F.col("count") >= COMMON)
-    return [r.s for r in counted.orderBy(F.desc("count"), "s").limit(HOT).collect()][::-1]
-
-
-def prefixes_of(sets: DataFrame, last: list[int]) -> DataFrame:
-    """(node, size, prefix, bits) of each node: its first shingles in the common order, and a bitmap of all."""
-    hot = np.array(last, dtype=np.int64)
-    by_value = np.argsort(hot)
-    sorted_hot = hot[by_value]
-    p, q = ALIKE
+def _sets(docs: DataFrame, text_col: str, size: int) -> DataFrame:
+    """(node, items) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prefixes, sizes, maps = [], [], []
-            column = batch.column(1)
-            for i in range(batch.num_rows):
-                items = column[i].values.to_numpy()
-                n = len(items)
-                bits = np.zeros(64 * LONGS, bool)
-                bits[items & (64 * LONGS - 1)] = True
-                maps.append(np.packbits(bits).view(np.int64))
-                if len(hot) and n:
-                    place = np.searchsorted(sorted_hot, items).clip(max=len(hot) - 1)
-                    rank = np.where(sorted_hot[place] == items, by_value[place] + 1, 0)
-                    items = items[np.argsort(rank, kind="stable")]
-                prefixes.append(items[: n - -(-p * n // q) + 1])
-                sizes.append(n)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), _lists(prefixes), _lists(maps)], names=["node", "size", "prefix", "bits"])
-
-    found = sets.select("node", "items").mapInArrow(run, "node long, size int, prefix array<long>, bits array<long>")
-    return found.groupBy("node").agg(*[F.first(c).alias(c) for c in ("size", "prefix", "bits")])
+            sets = [shingles(x, size) for x in batch.column(0).to_pylist()]
+            ends = np.cumsum([0] + [len(s) for s in sets]).astype(np.int32)
+            items = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets) if sets else np.empty(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array([_node(s) for s in sets], pa.int64()), items], names=["node", "items"])
 
-
-def _hopeful(a: str, b: str) -> Column:
-    """Sizes and places leave room for the similarity. Holds at the first shingle that a similar pair's prefixes share."""
-    p, q = ALIKE
-    size = F.col(f"{a}.size") + F.col(f"{b}.size")
-    most = F.least(F.col(f"{a}.size") - F.col(f"{a}.at"), F.col(f"{b}.size") - F.col(f"{b}.at"))
-    return most * (p + q) >= size * p
+    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "node long, items array<long>")
 
 
-def _near_enough(a: str, b: str) -> Column:
-    """What the bitmaps show one set to have beyond the other is no more than the similarity allows."""
-    p, q = ALIKE
-    size = F.col(f"{a}.size") + F.col(f"{b}.size")
+def _tally(a: str, b: str) -> Column:
+    """How many minima two nodes share: positions less bytes in which their longs differ. A byte that differs keeps its lowest
+    bit after its others are folded onto it; the masks keep neighbours out."""
+    fold = lambda x, by, mask: x.bitwiseOR(F.shiftrightunsigned(x, by).bitwiseAND(F.lit(mask)))
+    differ = F.lit(0)
+    for k in range(LONGS):
+        x = F.col(f"{a}.b{k}").bitwiseXOR(F.col(f"{b}.b{k}"))
+        for by, mask in ((4, 0x0F0F0F0F0F0F0F0F), (2, 0x3F3F3F3F3F3F3F3F), (1, 0x7F7F7F7F7F7F7F7F)):
+            x = fold(x, by, mask)
+        differ = differ + F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101)))
+    return MINIMA - differ
 
-    def beyond(x: str, y: str) -> Column:
-        return sum((F.bit_count(F.col(f"{x}.bits")[i].bitwiseAND(F.bitwise_not(F.col(f"{y}.bits")[i]))) for i in range(LONGS)), F.lit(0))
 
-    return ((F.col(f"{a}.size") - beyond(a, b)) * (p + q) >= size * p) & ((F.col(f"{b}.size") - beyond(b, a)) * (p + q) >= size * p)
+def _hopeful(a: str, b: str) -> Column:
+    """The sizes allow the similarity, and enough positional bytes are shared."""
+    p, q = ALIKE
+    x, y = F.col(f"{a}.size"), F.col(f"{b}.size")
+    return (x * q >= y * p) & (y * q >= x * p) & (_tally(a, b) >= LEAST)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Of ``pairs`` (a, b) those that are similar. The bitmaps of ``nodes`` are compared before whole sets are moved."""
+def _verified(pairs: DataFrame, docs: DataFrame, text_col: str, size: int) -> DataFrame:
+    """Of ``pairs`` (a, b) those that are similar. Sets are formed again from the texts, and only those asked for are moved."""
     p, q = ALIKE
     pairs = settle(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    x, y = nodes.select("node", "size", "bits").alias("x"), nodes.select("node", "size", "bits").alias("y")
-    met = pairs.join(x, F.col("a") == F.col("x.node")).join(y, F.col("b") == F.col("y.node"))
-    pairs = settle(met.where(_near_enough("x", "y")).select("a", "b"))
     ids = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    own = settle(join_ids(sets.select("node", "items"), ids, "node", "left_semi").dropDuplicates(["node"]))
+    own = settle(join_ids(_sets(docs, text_col, size), ids, "node", "left_semi").dropDuplicates(["node"]))
     both = pairs.join(own.select(F.col("node").alias("a"), F.col("items").alias("x")), "a").join(own.select(F.col("node").alias("b"), F.col("items").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
     return settle(both.where(shared * (p + q) >= (F.size("x") + F.size("y")) * p).select("a", "b"))
 
 
-def links(sets: DataFrame, heavy: int = HEAVY) -> DataFrame:
-    """(a, b): similar pairs of nodes that connect what all similar pairs connect. ``sets`` has (node, items)."""
-    nodes = settle(prefixes_of(sets, common_shingles(sets)))
-    posted = nodes.select("node", "size", F.posexplode("prefix").alias("at", "s"))
-    lists = settle(posted.groupBy("s").agg(F.count("*").alias("_n")).where("_n > 1"))
-    light = posted.join(lists.where(F.col("_n") <= heavy).select("s"), "s")
+def links(nodes: DataFrame, docs: DataFrame, text_col: str = "text", size: int = SHINGLE, heavy: int = HEAVY) -> DataFrame:
+    """(a, b): similar pairs of nodes that connect what all similar pairs connect. ``nodes`` has (node, size, b0..), settled."""
+    signed = lambda m: m - (1 << 64) if m >> 63 else m
+    entries = [F.struct(F.lit(4 * k + i).alias("t"), F.col(b).bitwiseAND(F.lit(signed(m))).alias("v")) for k, b in enumerate(_NAMES) for i, m in enumerate(_MASKS)]
+    keys = nodes.where("size > 0").select("node", F.explode(F.array(*entries)).alias("e")).select("node", "e.t", "e.v")
+    lists = settle(keys.groupBy("t", "v").agg(F.count("*").alias("n"), F.min_by("node", F.struct(F.xxhash64("node"), "node")).alias("centre")).where("n > 1"))
+    light = keys.join(lists.where(F.col("n") <= heavy).select("t", "v"), ["t", "v"])
     a, b = light.alias("a"), light.alias("b")
-    pairs = a.join(b, (F.col("a.s") == F.col("b.s")) & (F.col("a.node") < F.col("b.node")) & _hopeful("a", "b")).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
-    long = settle(join_ids(posted, lists.where(F.col("_n") > heavy).select("s"), "s", "left_semi"))
-    mids = [F.min_by("node", F.xxhash64("node", F.lit(i))) for i in range(CENTRES)]
-    centres = long.groupBy("s").agg(F.array_distinct(F.array(*mids)).alias("c"))
-    tied = join_ids(long, centres, "s").select(F.col("node").alias("a"), F.explode("c").alias("b")).where("a <> b")
-    first = _verified(pairs.unionByName(tied), sets, nodes)
-    if long.isEmpty():
+    # Pairs meet as bare keys; their bytes are fetched for each different pair once.
+    met = a.join(b, (F.col("a.t") == F.col("b.t")) & (F.col("a.v") == F.col("b.v")) & (F.col("a.node") < F.col("b.node"))).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
+    far = settle(keys.join(lists.where(F.col("n") > heavy).select("t", "v", "centre"), ["t", "v"]).select("t", "v", "node", "centre"))
+    tied = far.where("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
+    first = _verified(_likely(met.unionByName(tied).distinct(), nodes), docs, text_col, size)
+    if far.isEmpty():
         return first
     known = components(first)
-    named = settle(long.join(nodes.select("node", "bits"), "node").join(known, "node", "left").withColumn("root", F.coalesce("root", "node")))
-    a, b = named.alias("a"), named.alias("b")
-    apart = a.join(b, (F.col("a.s") == F.col("b.s")) & (F.col("a.root") < F.col("b.root")) & _hopeful("a", "b") & _near_enough("a", "b"))
-    second = _verified(apart.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")), sets, nodes)
-    return first.unionByName(second)
-
-
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry_col: str | None = None, heavy: int = HEAVY) -> DataFrame:
-    """(doc_id, root, component_id[, carry]) of every row; root names the component, component_id is its smallest id."""
-    rows = settle(shingle_sets(docs, id_col, text_col, carry_col))
-    roots = components(links(rows, heavy))
-    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("least"))
+    named = settle(far.select("t", "v", "node").join(known, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    # Only lists in which components still differ, and there only pairs across them.
+    split = named.groupBy("t", "v").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("t", "v")
+    rest = settle(named.join(split, ["t", "v"], "left_semi").join(nodes, "node"))
+    a, b = rest.alias("a"), rest.alias("b")
+    apart = a.join(b, (F.col("a.t") == F.col("b.t")) & (F.col("a.v") == F.col("b.v")) & (F.col("a.root") < F.col("b.root")) & _hopeful("a", "b"))
+    return first.unionByName(_verified(apart.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")), docs, text_col, size))
+
+
+def _likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Of (a, b) the pairs that the tally and the sizes let through."""
+    x, y = nodes.alias("x"), nodes.alias("y")
+    return pairs.join(x, F.col("a") == F.col("x.node")).join(y, F.col("b") == F.col("y.node")).where(_hopeful("x", "y")).select("a", "b")
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry_col: str | None = None, size: int = SHINGLE, heavy: int = HEAVY) -> DataFrame:
+    """(doc_id, fingerprint, root, component_id[, carry]) of every row; root names the component, component_id is its smallest id."""
+    rows = settle(signatures(docs, id_col, text_col, carry_col, size))
+    nodes = settle(rows.groupBy("node").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("size", *_NAMES)]))
+    roots = components(links(nodes.drop("least"), docs, text_col, size, heavy))
     known = settle(nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")))
     best = known.groupBy("root").agg(F.min("least").alias("component_id"))
     named = known.join(best, "root").select("node", "root", "component_id")
-    return rows.join(named, "node").select("doc_id", "root", "component_id", *(["carry"] if carry_col else []))
+    fingerprint = F.lower(F.lpad(F.hex(_NAMES[-1]), 16, "0")).alias("fingerprint")
+    return rows.join(named, "node").select("doc_id", fingerprint, "root", "component_id", *(["carry"] if carry_col else []))

@@ -32,7 +32,7 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, max_bits=3).drop("root")
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

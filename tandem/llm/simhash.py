@@ -1,15 +1,20 @@
 """SimHash near-duplicates through a byte-position inverted index with count filtering.
 
+Two texts are linked either by the bits of their fingerprints (``max_bits``; this module) or, by default, by the similarity
+of their sets of 5-word shingles (0.8; :mod:`near_copies`, the same index over more positional bytes).
+
 Fingerprints: a text's words (A-Z lower-cased, split at ASCII white space) give
-3-word shingles; a bit is set where over half of the shingles' XXH64 values have it.
+word shingles; a bit is set where over half of the shingles' XXH64 values have it.
 
-Links: two fingerprints that differ in at most 3 bits agree in at least 5 of their
+Links by bits: two fingerprints that differ in at most 3 bits agree in at least 5 of their
 8 bytes. The index posts each fingerprint under positional bytes; one byte alone
 selects a 256th of all fingerprints, so postings are merged three at a time: of any
 5 byte positions at least 3 lie in one half, hence the 8 triples inside the two halves
-reach every pair with 5 shared bytes. Each pair met is tallied over all 8 positions;
+reach every pair with 5 shared bytes; and as at least one lies in the other half, the 32 quadruples of
+a triple and one byte of the other half do as well, with 256 times fewer fingerprints a key and four times the postings, which
+pays from ``MANY`` fingerprints on. Each pair met is tallied over all 8 positions;
 pairs with fewer than the guaranteed 5 go, the rest are verified bit by bit. A pair met
-under several triples counts once, under the first triple that it shares.
+under several keys counts once, under the first key that it shares.
 
 Exact copies have one fingerprint and enter as one node, so groups of copies cost
 nothing. A group of near copies is a ball of many fingerprints around the text they come from;
@@ -20,8 +25,8 @@ are the same as with all pairs. They come from alternating star contractions ove
 shared folder; nothing but counts reaches the driver.
 
 Edge cases: null and empty texts have fingerprint zero and are linked like any other;
-fewer than three words hash as one shingle; a null doc_id is never a component's
-id unless all its ids are null; rows with equal ids each get a row; other columns
+fewer words than a shingle hash as one; texts of any length are read whole; a null doc_id is never a component's
+id unless all its ids are null; rows with equal ids each get a row; other columns may have any names and
 are ignored; an empty table gives no rows.
 """
 
@@ -47,28 +52,29 @@ HEAVY = 64
 #: Bytes that a pair within MAX_BITS shares at least.
 MIN_SHARED = BYTES - MAX_BITS
 TRIPLES = [t for half in (range(4), range(4, 8)) for t in combinations(half, 3)]
+QUADRUPLES = [(*t, k) for t in TRIPLES for k in (range(4, 8) if t[0] < 4 else range(4))]
+#: Fingerprints from which on keys are of four bytes.
+MANY = 1 << 24
 
 #: Bits of each byte value: row v holds the 8 bits of v, lowest first.
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
 
-def fingerprint(text: str | None, size: int = SHINGLE) -> int:
+def shingle_hashes(text: str | None, size: int = SHINGLE) -> np.ndarray:
+    """XXH64 of each shingle in order, unsigned; of the whole sequence where there are fewer words."""
     words = (text or "").encode("utf-8", "replace").lower().split()
     if not words:
-        return 0
-    flat = b" ".join(words)
-    if len(words) <= size:
-        hashes = [xxhash.xxh64_intdigest(flat, SEED)]
-    else:
-        starts, at = [], 0
-        for w in words:
-            starts.append(at)
-            at += len(w) + 1
-        ends = [s - 1 for s in starts[size:]] + [len(flat)]
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(flat[a:b], SEED) for a, b in zip(starts, ends)]
+        return np.empty(0, np.uint64)
+    flat, digest = b" ".join(words), xxhash.xxh64_intdigest
+    starts = np.cumsum([0] + [len(w) + 1 for w in words]).tolist()
+    return np.array([digest(flat[a : b - 1], SEED) for a, b in zip(starts, starts[min(size, len(words)) :])], dtype=np.uint64)
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
     n = len(hashes)
-    octets = np.array(hashes, dtype="<u8").view(np.uint8).reshape(n, BYTES)
+    if not n:
+        return 0
+    octets = hashes.astype("<u8").view(np.uint8).reshape(n, BYTES)
     out = 0
     for k in range(BYTES):
         ones = np.bincount(octets[:, k], minlength=256) @ _BITS
@@ -76,13 +82,17 @@ def fingerprint(text: str | None, size: int = SHINGLE) -> int:
     return out
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry_col: str | None = None) -> DataFrame:
+def fingerprint(text: str | None, size: int = SHINGLE) -> int:
+    return fingerprint_of(shingle_hashes(text, size))
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry_col: str | None = None, size: int = SHINGLE) -> DataFrame:
     """(doc_id, fp, carry): fp is the fingerprint's 64 bits as a signed long; carry is a column taken along as text, null without one."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(x) for x in batch.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
+            fps = np.array([fingerprint(x, size) for x in batch.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64()), batch.column(2)], names=["doc_id", "fp", "carry"])
 
     carry = F.col(carry_col) if carry_col else F.lit(None)
@@ -94,13 +104,13 @@ def _octet(fp: Column, k: int) -> Column:
     return F.shiftrightunsigned(fp, 8 * k).bitwiseAND(F.lit(255))
 
 
-def _triple_mask(t: tuple[int, ...]) -> int:
+def _mask(t: tuple[int, ...]) -> int:
     mask = sum(255 << (8 * k) for k in t)
     return mask - (1 << 64) if mask >= 1 << 63 else mask
 
 
-def _posted(nodes: DataFrame) -> DataFrame:
-    entries = F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(_triple_mask(t))).alias("v")) for i, t in enumerate(TRIPLES)])
+def _posted(nodes: DataFrame, keys: list[tuple[int, ...]]) -> DataFrame:
+    entries = F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(_mask(t))).alias("v")) for i, t in enumerate(keys)])
     return nodes.select("fp", "n", F.explode(entries).alias("e")).select("fp", "n", "e.t", "e.v")
 
 
@@ -118,24 +128,24 @@ def _check(max_bits: int) -> None:
         raise ValueError("the index guarantees pairs of up to 3 differing bits")
 
 
-def links(nodes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+def links(nodes: DataFrame, max_bits: int = MAX_BITS, keys: list[tuple[int, ...]] = TRIPLES) -> DataFrame:
     """(a, b), a < b: every pair of distinct fingerprints in ``nodes.fp`` within ``max_bits`` (3 at most)."""
     _check(max_bits)
-    posted = _posted(nodes.select("fp", F.lit(1).alias("n")))
+    posted = _posted(nodes.select("fp", F.lit(1).alias("n")), keys)
     a, b = posted.alias("a"), posted.alias("b")
     x = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
-    first = F.lit(len(TRIPLES))
-    for i, t in reversed(list(enumerate(TRIPLES))):
-        first = F.when(x.bitwiseAND(F.lit(_triple_mask(t))) == 0, i).otherwise(first)
+    first = F.lit(len(keys))
+    for i, t in reversed(list(enumerate(keys))):
+        first = F.when(x.bitwiseAND(F.lit(_mask(t))) == 0, i).otherwise(first)
     on = (F.col("a.t") == F.col("b.t")) & (F.col("a.v") == F.col("b.v")) & (F.col("a.fp") < F.col("b.fp"))
     on = on & (_shared(x) >= MIN_SHARED) & (F.bit_count(x) <= max_bits) & (F.col("a.t") == first)
     return a.join(b, on).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
 
 
-def spanning_links(nodes: DataFrame, max_bits: int = MAX_BITS, heavy: int = HEAVY) -> DataFrame:
+def spanning_links(nodes: DataFrame, max_bits: int = MAX_BITS, heavy: int = HEAVY, keys: list[tuple[int, ...]] = TRIPLES) -> DataFrame:
     """(a, b): links that connect what :func:`links` connects, with few of a ball's pairs. ``nodes`` has (fp, n), n its rows."""
     _check(max_bits)
-    posted = _posted(nodes)
+    posted = _posted(nodes, keys)
     centres = posted.groupBy("t", "v").agg(F.max_by("fp", "n").alias("c"), F.count("*").alias("_size")).where(F.col("_size") > heavy).select("t", "v", "c")
     posted = join_ids(posted, centres, ["t", "v"], "left").select("fp", "t", "v", "c", F.coalesce(_apart(F.col("fp"), F.col("c")) <= max_bits, F.lit(False)).alias("near"))
     tied = posted.where(F.col("near") & (F.col("fp") != F.col("c"))).select(F.col("fp").alias("a"), F.col("c").alias("b"))
@@ -170,12 +180,24 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS, carry_col: str | None = None) -> DataFrame:
-    """(doc_id, fingerprint, component_id[, carry]) of every row; see the module's notes."""
-    rows = settle(fingerprints(docs, id_col, text_col, carry_col))
+def near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int | None = None, max_bits: int | None = None, carry_col: str | None = None
+) -> DataFrame:
+    """(doc_id, fingerprint, root, component_id[, carry]) of every row; ``root`` names the component where ids may be null or shared.
+
+    With ``max_bits`` fingerprints of 3-word shingles link by their bits; without, texts link by a similarity of 0.8 of their
+    sets of 5-word shingles. ``shingle`` sets another size.
+    """
+    if max_bits is None:
+        from .near_copies import SHINGLE as WIDER
+        from .near_copies import near_copies
+
+        return near_copies(docs, id_col, text_col, carry_col, shingle or WIDER)
+    rows = settle(fingerprints(docs, id_col, text_col, carry_col, shingle or SHINGLE))
     nodes = settle(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
-    roots = components(spanning_links(nodes.select("fp", "n"), max_bits))
+    keys = QUADRUPLES if nodes.count() >= MANY else TRIPLES
+    roots = components(spanning_links(nodes.select("fp", "n"), max_bits, keys=keys))
     known = settle(nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
     best = known.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = known.join(best, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", *(["carry"] if carry_col else []))
+    named = known.join(best, "root").select("fp", "root", "component_id")
+    return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "root", "component_id", *(["carry"] if carry_col else []))
