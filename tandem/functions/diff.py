@@ -1,6 +1,7 @@
-"""Line numbers out of unified diffs (SC1, SC2, SC3), as folds over the diff's lines.
+"""Line numbers out of unified diffs (SC1, SC2, SC3), in time linear in the diff's lines.
 
-Both folds keep a small struct as state; the whole diff is handled where its row is, without a
+The lines are cut at the hunk headers; inside a hunk those that do not advance a counter are
+left out first, so that a line's number is the hunk's start and its place. The whole diff is handled where its row is, without a
 shuffle. The two dialects differ on purpose (see each function).
 """
 
@@ -13,6 +14,11 @@ _INTS = "array<int>"
 _none = lambda: F.array().cast(_INTS)
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once a row."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _lines(diff: Column) -> Column:
     return F.split(F.coalesce(diff, F.lit("")), "\n")
 
@@ -21,20 +27,39 @@ def _starts(line: Column, mark: str) -> Column:
     return line.startswith(mark) & ~line.startswith(mark * 3)
 
 
+def _header(line: Column) -> Column:
+    return line.startswith("@@")
+
+
+def _hunks(lines: Column, cuts: Column) -> Column:
+    """The stretches of lines from each of the places ``cuts`` (from 0, in order) to the next."""
+    end = lambda i: F.coalesce(F.get(cuts, i + 1), F.size(lines))
+    return F.transform(cuts, lambda at, i: F.slice(lines, at + 1, end(i) - at))
+
+
+def _places(lines: Column, wanted) -> Column:
+    return F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: wanted(F.get(lines, i)))
+
+
+def _numbered(hunk: Column, start: Column, advance, pick) -> Column:
+    """Numbers of the lines that ``pick`` wants among those that advance the counter."""
+    moved = F.transform(F.filter(hunk, advance), lambda line, i: F.when(pick(line), start + i))
+    return F.filter(moved, lambda n: n.isNotNull())
+
+
 def modified_lines(diff: Column) -> Column:
     """SC1: new-file numbers of added lines. Only inside hunks; lines that are neither added nor
-    begin with a blank do not advance the counter."""
+    begin with a blank do not advance the counter, and a header without a number lets it go on."""
     start = lambda line: F.regexp_extract(line, r"\+(\d+)(?:,\d+)?", 1)
+    advance = lambda line: ~_header(line) & (_starts(line, "+") | line.startswith(" "))
 
-    def step(acc: Column, line: Column) -> Column:
-        header = line.startswith("@@")
-        added = acc["on"] & ~header & _starts(line, "+")
-        moved = added | (acc["on"] & ~header & line.startswith(" "))
-        at = F.when(header & (start(line) != ""), start(line).try_cast("int")).otherwise(acc["at"] + moved.cast("int"))
-        return F.struct((acc["on"] | header).alias("on"), at.alias("at"), F.when(added, F.concat(acc["out"], F.array(acc["at"]))).otherwise(acc["out"]).alias("out"))
+    def of(lines: Column) -> Column:
+        first = F.slice(_places(lines, _header), 1, 1)
+        cuts = F.array_union(first, _places(lines, lambda line: _header(line) & (start(line) != "")))
+        number = lambda hunk: F.coalesce(start(hunk[0]).try_cast("int"), F.lit(0))
+        return _let(cuts, lambda c: F.flatten(F.transform(_hunks(lines, c), lambda hunk: _numbered(hunk, number(hunk), advance, lambda line: _starts(line, "+")))))
 
-    zero = F.struct(F.lit(False).alias("on"), F.lit(0).alias("at"), _none().alias("out"))
-    return F.aggregate(_lines(diff), zero, step, lambda acc: acc["out"])
+    return _let(_lines(diff), of)
 
 
 _HUNK = r"^@@ -(\d+)(?:,\d+)? \+(\d+)(?:,\d+)? @@"
@@ -43,23 +68,18 @@ _HUNK = r"^@@ -(\d+)(?:,\d+)? \+(\d+)(?:,\d+)? @@"
 def added_deleted_lines(diff: Column) -> Column:
     """SC2: struct (added, deleted) of new-file and old-file numbers. Counts from the first line on,
     and every line that is neither added, deleted, a header nor marked by a backslash advances both counters."""
+    added = lambda line: ~_header(line) & _starts(line, "+")
+    deleted = lambda line: ~_header(line) & _starts(line, "-")
+    context = lambda line: ~_header(line) & ~_starts(line, "+") & ~_starts(line, "-") & ~line.startswith("\\")
+
+    def of(lines: Column) -> Column:
+        cuts = F.array_union(F.array(F.lit(0)), _places(lines, lambda line: _header(line) & line.rlike(_HUNK)))
+        number = lambda hunk, k: F.coalesce(F.regexp_extract(hunk[0], _HUNK, k).try_cast("int"), F.lit(0))
+        side = lambda c, own, k: F.flatten(F.transform(_hunks(lines, c), lambda hunk: _numbered(hunk, number(hunk, k), lambda line: own(line) | context(line), own)))
+        return _let(cuts, lambda c: F.struct(side(c, added, 2).alias("added"), side(c, deleted, 1).alias("deleted")))
 
-    def step(acc: Column, line: Column) -> Column:
-        header = line.startswith("@@")
-        old, new = F.regexp_extract(line, _HUNK, 1), F.regexp_extract(line, _HUNK, 2)
-        added, deleted = ~header & _starts(line, "+"), ~header & _starts(line, "-")
-        context = ~header & ~added & ~deleted & ~line.startswith("\\")
-        return F.struct(
-            F.when(header & (old != ""), old.try_cast("int")).otherwise(acc["old"] + (deleted | context).cast("int")).alias("old"),
-            F.when(header & (new != ""), new.try_cast("int")).otherwise(acc["new"] + (added | context).cast("int")).alias("new"),
-            F.when(added, F.concat(acc["added"], F.array(acc["new"]))).otherwise(acc["added"]).alias("added"),
-            F.when(deleted, F.concat(acc["deleted"], F.array(acc["old"]))).otherwise(acc["deleted"]).alias("deleted"),
-        )
-
-    zero = F.struct(F.lit(0).alias("old"), F.lit(0).alias("new"), _none().alias("added"), _none().alias("deleted"))
-    folded = F.aggregate(_lines(diff), zero, step, lambda acc: F.struct(acc["added"].alias("added"), acc["deleted"].alias("deleted")))
     blank = F.trim(F.coalesce(diff, F.lit(""))) == ""
-    return F.when(blank, F.struct(_none().alias("added"), _none().alias("deleted"))).otherwise(folded)
+    return F.when(blank, F.struct(_none().alias("added"), _none().alias("deleted"))).otherwise(_let(_lines(diff), of))
 
 
 def all_modified(added: Column, deleted: Column) -> Column:

@@ -42,6 +42,21 @@ def only_one(functions: DataFrame, name: str = "name") -> DataFrame:
     return functions.groupBy(name).agg(F.count("*").alias("_n"), F.min("node_id").alias("node_id"), F.min("seq").alias("seq")).where("_n = 1").drop("_n")
 
 
+#: Characters of a path's end that a join meets by at most.
+END = 48
+
+
+def ends_with(hist: DataFrame, functions: DataFrame) -> DataFrame:
+    """Rows of ``hist`` with the functions of the same name whose path ends with theirs. They meet by name and the path's last
+    characters: as many as the historical path has, ``END`` at most; so a hot name does not bring all its files into one task."""
+    length = F.least(F.length("path"), F.lit(END))
+    h = hist.withColumn("_n", length).withColumn("_end", F.expr("right(path, _n)"))
+    lengths = h.where("_n is not null").select(F.col("_n").alias("_k")).distinct()  # END + 1 rows at most
+    f = functions.select("name", F.col("path").alias("_path"), "node_id", "seq").join(F.broadcast(lengths), F.length("_path") >= F.col("_k"))
+    f = f.withColumn("_e", F.expr("right(_path, _k)")).withColumnRenamed("name", "_name")
+    return h.join(f, (F.col("name") == F.col("_name")) & (F.col("_n") == F.col("_k")) & (F.col("_end") == F.col("_e")) & F.col("_path").endswith(F.col("path"))).drop("_n", "_end", "_k", "_e", "_name", "_path")
+
+
 def match_historical(hist: DataFrame, functions: DataFrame, key: str = "hist_id") -> DataFrame:
     """JN7: historical functions (hist_id, path, class_name, name) to current ones (node_id, path, class_name, name, seq).
 
@@ -52,8 +67,7 @@ def match_historical(hist: DataFrame, functions: DataFrame, key: str = "hist_id"
     h = hist.select(key, "path", "class_name", "name")
     f = functions.select("node_id", "path", "class_name", "name", "seq")
     known = lambda df: df.where("class_name is not null and class_name <> ''")
-    current = F.col("f.path")
-    suffix = h.alias("h").join(first_by(f, ["path", "name"]).alias("f"), (F.col("h.name") == F.col("f.name")) & current.endswith(F.col("h.path")))
+    suffix = ends_with(h, first_by(f, ["path", "name"]))
     based = lambda df: df.withColumn("base", basename(F.col("path")))
     rules = [
         known(h).join(last_by(known(f), ["path", "class_name", "name"]), ["path", "class_name", "name"]),

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .ordering import SEED, canonical, pair_key
-from .state import settle
+from .state import forget, settle
 
 PAIR = ["func1", "func2"]
 
@@ -55,10 +56,12 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        e = settle(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        last, e = e, settle(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        forget(last)
         least = e.groupBy("u").agg(F.min("v").alias("m"))
         low = e.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = settle(low.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
+        last, e = e, settle(low.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
+        forget(last)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before or not now[0]:
             break
@@ -135,29 +138,44 @@ def first_by_key(pairs: DataFrame, n: int, seed: int = SEED) -> DataFrame:
     return pairs.orderBy(pair_key(F.col("func1"), F.col("func2"), seed), *PAIR).limit(n)
 
 
-def intra_file_negatives(nodes: DataFrame, edges: DataFrame, positives: DataFrame, per_file: int, keys: list[str], seed: int = SEED) -> DataFrame:
-    """JN12: up to ``per_file`` pairs of each file that neither are positive nor call one another.
-
-    The hashed order picks them; a pair is offered by the bounded draw of :func:`draw_pairs`, so
-    that a file of many functions is never paired with itself in full.
-    """
-    offered = draw_pairs(nodes, keys, per_file, seed)
+def intra_file_negatives(nodes: DataFrame, edges: DataFrame, positives: DataFrame, rounds: int, keys: list[str], seed: int = SEED) -> DataFrame:
+    """JN12: pairs of one file that neither are positive nor call one another, from ``rounds`` rounds of :func:`draw_pairs`, so
+    that a file of many functions is never paired with itself in full. Every file of two functions and more is drawn from."""
+    offered = draw_pairs(nodes, keys, rounds, seed)
     called = canonical(edges.select(F.col("src").alias("func1"), F.col("dst").alias("func2"))).distinct()
-    free = offered.join(positives.select(*PAIR), PAIR, "left_anti").join(called, PAIR, "left_anti")
-    return free
+    return offered.join(positives.select(*PAIR), PAIR, "left_anti").join(called, PAIR, "left_anti")
+
 
+#: Nodes that are put in order in one task at most, in the mean.
+IN_ORDER = 1_000_000
 
-def draw_pairs(nodes: DataFrame, keys: list[str], rounds: int, seed: int = SEED) -> DataFrame:
+
+def draw_pairs(nodes: DataFrame, keys: list[str], rounds: int, seed: int = SEED, in_order: int = IN_ORDER) -> DataFrame:
     """ST11, ST12: reproducible random pairs: in each round the nodes of a group are put in hashed order
-    and each is paired with the one after it. A group of n gives up to n - 1 pairs a round; the
-    order is cut into buckets of the hash, so no group is sorted in one task."""
-    from pyspark.sql import Window as W
+    and each is paired with the one after it. A group of n gives n - 1 pairs a round.
 
-    r = nodes.select("node", *keys).distinct().withColumn("_round", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
+    Beyond ``in_order`` nodes the order is cut into buckets of the hash's first digits, as many as it takes, so no group is
+    sorted in one task; the last node of a bucket goes with the first of the next, so buckets change nothing.
+    """
+    r = settle(nodes.select("node", *keys).distinct())
+    n, width = r.count(), 0
+    while n > in_order * 16**width:
+        width += 1
+    r = r.withColumn("_round", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
     r = r.withColumn("_h", F.md5(F.concat_ws("|", F.col("node").cast("string"), F.col("_round").cast("string"), F.lit(str(seed)))))
-    order = W.partitionBy(*keys, "_round", F.substring("_h", 1, 1)).orderBy("_h", "node")
-    r = r.withColumn("_next", F.lead("node").over(order)).where("_next is not null")
-    return canonical(r.select(F.col("node").alias("func1"), F.col("_next").alias("func2"))).where("func1 <> func2").distinct()
+    r = r.withColumn("_b", F.substring("_h", 1, width))
+    group = [*keys, "_round"]
+    r = r.withColumn("_next", F.lead("node").over(W.partitionBy(*group, "_b").orderBy("_h", "node")))
+    if width:
+        heads = r.groupBy(*group, "_b").agg(F.min(F.struct("_h", "node"))["node"].alias("_head"))
+        heads = heads.withColumn("_head", F.lead("_head").over(W.partitionBy(*group).orderBy("_b")))
+        h = heads.select(*[F.col(c).alias(f"{c}_of") for c in (*group, "_b")], "_head")
+        on = F.col("_b") == F.col("_b_of")
+        for c in group:
+            on = on & F.col(c).eqNullSafe(F.col(f"{c}_of"))
+        r = r.join(h, on).withColumn("_next", F.coalesce("_next", "_head"))
+    pairs = r.where("_next is not null").select(F.col("node").alias("func1"), F.col("_next").alias("func2"))
+    return canonical(pairs).where("func1 <> func2").distinct()
 
 
 def unreachable_negatives(nodes: DataFrame, edges: DataFrame, rounds: int = 1, seed: int = SEED) -> DataFrame:

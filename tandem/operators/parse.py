@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import ast
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -50,16 +51,30 @@ C_INCLUDE = r"#include\s*[<\"]([^>\"]+)[>\"]"
 _KEYWORDS = frozenset("if for while switch catch return sizeof new else do try synchronized throw".split())
 
 
-def _line(code: str, offset: int) -> int:
-    return code.count("\n", 0, offset) + 1
+#: Words and blanks without any other mark: what of such a run the patterns see at most, from its end.
+_RUN, _SEEN = re.compile(r"[\w\s]{300,}"), 100
+
+
+def _liner(code: str):
+    """From offsets to line numbers."""
+    ends = [m.start() for m in re.finditer("\n", code)]
+    return lambda offset: bisect_left(ends, offset) + 1
+
+
+def _shortened(code: str) -> str:
+    """The code with the beginnings of long runs of words and blanks taken out but for their line ends: no function's head is that
+    long, and the patterns' time grows with the square or cube of such a run."""
+    return _RUN.sub(lambda m: ";\n" * m[0].count("\n", 0, len(m[0]) - _SEEN) + ";" + m[0][-_SEEN:], code)
 
 
 def regex_functions(code: str, language: str) -> list[dict]:
     """PR7: name to line of each match; of equal names the last one's line stays."""
     found: dict[str, int] = {}
+    code = _shortened(code) if "(" in code else ""
+    line = _liner(code)
     for pattern in FUNCTION_PATTERNS.get(language, FUNCTION_PATTERNS["other"]):
         for m in re.finditer(pattern, code, re.MULTILINE):
-            found[m[1]] = _line(code, m.start())
+            found[m[1]] = line(m.start())
     return [_function(n, at, at, language) for n, at in found.items()]
 
 
@@ -67,53 +82,91 @@ def _function(name: str, start: int, end: int, language: str, class_name: str |
     return {"name": name, "start_line": start, "end_line": end, "language": language, "class_name": class_name, "parameters": parameters or [], "body_size": end - start + 1}
 
 
-def _closing(code: str, at: int) -> int:
-    """Offset of the brace that closes the one at ``at``; strings and comments are stepped over."""
-    level = 0
-    for m in re.finditer(r"//[^\n]*|/\*.*?\*/|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`|[{}]", code[at:], re.S):
-        if m[0] == "{":
-            level += 1
-        elif m[0] == "}":
-            level -= 1
-            if not level:
-                return at + m.start()
-    return len(code) - 1
+_QUOTED = re.compile(r"//[^\n]*|/\*.*?(?:\*/|\Z)|\"(?:\\.|[^\"\\\n])*\"?|'(?:\\.|[^'\\\n])*'?|`(?:\\.|[^`\\])*`?", re.S)
+_TEMPLATE = re.compile(r"\btemplate\s*<[^<>;{}]{0,400}(?:<[^<>;{}]{0,400}>[^<>;{}]{0,400}){0,20}>")
+_DIRECTIVE = re.compile(r"^[ \t]*#(?:[^\n\\]|\\.|\\\n)*", re.M)
+
+
+def _masked(code: str, kind: str) -> str:
+    """The code with strings, comments and, in C, preprocessor lines and template heads blanked out; every offset and line stays."""
+    blank = lambda m: re.sub(r"[^\n]", " ", m[0])
+    code = _QUOTED.sub(blank, code)
+    return _TEMPLATE.sub(blank, _DIRECTIVE.sub(blank, code)) if kind == "c" else code
+
+
+def _closings(masked: str) -> dict[int, int]:
+    """From the offset of each brace and parenthesis to that of the one that closes it. A closing mark of the other kind than
+    the last open one ends what was opened in between as well; what never closes is left out."""
+    out, open_at = {}, []
+    for m in re.finditer(r"[(){}]", masked):
+        mark = m[0]
+        if mark in "({":
+            open_at.append((mark, m.start()))
+            continue
+        wanted = "(" if mark == ")" else "{"
+        if mark == ")" and open_at and open_at[-1][0] == "{":
+            continue  # a stray parenthesis does not end a block
+        while open_at and open_at[-1][0] != wanted:
+            open_at.pop()
+        if open_at:
+            out[open_at.pop()[1]] = m.start()
+    return out
 
 
 def _names(parameters: str, language: str) -> list[str]:
     """PR6: plain and typed parameters; those with a default and variadic ones are not counted."""
     out = []
-    for p in re.split(r",(?![^<(\[]*[>)\]])", parameters):
-        p = p.strip()
+    depth, part, parts = 0, "", []
+    for c in re.sub(r"[=-]>", "=", parameters):
+        depth += (c in "(<[{") - (c in ")>]}")
+        if c == "," and depth <= 0:
+            parts.append(part)
+            part = ""
+        else:
+            part += c
+    for p in (x.strip() for x in [*parts, part]):
         if not p or "=" in p or "..." in p or p == "void":
             continue
-        out.append(p if language == "javascript" else re.split(r"[\s*&]+", p.split("[")[0].strip())[-1])
+        pointer = re.search(r"\(\s*[*&]\s*(\w+)", p)
+        out.append(p if language == "javascript" else pointer[1] if pointer else re.split(r"[\s*&]+", re.sub(r"(?:\[[^\]]*\]\s*)+$", "", p).strip())[-1])
     return out
 
 
+#: What stands before a function's parentheses, and what between them and its brace.
 _HEADS = {
-    "java": r"(?:^|[;{}\n])[ \t]*(?:@\w+(?:\([^)]*\))?\s+)*((?:[\w<>\[\],.?]+\s+)+)(\w+)\s*\(([^()]*)\)\s*(?:throws\s+[\w.,\s]+)?\{",
-    "javascript": r"(?:function\s*\*?\s+(\w+)|(?:^|[;{}\n])[ \t]*(?:async\s+|static\s+|get\s+|set\s+)*(\w+))\s*\(([^()]*)\)\s*\{",
-    "c": r"(?:^|[;{}\n])[ \t]*((?:[\w<>:,]+[\s*&]+)+)(\w+)\s*\(([^()]*)\)\s*(?:const\s*)?(?:noexcept\s*)?\{",
+    "java": r"(?:^|[;{}\n])[ \t]*(?:@[\w.]+(?:\([^()]*\))?\s+)*((?:[\w<>\[\],.?&]+\s+){1,16})(\w+)\s*\(",
+    "javascript": r"(?:function\s*\*?\s+(\w+)|(?:^|[;{}\n])[ \t]*(?:async\s+|static\s+|get\s+|set\s+)*(\w+))\s*\(",
+    "c": r"(?:^|[;{}\n])[ \t]*((?:[\w<>:,]+[\s*&]+){1,16})(\w+)\s*\(",
+}
+_TAILS = {
+    "java": re.compile(r"\s*(?:throws\s+[\w.,\s<>]{1,400}?)?\{"),
+    "javascript": re.compile(r"\s*\{"),
+    "c": re.compile(r"\s*(?:(?:const|noexcept|override|final|volatile)\s*){0,5}(?:->\s*[\w:<>*&\s]{1,200}?)?\{"),
 }
 
 
 def brace_functions(code: str, language: str) -> list[dict]:
-    """PR3-PR5: methods, functions and their spans by matching braces."""
+    """PR3-PR5: methods, functions and their spans. Heads are found outside strings and comments; parentheses and braces are matched."""
     kind = "c" if language in ("c", "cpp") else language
     classes, out = class_spans(code, language, any_language=True), []
-    for m in re.finditer(_HEADS[kind], code):
+    masked, line = _masked(code, kind), _liner(code)
+    closes, inside_to = _closings(masked), -1
+    for m in re.finditer(_HEADS[kind], masked):
         name = m[2] or (m[1] if kind == "javascript" else None)
         lead = (m[1] or "").split() if kind != "javascript" else []
-        if not name or name in _KEYWORDS or {"new", "return", "else", "throw"} & set(lead):
+        open_at = m.end() - 1
+        if open_at < inside_to or not name or name in _KEYWORDS or {"new", "return", "else", "throw"} & set(lead):
             continue
-        head = m.start(2) if m[2] else m.start(1)
-        line_start = len(code[: m.start()]) + len(re.match(r"[;{}\n]?\s*", m[0])[0])
-        start, end = _line(code, min(line_start, head)), _line(code, _closing(code, m.end() - 1))
-        if kind == "java" and not lead:
+        close = closes.get(open_at)
+        tail = _TAILS[kind].match(masked, close + 1) if close else None
+        if not tail or (kind == "java" and not lead):
             continue
+        inside_to = close
+        head = m.start(2) if m[2] else m.start(1)
+        line_start = m.start() + len(re.match(r"[;{}\n]?\s*", m[0])[0])
+        start, end = line(min(line_start, head)), line(closes.get(tail.end() - 1, len(code) - 1))
         owner = next((c["name"] for c in classes if c["start_line"] <= start <= c["end_line"]), None)
-        out.append(_function(name, start, end, language, owner if kind == "c" else None, _names(m[3], language)))
+        out.append(_function(name, start, end, language, owner if kind == "c" else None, _names(masked[open_at + 1 : close], language)))
     return out
 
 
@@ -145,11 +198,11 @@ def functions_of(code: str, language: str | None) -> list[dict]:
 
 def regex_calls(code: str, language: str) -> list[dict]:
     """PR14."""
-    out = []
+    out, line = [], _liner(code)
     dotted = language in ("python", "java", "javascript")
     for m in re.finditer(CALL_PATTERN if dotted else PLAIN_CALL_PATTERN, code):
         name = f"{m[1]}.{m[2]}" if dotted and m[1] and m[2] else m[3] if dotted else m[1]
-        out.append({"function": name, "line_number": _line(code, m.start()), "type": "method_call" if "." in name else "function_call"})
+        out.append({"function": name, "line_number": line(m.start()), "type": "method_call" if "." in name else "function_call"})
     return out
 
 
@@ -168,9 +221,10 @@ def calls_of(code: str, language: str | None) -> list[dict]:
                     out.append({"function": f"{f.value.id}.{f.attr}", "line_number": node.lineno, "type": "method_call"})
         return sorted(out, key=lambda c: c["line_number"])
     heads = {(f["name"], f["start_line"]) for f in brace_functions(code, language)}
-    out = []
+    out, line_of = [], _liner(code)
+    code = _masked(code, "c" if language in ("c", "cpp") else language)
     for m in re.finditer(r"(?<![\w.])(?:(\w+)\s*(?:\.|->)\s*)?(\w+)\s*\(", code):
-        line = _line(code, m.start())
+        line = line_of(m.start())
         if m[2] in _KEYWORDS or (not m[1] and (m[2], line) in heads) or re.search(r"(?:function|new)\s+$", code[max(0, m.start() - 12) : m.start()]):
             continue
         name = m[2] if language == "java" or not m[1] else f"{m[1]}.{m[2]}"
@@ -222,9 +276,11 @@ def class_spans(code: str, language: str | None, any_language: bool = False) ->
             return []
         found = [{"name": n.name, "start_line": n.lineno, "end_line": n.end_lineno or n.lineno} for n in ast.walk(tree) if isinstance(n, ast.ClassDef)]
     else:
-        found = []
-        for m in re.finditer(r"\b(?:class|interface|enum|struct)\s+(\w+)[^;{}()]*\{", code):
-            found.append({"name": m[1], "start_line": _line(code, m.start()), "end_line": _line(code, _closing(code, m.end() - 1))})
+        found, line = [], _liner(code)
+        masked = _masked(code, "c" if language in ("c", "cpp") else language)
+        closes = _closings(masked)
+        for m in re.finditer(r"\b(?:class|interface|enum|struct)\s+(\w+)[^;{}()]{0,2000}\{", masked):
+            found.append({"name": m[1], "start_line": line(m.start()), "end_line": line(closes.get(m.end() - 1, len(code) - 1))})
     return sorted(found, key=lambda c: (c["start_line"], -c["end_line"]))
 
 

@@ -25,11 +25,34 @@ def ship(spark: SparkSession) -> None:
     context._tandem_shipped = True
 
 
+def shared_base(spark: SparkSession) -> str:
+    """The shared folder that the session names in ``spark.checkpoint.dir``, else its checkpoint directory. Only a local
+    master may do without: there a temporary folder serves, which on a cluster no other machine would see."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if base:
+        return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    base = tempfile.mkdtemp(prefix="tandem-")
+    spark.sparkContext.setCheckpointDir(base)
+    return base
+
+
 def settle(df: DataFrame) -> DataFrame:
-    """Writes ``df`` below ``spark.checkpoint.dir`` and reads it back (a temporary folder where neither that
-    nor a checkpoint directory is set). What comes before runs once, and a lost executor repeats none of it."""
+    """Writes ``df`` into a new folder below the shared one and reads it back. What comes before runs once, and a lost
+    executor repeats none of it."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.gettempdir()
-    path = f"{base.rstrip('/')}/state-{uuid.uuid4().hex}"
+    path = f"{shared_base(spark)}/state-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._settled = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Removes the table of a settled ``df`` that nothing will read again, such as the last round's of an iteration."""
+    path = getattr(df, "_settled", None)
+    if path:
+        jvm = df.sparkSession._jvm
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)

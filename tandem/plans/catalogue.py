@@ -387,7 +387,7 @@ def negatives_hard(spark, d):
 
 
 _DRAW = """rounds AS (SELECT DISTINCT p_partkey AS node, {key} AS k, r, md5(CAST(p_partkey AS VARCHAR) || '|' || r || '|42') AS h FROM part, range(1, {n}) t(r)),
-nexts AS (SELECT node, lead(node) OVER (PARTITION BY k, r, substr(h, 1, 1) ORDER BY h, node) AS nx FROM rounds),
+nexts AS (SELECT node, lead(node) OVER (PARTITION BY k, r ORDER BY h, node) AS nx FROM rounds),
 drawn AS (SELECT DISTINCT least(node, nx) AS func1, greatest(node, nx) AS func2 FROM nexts WHERE nx IS NOT NULL AND node <> nx)"""
 
 
@@ -876,13 +876,13 @@ def evolution_features(spark, d):
 
 
 @query(
-    f"""WITH {_LONG.replace("x AS (SELECT", "few AS (SELECT * FROM embeddings ORDER BY md5(CAST(vec_id AS VARCHAR)), vec_id LIMIT 100), all_ AS (SELECT vec_id, i - 1 AS position, CAST(embedding[i] AS DOUBLE) AS x FROM embeddings, unnest(range(1, len(embedding) + 1)) AS u(i)), x AS (SELECT", 1).replace("FROM embeddings, unnest(range(1, len(embedding) + 1)) AS u(i)), fit", "FROM few, unnest(range(1, len(embedding) + 1)) AS u(i)), fit")}
+    f"""WITH {_LONG.replace("x AS (SELECT", "few AS (SELECT * FROM embeddings ORDER BY md5(CAST(vec_id AS VARCHAR)), vec_id LIMIT 5000), all_ AS (SELECT vec_id, i - 1 AS position, CAST(embedding[i] AS DOUBLE) AS x FROM embeddings, unnest(range(1, len(embedding) + 1)) AS u(i)), x AS (SELECT", 1).replace("FROM embeddings, unnest(range(1, len(embedding) + 1)) AS u(i)), fit", "FROM few, unnest(range(1, len(embedding) + 1)) AS u(i)), fit")}
 SELECT vec_id, round(sum((all_.x - mean) / CASE WHEN std = 0 THEN 1 ELSE std END), 4) AS total FROM all_ JOIN fit USING (position) GROUP BY 1"""
 )
 def adaptive_scaler(spark, d):
-    """ML14 ST13: fitted on the first hundred in hashed order (the sample is the feature)."""
+    """ML14 ST13: fitted on the first five thousand in hashed order (the sample is the feature)."""
     e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("features"))
-    s = features.adaptive_scale(e, 100, "vec_id")
+    s = features.adaptive_scale(e, 5000, "vec_id")
     return s.select("vec_id", F.round(F.aggregate("features", F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
 
 
@@ -909,13 +909,37 @@ def commit_details(spark, d):
     return static_analysis.commit_details(c)
 
 
-@query()
+_CALLED = "called AS (SELECT least(src, dst) AS func1, greatest(src, dst) AS func2 FROM edges)"
+
+
+@query(
+    f"""WITH {_POS}, {_EDGES}, {_DRAW.format(key='p_brand', n=6)}, {_CALLED}, q AS (SELECT CAST(floor(count(*) * 2.5) AS BIGINT) AS n FROM pos),
+h AS (SELECT func1, func2, row_number() OVER (ORDER BY {_KEY}, func1, func2) AS r FROM (SELECT DISTINCT func1, func2 FROM called WHERE func1 <> func2) ANTI JOIN pos USING (func1, func2)),
+hard AS (SELECT func1, func2 FROM h, q WHERE r <= n // 2),
+f AS (SELECT func1, func2, row_number() OVER (ORDER BY {_KEY}, func1, func2) AS r FROM drawn ANTI JOIN pos USING (func1, func2) ANTI JOIN called USING (func1, func2) ANTI JOIN hard USING (func1, func2))
+SELECT func1, func2, 'hard' AS type FROM hard UNION ALL SELECT func1, func2, 'intra_file' FROM f, q WHERE r <= n - (SELECT count(*) FROM hard)"""
+)
 def negative_samples(spark, d):
     """ML17: the quota filled with hard and same-file negatives."""
     return graph.negatives(_positives(spark, d), functions(spark, d), call_edges(spark, d), ["file"])
 
 
-@query()
+_DRAW_FILE = _DRAW.format(key="p_brand", n=6).replace("rounds AS", "rounds2 AS").replace("nexts AS", "nexts2 AS").replace("FROM rounds)", "FROM rounds2)").replace("drawn AS", "drawn2 AS").replace("FROM nexts WHERE", "FROM nexts2 WHERE")
+
+
+@query(
+    f"""WITH RECURSIVE {_EDGES}, {_HOPS}, {_CALLED}, {_DRAW.format(key='0', n=4)}, {_DRAW_FILE},
+pos AS (SELECT least(src, dst) AS func1, greatest(src, dst) AS func2, min(depth) AS distance FROM (SELECT * FROM h1 UNION ALL SELECT * FROM h2) GROUP BY 1, 2),
+q AS (SELECT CAST(floor(count(*) * 2.5) AS BIGINT) AS n FROM pos),
+starts AS (SELECT func1 AS s FROM drawn UNION SELECT func2 FROM drawn),
+ways AS (SELECT s, s AS t FROM starts UNION SELECT s, dst FROM ways JOIN e ON t = src),
+apart AS (SELECT func1, func2 FROM drawn WHERE NOT EXISTS (SELECT 1 FROM ways WHERE s = func1 AND t = func2) AND NOT EXISTS (SELECT 1 FROM ways WHERE s = func2 AND t = func1)),
+a AS (SELECT func1, func2, row_number() OVER (ORDER BY {_KEY}, func1, func2) AS r FROM apart ANTI JOIN pos USING (func1, func2)),
+far AS (SELECT func1, func2 FROM a, q WHERE r <= n),
+f AS (SELECT func1, func2, row_number() OVER (ORDER BY {_KEY}, func1, func2) AS r FROM drawn2 ANTI JOIN pos USING (func1, func2) ANTI JOIN called USING (func1, func2) ANTI JOIN far USING (func1, func2))
+SELECT func1, func2, CAST(distance AS INT) AS distance, 1 AS label FROM pos UNION ALL SELECT func1, func2, -1, 0 FROM far
+UNION ALL SELECT func1, func2, -1, 0 FROM f, q WHERE r <= n - (SELECT count(*) FROM far)"""
+)
 def static_samples(spark, d):
     """ML18."""
     return graph.static_samples(functions(spark, d), call_edges(spark, d), ["file"])

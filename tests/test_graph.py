@@ -67,3 +67,31 @@ def test_candidates(spark):
     nodes = spark.createDataFrame([("a", "x"), ("b", "x"), ("c", "y")], "node string, file string")
     e = edges(spark, [("b", "c"), ("c", "c"), ("c", "b")])
     assert {tuple(r) for r in graph.candidates(nodes, e, ["file"]).collect()} == {("a", "b"), ("b", "c")}
+
+
+def test_drawn_pairs_do_not_depend_on_buckets(spark):
+    """ST11 ST12 JN12: in each round every node is paired with the next in hashed order, whatever the buckets; every file of two is drawn from."""
+    import hashlib
+
+    nodes = [(f"n{i}", f"f{i % 7}" if i < 60 else f"g{i // 2}") for i in range(80)] + [("lone", "alone"), ("x1", None), ("x2", None)]
+    df = spark.createDataFrame(nodes, "node string, file string")
+    want = set()
+    for file in {f for _, f in nodes}:
+        for r in (1, 2):
+            order = sorted((hashlib.md5(f"{n}|{r}|42".encode()).hexdigest(), n) for n, f in nodes if f == file)
+            want |= {tuple(sorted((a[1], b[1]))) for a, b in zip(order, order[1:])}
+    for in_order in (1, 6, 1000):
+        assert {(x.func1, x.func2) for x in graph.draw_pairs(df, ["file"], 2, in_order=in_order).collect()} == want
+    assert all(any({a, b} == {f"n{i}", f"n{i + 1}"} for a, b in want) for i in range(60, 80, 2))
+
+
+def test_same_file_negatives_are_neither_positive_nor_called(spark):
+    """JN12 ML17 ST9: and every file has a share."""
+    nodes = spark.createDataFrame([(i, f"f{i // 4}") for i in range(40)], "node long, file string")
+    e = spark.createDataFrame([(0, 1), (5, 4), (8, 8)], "src long, dst long")
+    pos = spark.createDataFrame([(2, 3), (12, 13)], "func1 long, func2 long")
+    got = {(r.func1, r.func2) for r in graph.intra_file_negatives(nodes, e, pos, 20, ["file"]).collect()}
+    every = {(a, b) for f in range(10) for a in range(4 * f, 4 * f + 4) for b in range(a + 1, 4 * f + 4)}
+    assert got <= every - {(0, 1), (4, 5), (2, 3), (12, 13)} and {a // 4 for a, _ in got} == set(range(10))
+    made = graph.negatives(pos, nodes, e, ["file"]).collect()
+    assert len(made) == 5 and sorted(r.type for r in made) == ["hard"] * 2 + ["intra_file"] * 3

@@ -107,6 +107,67 @@ def test_parsers():
     assert [c["name"] for c in parse.class_spans(SOURCES["python"], "python")] == ["Outer", "Inner"] and parse.class_spans(SOURCES["c"], "c") == []
 
 
+NESTED = {
+    "java": """class T<A> {
+  // int no(int a) {
+  @Deprecated @Size(max = 3)
+  public Map<String, List<A>> all(Map<String, List<A>> in, int[] xs, String... rest) throws E1, E2 {
+    String s = "void fake(int x) {";
+    if (xs.length > f(in)) { run(() -> { g(1); }); }
+    return in;
+  }
+  void last(Function<A, Integer> f) {}
+}
+""",
+    "javascript": """class K {
+  async run(a, cb = () => { go(1); }, { x, y }) {
+    return `${a} function no(b) {` + fs.open(a);
+  }
+}
+function* top(b, c = f(2, (3))) {
+  const one = (z) => z + 1;
+  return { m(q) { return q; } };
+}
+""",
+    "cpp": """#define LOOP(x) for (int i = 0; i < x; i++) {
+template <typename T>
+std::vector<std::pair<int, T>> pairs(const std::map<int, T>& in, void (*cb)(int, char), int n) {
+  /* } */ char c = '}';
+  return make(in, cb(n));
+}
+struct S {
+  int get(int k) const noexcept override { return at(k); }
+  auto name() const -> std::string { return "x"; }
+};
+""",
+}
+
+
+def test_nested_heads():
+    """PR3-PR6 PR11-PR13: parentheses, templates, strings, comments and macros."""
+    f = {k: {x["name"]: (x["start_line"], x["end_line"], x["parameters"]) for x in parse.functions_of(v, k)} for k, v in NESTED.items()}
+    assert f["java"] == {"all": (3, 8, ["in", "xs"]), "last": (9, 9, ["f"])}
+    assert f["javascript"] == {"run": (2, 4, ["a", "{ x, y }"]), "top": (6, 9, ["b"]), "m": (8, 8, ["q"])}
+    assert set(f["cpp"]) == {"pairs", "get", "name"} and f["cpp"]["pairs"][:2] == (3, 6) and f["cpp"]["get"] == (8, 8, ["k"])
+    calls = {k: {(c["function"], c["line_number"]) for c in parse.calls_of(v, k)} for k, v in NESTED.items()}
+    assert {("f", 6), ("run", 6), ("g", 6)} <= calls["java"] and ("fake", 5) not in calls["java"] and ("no", 2) not in calls["java"]
+    assert {("go", 2), ("fs.open", 3), ("f", 6)} <= calls["javascript"] and {("make", 5), ("at", 8)} <= calls["cpp"]
+
+
+def test_patterns_stand_long_files():
+    """PR7 PR14: a megabyte of words, of blank lines and of calls."""
+    import time
+
+    began = time.time()
+    for text in ("word\n" * 200_000, "\n" * 1_000_000, " " * 1_000_000, "f(x);\n" * 100_000, "word\n" * 100_000 + "int go(int a) {\n}\n"):
+        for language in ("python", "java", "javascript", "c", "cpp", "go", "typescript", "c_sharp", "other"):
+            parse.regex_functions(text, language)
+        parse.functions_of(text, "java"), parse.calls_of(text, "c"), parse.regex_calls(text, "go")
+    assert time.time() - began < 60
+    assert [x["name"] for x in parse.regex_functions("word\n" * 1000 + ";\nint go(int a) {\n}\n", "c")] == ["go"]
+    assert parse.regex_functions("word\n" * 1000 + ";\nint go(int a) {\n}\n", "c")[0]["start_line"] == 1001
+
+
 def test_regex_fallback():
     """PR7 PR14."""
     got = parse.regex_functions("def a():\n  pass\ndef a(x):\n  pass\n", "python")
