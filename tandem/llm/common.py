@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.state import ship
+from ..operators.state import forget, settle, ship
+
+__all__ = ["forget", "settle"]
 
 #: ASCII white space, as the word pattern ``[^\x20\x09-\x0D]+`` has it.
 SPACE = "\t\n\x0b\x0c\r "
@@ -23,30 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder below the cluster's shared checkpoint folder.
-
-    ``spark.checkpoint.dir`` is read from the session. Only where neither it nor a
-    checkpoint directory is set (local tests) a temporary folder is made and set.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="tandem-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
-def settle(df: DataFrame) -> DataFrame:
-    """Writes ``df`` as Parquet into the shared folder and reads it back: lineage ends here,
-    and a lost executor costs no recomputation of what came before."""
-    spark = df.sparkSession
-    path = shared_folder(spark)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 #: Rows of ids that are broadcast at most.
 BROADCAST_ROWS = 1_000_000
 

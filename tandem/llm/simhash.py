@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_ids, settle, small_batches
+from .common import forget, join_ids, settle, small_batches
 
 MAX_BITS = 3
 SHINGLE = 3
@@ -165,14 +165,13 @@ def components(edges: DataFrame) -> DataFrame:
         # Large star: every neighbour above u is tied to the smallest of u's neighbourhood.
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        edges = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        edges = settle(edges)
+        last, edges = edges, settle(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        forget(last)
         # Small star: what lies below u, and u itself, is tied to the smallest of them.
         least = edges.groupBy("u").agg(F.min("v").alias("m"))
         tied = edges.join(least, "u")
-        edges = settle(
-            tied.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        )
+        last, edges = edges, settle(tied.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
+        forget(last)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before or not now[0]:
             break
