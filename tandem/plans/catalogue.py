@@ -19,6 +19,7 @@ from ..functions import code as code_fn
 from ..functions import diff as diff_fn
 from ..functions import paths, times
 from ..operators import cascade, features, graph, metrics, mining, models, ordering, parse, ranges, static_analysis, stats
+from ..operators.state import settle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -808,13 +809,15 @@ def threshold_edges(spark, d):
 
 @query()
 def train_predict(spark, d):
-    """ML11 ML12 ML13: pairs of vectors, positive if their labels agree."""
+    """ML11 ML12 ML13 ML20: pairs of whole vectors, positive if their labels agree; the single-project model with its own
+    settings learns from the training split and scores the others."""
     e = table(spark, d, "embeddings")
-    v = e.select(F.col("vec_id").alias("node_id"), F.slice(F.col("embedding").cast("array<double>"), 1, 8).alias("features"))
+    v = e.select(F.col("vec_id").alias("node_id"), F.col("embedding").cast("array<double>").alias("features"))
     pairs = e.select(F.col("vec_id").alias("func1"), F.col("label").alias("l1")).join(e.select((F.col("vec_id") - 1).alias("func1"), F.col("vec_id").alias("func2"), F.col("label").alias("l2")), "func1")
-    data = features.pair_features(pairs.select("func1", "func2", (F.col("l1") == F.col("l2")).cast("int").alias("label")), v, 8)
-    model = models.train(data, maxIter=5, maxDepth=4)
-    return models.predict(model, data).select("func1", "func2", "label", F.round("score", 6).alias("score"))
+    data = features.pair_features(pairs.select("func1", "func2", (F.col("l1") == F.col("l2")).cast("int").alias("label")), v, 64)
+    data = settle(ordering.random_split(data).drop("rank", "n"))
+    model = models.train(data.where("split = 'train'"))
+    return models.predict(model, data.where("split <> 'train'")).select("func1", "func2", "split", "label", F.round("score", 6).alias("score"))
 
 
 # --- further operators ---------------------------------------------------------------------------------------------------
