@@ -903,13 +903,17 @@ def by_language(spark, d):
     return stats.by_language(functions(spark, d).select(F.regexp_extract("name", "^[^ ]*", 0).alias("language")))
 
 
-@query()
+@query(
+    f"""SELECT 'c1' AS commit, '2024-01-01T00:00:00Z' AS ts, 'A' AS author, CASE id WHEN 0 THEN 'a.py' ELSE 'x/b.py' END AS path, added, deleted, all_modified
+FROM ({SQL["diff_added_deleted"]}) WHERE id < 2 AND all_modified <> ''"""
+)
 def commit_details(spark, d):
-    """SC4 FLT6 FLT7: inline commits with missing paths and empty diffs."""
+    """SC4 FLT6 FLT7: inline commits; a file without any path and one without a diff are left out, and with it its commit."""
     files = "array<struct<filename:string,new_path:string,diff:string>>"
     rows = [("c1", "2024-01-01T00:00:00Z", ("A",), [("a.py", "", _DIFFS[0]), ("", None, _DIFFS[0]), ("b.py", "x/b.py", _DIFFS[1])]), ("c2", None, None, [("c.py", None, "")])]
     c = spark.createDataFrame(rows, f"hash string, committer_date string, author struct<name:string>, files_modified {files}")
-    return static_analysis.commit_details(c)
+    lists = {x: F.array_join(F.col(x).cast("array<string>"), ",") for x in ("added", "deleted", "all_modified")}
+    return static_analysis.commit_details(c).withColumns(lists)
 
 
 _CALLED = "called AS (SELECT least(src, dst) AS func1, greatest(src, dst) AS func2 FROM edges)"
