@@ -5,7 +5,7 @@ import subprocess
 import pytest
 from pyspark.sql import functions as F
 
-from tandem.operators import cascade, parse, ranges, static_analysis
+from tandem.operators import cascade, models, parse, ranges, static_analysis
 from tandem.sources import git, readers, writers
 
 
@@ -58,6 +58,56 @@ def test_writers(spark, tmp_path):
     assert spark.read.text(str(tmp_path / "m")).count() == 2
 
 
+def test_tables_round_trip(spark, tmp_path):
+    """SRC12 SRC13 SRC18 SNK1 SNK2 SNK5 SNK7 SNK8 SNK9: what is written is read again, names outside ASCII and nulls included."""
+    at = lambda name: str(tmp_path / name)
+    same = lambda df, back: sorted(map(str, df.collect())) == sorted(map(str, back.select(df.columns).collect()))
+    commits = spark.createDataFrame([("h1", "J\u00f6rg", None), ("h2", None, "2024-01-01")], "hash string, author string, committer_date string")
+    writers.table(commits, at("commits"))
+    assert same(commits, readers.commits(spark, at("commits")))
+    writers.json_lines(commits, at("lines"))
+    lines = "".join(x.read_text(encoding="utf-8") for x in sorted((tmp_path / "lines").glob("part-*")))
+    assert "J\u00f6rg" in lines and '"author":null' in lines and same(commits, spark.read.json(at("lines")))
+    vectors = spark.createDataFrame([("a", [1.0, 2.0]), ("b", None)], "node_id string, features array<double>")
+    writers.table(vectors, at("features"))
+    assert same(vectors, readers.function_features(spark, at("features"))) and same(vectors, readers.embedding_cache(spark, at("features")))
+    assert readers.embedding_cache(spark, None) is None
+    pairs = spark.createDataFrame([("a", "b", 1, "train", [0.5]), ("a", "c", 0, "val", [1.5])], "func1 string, func2 string, label int, split string, features array<double>")
+    writers.table(pairs, at("pairs"), "split")
+    assert same(pairs, readers.pair_features(spark, at("pairs"))) and readers.pair_features(spark, at("pairs"), "val").first().func2 == "c"
+    links = spark.createDataFrame([("h1", "a"), ("h1", "b")], "commit string, node string")
+    writers.table(links, at("links"))
+    assert same(links, readers.commit_to_functions(spark, at("links")))
+
+
+def test_models_round_trip(spark, tmp_path):
+    """SRC19 SNK10 SNK11 ML11 ML12 ML13: a saved model scores as before, what is known of it lies beside it, a joint model sees all projects."""
+    rows = [("a", f"b{i}", i % 2, [float(i % 2), float(i % 3)]) for i in range(40)]
+    data = spark.createDataFrame(rows, "func1 string, func2 string, label int, features array<double>")
+    small = {"maxIter": 2, "maxDepth": 2}
+    fitted = models.train(data, **small)
+    writers.model(fitted, str(tmp_path / "m"), {"auc": 0.5, "projects": ["p"]}, spark)
+    scores = lambda m: sorted((r.func2, r.score) for r in models.predict(m, data).collect())
+    assert scores(readers.model(str(tmp_path / "m"))) == scores(fitted)
+    assert json.loads(spark.read.text(str(tmp_path / "m-metadata")).first().value) == {"auc": 0.5, "projects": ["p"]}
+    assert all((s > 0.5) == (int(n[1:]) % 2 == 1) for n, s in scores(fitted))
+    joint = models.train_joint({"p": data, "q": data.withColumn("label", 1 - F.col("label"))}, **small)
+    assert all(abs(s - 0.5) < 0.2 for _, s in scores(joint))  # the projects contradict one another; trees see samples
+    assert models.union_projects({"p": data, "q": data}).groupBy("project").count().count() == 2
+
+
+def test_reports_and_defaults(spark):
+    """SRC7 SNK13 SC4 FLT6 FLT7: console lines, names out of ids, and the path of a changed file."""
+    assert writers.report(spark.createDataFrame([(0.5, "x")], "auc double, tier string")) == "auc: 0.5\ntier: x"
+    assert writers.report(spark.createDataFrame([], "auc double")) == ""
+    names = {r.node_id: r.name for r in cascade.defaulted(spark.createDataFrame([("p::C::f", None), ("q::::g", "h")], "node_id string, name string")).collect()}
+    assert names == {"p::C::f": "f", "q::::g": "h"}
+    files = "array<struct<filename:string,new_path:string,diff:string>>"
+    diff = "@@ -1 +1,2 @@\n a\n+b"
+    c = spark.createDataFrame([("c1", None, None, [("old.py", "new.py", diff), ("kept.py", "", diff), ("", None, diff), ("same.py", None, " a")]), ("c2", None, None, [])], f"hash string, committer_date string, author struct<name:string>, files_modified {files}")
+    assert sorted((r.commit, r.path, r.ts, r.author, r.added) for r in static_analysis.commit_details(c).collect()) == [("c1", "kept.py", "", "", [2]), ("c1", "new.py", "", "", [2])]
+
+
 @pytest.mark.skipif(shutil.which("git") is None, reason="no git")
 def test_git(spark, tmp_path):
     """SRC1 SRC2 SRC9-SRC11."""
