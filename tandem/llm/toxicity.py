@@ -6,7 +6,7 @@ before it, interpolated down to the word alone and to its spelling:
 * pairs of words are counted by the documents that hold them, single words by Kneser-Ney continuation
   (the different words that they follow), each class for itself; a count c is discounted by the whole part of ``2 sqrt(c)``, at most c,
   so that what a class shows a few times by chance leaves no trace;
-* what the discounts free goes to backoff counts that both classes share: a word's continuation
+* what the discounts free goes to backoff counts that both classes share: a pair's are those of both classes, a word's continuation
   count is there in how many classes it stands, and below it is the spelling, byte by byte after up to five bytes
   of the word, where a class's own counts at the longest sequence that fits are smoothed by shared
   continuation counts. A rare expression that tells nothing gets the same probability from both,
@@ -31,6 +31,7 @@ read whole, however long; extra columns may have any names; an empty table gives
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -186,7 +187,7 @@ class Words:
     """Models of words after words, from the counts that discounts leave something of.
 
     ``single`` has (key, class counts x 2, classes that hold it), ``totals`` the (sums, discounts) of both counts;
-    ``pairs`` (word before, word, class counts x 2) and ``contexts`` (word before, sums x 2, discounts x 2).
+    ``pairs`` (word before, word, counts x 3) and ``contexts`` (word before, sums x 3, discounts x 3) of either class and of both together.
     """
 
     def __init__(self, single: tuple, totals: tuple, pairs: tuple, contexts: tuple) -> None:
@@ -202,11 +203,11 @@ class Words:
         by = np.argsort(contexts[0], kind="stable")
         self.context = contexts[0][by]
         total, off = [x[by] for x in contexts[1]], [x[by] for x in contexts[2]]
-        self.rest = [np.append(rest(off[i], total[i]), 1.0) for i in range(2)]
+        self.rest = [np.append(rest(off[i], total[i]), 1.0) for i in range(3)]
         key = pair_hash(pairs[0], pairs[1])
         by = np.argsort(key, kind="stable")
         self.pair, at = key[by], _find(self.context, pairs[0][by])
-        self.own = [left(pairs[2][i][by], np.append(total[i], 0)[at]) for i in range(2)]
+        self.own = [left(pairs[2][i][by], np.append(total[i], 0)[at]) for i in range(3)]
 
     def alone(self, hashes: np.ndarray, spelling: np.ndarray) -> np.ndarray:
         """P(word) of each class, 2 x words, from the words' spelling probabilities."""
@@ -214,14 +215,16 @@ class Words:
         return np.stack([self.single[i][at] + self.single_rest[i] * (self.shared[at] + self.shared_rest * spelling[i]) for i in range(2)])
 
     def after(self, before: np.ndarray, word: np.ndarray, alone: np.ndarray) -> np.ndarray:
-        """P(word | word before) of each class."""
+        """P(word | word before) of each class: its own pairs, then those of both, then its words alone. After a word that one
+        class alone has seen, the other one expects what both together do."""
         out = alone.copy()
         ctx = _find(self.context, before)
         at = np.flatnonzero(ctx < len(self.context))
         if len(at):
             pair, ctx = _find(self.pair, pair_hash(before[at], word[at])), ctx[at]
             for i in range(2):
-                out[i, at] = self.own[i][pair] + self.rest[i][ctx] * alone[i, at]
+                shared = self.own[2][pair] + self.rest[2][ctx] * alone[i, at]
+                out[i, at] = self.own[i][pair] + self.rest[i][ctx] * shared
         return out
 
 
@@ -396,6 +399,8 @@ def fit_models(rows: DataFrame) -> list[Model]:
     summed = settle(counted.groupBy("o", "a", "b").agg(*[F.sum(f"n{i}").alias(f"n{i}") for i in range(4)]))
     n = {(m, c): sum((F.col(f"n{2 * h + c}") for h in halves[1:]), F.col(f"n{2 * halves[0] + c}")) for m, halves in enumerate(_HALVES) for c in range(2)}
     names = {k: f"c{k[0]}{k[1]}" for k in n}
+    n3 = n | {(m, 2): n[m, 0] + n[m, 1] for m in range(len(_HALVES))}
+    names3 = {k: f"c{k[0]}{k[1]}" for k in n3}
     off = lambda c: F.least(c, F.floor(ERRORS * F.sqrt(c))).cast("long")
     some = lambda cs: F.greatest(*cs) > _GONE
     types = summed.where(F.col("o") == ORDERS)
@@ -405,22 +410,23 @@ def fit_models(rows: DataFrame) -> list[Model]:
     totals = single.agg(*[F.coalesce(F.sum(k), F.lit(0)).alias(f"t_{k}") for k in names.values()], *[F.coalesce(F.sum(off(F.col(k))), F.lit(0)).alias(f"d_{k}") for k in names.values()]).first()
     word, *one = _columns(single, ["b", *kinds])
     one = dict(zip(kinds, one))
-    strong = settle(types.where(some(n.values())).select("a", "b", *[c.alias(names[k]) for k, c in n.items()]))
-    before, after, *two = _columns(strong, ["a", "b", *names.values()])
-    two = dict(zip(names.values(), two))
+    strong = settle(types.where(some(n3.values())).select("a", "b", *[c.alias(names3[k]) for k, c in n3.items()]))
+    before, after, *two = _columns(strong, ["a", "b", *names3.values()])
+    two = dict(zip(names3.values(), two))
     needed = strong.select("a").distinct()  # as many as the strong pairs at most, which the sample bounds
-    sums = types.join(F.broadcast(needed), "a").groupBy("a").agg(*[F.sum(c).alias(f"t_{names[k]}") for k, c in n.items()], *[F.sum(off(c)).alias(f"d_{names[k]}") for k, c in n.items()])
-    context, *three = _columns(sums, ["a", *[f"{p}_{x}" for p in "td" for x in names.values()]])
-    three = dict(zip([f"{p}_{x}" for p in "td" for x in names.values()], three))
+    sums = types.join(F.broadcast(needed), "a").groupBy("a").agg(*[F.sum(c).alias(f"t_{names3[k]}") for k, c in n3.items()], *[F.sum(off(c)).alias(f"d_{names3[k]}") for k, c in n3.items()])
+    context, *three = _columns(sums, ["a", *[f"{p}_{x}" for p in "td" for x in names3.values()]])
+    three = dict(zip([f"{p}_{x}" for p in "td" for x in names3.values()], three))
     order, key, *n4 = _columns(summed.where(F.col("o") < ORDERS), ["o", "a", "n0", "n1", "n2", "n3"])
     out = []
     for m, halves in enumerate(_HALVES):
         of = [names[m, c] for c in range(2)]
+        of3 = [names3[m, c] for c in range(3)]
         words = Words(
             (word, one[of[0]], one[of[1]], one[f"e{m}"]),
             [(totals[f"t_{k}"], totals[f"d_{k}"]) for k in of],
-            (before, after, [two[k] for k in of]),
-            (context, [three[f"t_{k}"] for k in of], [three[f"d_{k}"] for k in of]),
+            (before, after, [two[k] for k in of3]),
+            (context, [three[f"t_{k}"] for k in of3], [three[f"d_{k}"] for k in of3]),
         )
         out.append(Model(Spelling(order, key, np.stack([sum(n4[2 * h + c] for h in halves) for c in range(2)])), words))
     return out
@@ -462,7 +468,12 @@ def train(docs: DataFrame, labels: DataFrame, hold: tuple[int, int] = HOLD, labe
     found.sort(key=lambda r: (r["id"], r["y"], r["x"]))
     x, y = np.array([r["x"] for r in found]), np.array([r["y"] for r in found], np.float64)
     columns = chosen_columns(x, y, np.arange(len(y)) % FOLDS)
-    return Scorer(models[2], columns, logistic(x[:, columns], y), 0.0)
+    mean, spread, w = logistic(x[:, columns], y)
+    # The sample holds as many texts of either class as there are, half of its size at most: the odds go back to those of all labelled rows.
+    every = known.agg(F.count_if(F.col("y") > 0).alias("toxic"), F.count_if(F.col("y") <= 0).alias("plain")).first()
+    taken = chosen.agg(F.count_if(F.col("y") > 0).alias("toxic"), F.count_if(F.col("y") <= 0).alias("plain")).first()
+    w[0] += math.log(every["toxic"] / taken["toxic"]) - math.log(every["plain"] / taken["plain"])
+    return Scorer(models[2], columns, (mean, spread, w), 0.0)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, hold: tuple[int, int] = HOLD, cut: float = CUT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

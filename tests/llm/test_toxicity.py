@@ -68,10 +68,13 @@ class Plain:
         return (n - taken(n)) / sum(every) + sum(map(taken, every)) / sum(every) * base
 
     def after(self, v, word, c):
-        beside = [n for (x, _), n in self.pair[c].items() if x == v]
-        n = self.pair[c].get((v, word), 0)
+        both = {k: self.pair[0].get(k, 0) + self.pair[1].get(k, 0) for k in {*self.pair[0], *self.pair[1]}}
         low = self.alone(word, c)
-        return (n - taken(n)) / sum(beside) + sum(map(taken, beside)) / sum(beside) * low if beside else low
+        for pairs in (both, self.pair[c]):
+            beside = [n for (x, _), n in pairs.items() if x == v]
+            n = pairs.get((v, word), 0)
+            low = (n - taken(n)) / sum(beside) + sum(map(taken, beside)) / sum(beside) * low if beside else low
+        return low
 
 
 def texts(n=60):
@@ -120,7 +123,7 @@ def test_probabilities_sum_to_one(models):
         p = m.words.after(np.full(len(known), before), hashes, alone)
         ctx = T._find(m.words.context, np.array([before]))[0]
         for c in range(2):
-            rest = m.words.rest[c][ctx] * m.words.single_rest[c] * m.words.shared_rest * (1 - spelling[c].sum())
+            rest = m.words.rest[c][ctx] * m.words.rest[2][ctx] * m.words.single_rest[c] * m.words.shared_rest * (1 - spelling[c].sum())
             assert abs(p[c].sum() + rest - 1) < 1e-9
     plain = Plain(texts())
     for begin in (b"", b"g", b"go", b"gon", b"idi", b"zz"):
