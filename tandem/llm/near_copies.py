@@ -9,7 +9,8 @@ the similarity; the rest are verified on their whole sets. A pair at 0.8 escapes
 probability of 1e-5 and the tally with 4e-5; one at 0.85 either with 4e-7.
 
 Texts with equal sets are one node. A key with more than ``HEAVY`` nodes has a centre, to which the others
-are compared first; then only pairs of its nodes whose components still differ are. The centre is the node of least
+are compared first; then only pairs of its nodes whose components still differ are, and of these only such as share
+``COMMON`` of their rarest shingles (of n the n - ceil(0.8 n) + ``COMMON`` rarest; sets of the similarity always do). The centre is the node of least
 hash, so that the keys of one group mostly have the same one. Components are those of all pairs, as in :mod:`simhash`.
 
 Edge cases: words are as in :mod:`simhash`; fewer than five words are one shingle; null and empty texts
@@ -36,6 +37,8 @@ ALIKE = (4, 5)
 #: Bytes of minima, and how many of them a pair has to share. At a similarity of 0.8 the mean is 51.2 and the deviation 3.2.
 MINIMA = 64
 LEAST = 38
+#: Rarest shingles that two sets must have in common before they are compared whole.
+COMMON = 8
 #: Nodes of a key whose pairs are all compared.
 HEAVY = 16
 
@@ -147,14 +150,35 @@ def links(nodes: DataFrame, docs: DataFrame, text_col: str = "text", size: int =
         return first
     known = components(first)
     named = settle(far.select("t", "v", "node").join(known, "node", "left").withColumn("root", F.coalesce("root", "node")))
-    # Only lists in which components still differ, and there only pairs across them.
+    # Only lists in which components still differ, and there only pairs across them that share one of their rarest shingles.
     split = named.groupBy("t", "v").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("t", "v")
-    rest = settle(named.join(split, ["t", "v"], "left_semi").join(nodes, "node"))
-    a, b = rest.alias("a"), rest.alias("b")
-    apart = a.join(b, (F.col("a.t") == F.col("b.t")) & (F.col("a.v") == F.col("b.v")) & (F.col("a.root") < F.col("b.root")) & _hopeful("a", "b"))
+    rest = settle(named.join(split, ["t", "v"], "left_semi").select("node", "root").distinct().join(nodes, "node"))
+    posted = settle(_prefixes(rest.select("node"), docs, text_col, size).join(rest, "node"))
+    a, b = posted.alias("a"), posted.alias("b")
+    p, q = ALIKE
+    most = F.least(F.col("a.size") - F.col("a.at"), F.col("b.size") - F.col("b.at")) * (p + q) >= (F.col("a.size") + F.col("b.size")) * p
+    common = F.array_intersect("a.x", "b.x")
+    enough = (F.size(common) >= F.least("a.common", "b.common")) & (F.get(common, F.lit(0)) == F.col("a.s"))
+    apart = a.join(b, (F.col("a.s") == F.col("b.s")) & (F.col("a.root") < F.col("b.root")) & most & _hopeful("a", "b") & enough)
     return first.unionByName(_verified(apart.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")), docs, text_col, size))
 
 
+def _prefixes(asked: DataFrame, docs: DataFrame, text_col: str, size: int) -> DataFrame:
+    """(node, at, s, x, common): of each node asked for its rarest shingles x by counts over all of them, rarest first, one row for each.
+
+    Of n shingles these are n - ceil(0.8 n) + common, so two sets of the similarity have ``common`` of them in common (the
+    lesser number of the two), and meet at the first. Copies of one text that are changed in different places have few.
+    """
+    p, q = ALIKE
+    own = settle(join_ids(_sets(docs, text_col, size), asked, "node", "left_semi").dropDuplicates(["node"]))
+    each = own.select("node", F.explode("items").alias("s"))
+    ranked = each.join(each.groupBy("s").count(), "s").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("count", "s"))).alias("x"))
+    least = F.ceil(F.size("x") * p / q).cast("int")
+    ranked = ranked.withColumn("common", F.least(F.lit(COMMON), least))
+    ranked = ranked.withColumn("x", F.transform(F.slice("x", 1, F.size("x") - least + F.col("common")), lambda e: e["s"]))
+    return ranked.select("node", "x", "common", F.posexplode("x").alias("at", "s"))
+
+
 def _likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Of (a, b) the pairs that the tally and the sizes let through."""
     x, y = nodes.alias("x"), nodes.alias("y")
