@@ -12,7 +12,7 @@ before it, interpolated down to the word alone and to its spelling:
   continuation counts. A rare expression that tells nothing gets the same probability from both,
   and an inflected form of a toxic stem still gets its stem's evidence.
 
-Every table is keyed by the sequence itself (bytes) or by 64-bit hashes of its words, summed in Spark, and
+Every table is keyed by the sequence itself (bytes) or by 64-bit hashes of its words (pairs by their places among all of these), summed in Spark, and
 so the same however rows are dealt to tasks. Entries that the discounts leave nothing are not kept: they
 change no probability.
 
@@ -20,8 +20,8 @@ A document is judged by its log-likelihood ratio a word, over the whole and over
 length in ``SPANS``, calibrated by a logistic fit on rows that the model in question has not counted (two halves,
 drawn apart by class, crossed; a class of one text is not crossed). Which of the lengths count is chosen by cross-validation inside those rows.
 
-The models learn from at most ``SAMPLE`` labelled rows outside the held-out fold: of each class half, the
-first by a hash of the id; equal texts count once. Memory and driver rows are bounded by that; the sample's n-grams are all counted.
+The models learn from all labelled rows outside the held-out fold; equal texts count once. Texts stay where they are; the driver gets the
+different words and byte sequences, the pairs that discounts leave something of, one model at a time, and four numbers of each text for the fit.
 
 Edge cases: null and empty texts and texts without words score by the intercept alone; null ids are never
 learned from; of labels that disagree on an id or a text the highest counts; with labelled texts of one class only
@@ -31,8 +31,6 @@ read whole, however long; extra columns may have any names; an empty table gives
 
 from __future__ import annotations
 
-import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,7 +41,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import settle, small_batches, unused
+from .common import BATCH_ROWS, forget, join_ids, settle, small_batches, unused
 
 ORDERS = 6
 #: Of the byte sequences: what a count is discounted by, and the shared counts that every class context is given.
@@ -55,8 +53,11 @@ ERRORS = 2.0
 SPANS = (1, 4, 16)
 #: A word's log ratio is held within this.
 MOST = 6.0
-SAMPLE = 8000
 MEMO = 400_000
+#: Words and pairs that a task sums before it hands them on, and bits of the hash by which texts are ranked.
+CHUNK_WORDS = 400_000
+CHUNK_PAIRS = 3_000_000
+BUCKET_BITS = 12
 HOLD = (4, 2)
 CUT = 0.3
 FOLDS = 5
@@ -68,6 +69,8 @@ _SPACED = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 _HALVES = ((0,), (1,), (0, 1))
 #: A count up to this is discounted entirely.
 _GONE = int(ERRORS * ERRORS)
+#: In place of the second word of a pair: all of them. The most that a packed count holds.
+_ALL, _MOST = 0xFFFFFFFF, 0x7FFF
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -110,18 +113,18 @@ def spelled(words: list[bytes]) -> tuple[np.ndarray, list[np.ndarray], np.ndarra
     return place, keys, offsets
 
 
-def byte_counts(words: Counter) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(order, keys, counts) of the sequences in the words, each word as often as it is counted."""
-    listed = list(words)
-    for a in range(0, len(listed), 20_000):
-        part = listed[a : a + 20_000]
-        place, keys, _ = spelled(part)
-        times = np.repeat(np.array([words[w] for w in part], np.int64), np.array([len(w) + 2 for w in part]))
-        for o in range(ORDERS):
-            at = (keys[o] >= 0) & (place >= 1)
-            found, back = np.unique(keys[o][at], return_inverse=True)
-            if len(found):
-                yield o, found, np.bincount(back, weights=times[at], minlength=len(found)).astype(np.int64)
+def byte_counts(words: list[bytes], times: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(order, keys, counts x 4) of the sequences in the words, each word as often as ``times`` (4 x words) counts it."""
+    _, keys, _ = spelled(words)
+    lengths = np.array([len(w) + 2 for w in words], np.int64)
+    first = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+    every = np.repeat(times, lengths, axis=1)
+    for o in range(ORDERS):
+        fits = keys[o] >= 0
+        fits[first] = False
+        found, back = np.unique(keys[o][fits], return_inverse=True)
+        if len(found):
+            yield o, found, np.stack([np.bincount(back, weights=n[fits], minlength=len(found)).astype(np.int64) for n in every])
 
 
 def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -132,6 +135,37 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(keys[np.minimum(at, len(keys) - 1)] == wanted, np.minimum(at, len(keys) - 1), len(keys))
 
 
+class Sorted:
+    """Sorted 64-bit hashes, looked up by where those with the same upper bits begin. The table of beginnings is made where it is used."""
+
+    def __init__(self, keys: np.ndarray) -> None:
+        self.keys, self.shift, self.begin = keys, np.uint64(64 - max(1, len(keys).bit_length())), None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"begin": None}
+
+    def __len__(self) -> int:
+        return len(self.keys)
+
+    def find(self, wanted: np.ndarray) -> np.ndarray:
+        """As ``_find``."""
+        upper = lambda h: (h.view(np.uint64) ^ np.uint64(1 << 63)) >> self.shift
+        if self.begin is None:
+            self.begin = np.searchsorted(upper(self.keys), np.arange(1 << (64 - int(self.shift)), dtype=np.uint64)).astype(np.int32)
+        n = len(self.keys)
+        at, out = self.begin[upper(wanted)].astype(np.int64), np.full(len(wanted), n, np.int64)
+        open_ = np.flatnonzero(at < n)
+        while len(open_):
+            here = at[open_]
+            found, sought = self.keys[here], wanted[open_]
+            same = found == sought
+            out[open_[same]] = here[same]
+            open_ = open_[found < sought]
+            at[open_] += 1
+            open_ = open_[at[open_] < n]
+        return out
+
+
 class Spelling:
     """Byte models of the two classes. ``order``, ``key`` and ``n`` (2 x rows) are the counts of sequences."""
 
@@ -145,11 +179,11 @@ class Spelling:
             rows.append((key[at], n[:, at].astype(np.float64)))
         #: By order: sequences; their contexts; discounted shares and what contexts leave, shared and by class. The last place is for what was never seen.
         self.keys = [keys for keys, _ in rows]
-        self.contexts, self.shared, self.shared_rest, self.own, self.own_rest = [], [], [], [], []
+        contexts_of, self.shared, self.shared_rest, self.own, self.own_rest = [], [], [], [], []
         for o, (keys, counts) in enumerate(rows):
             contexts, ctx = np.unique(keys >> 8, return_inverse=True)
             size = len(contexts) + 1
-            self.contexts.append(contexts)
+            contexts_of.append(contexts)
             if o < ORDERS - 1:
                 above = rows[o + 1][0] & ((1 << (8 * (o + 1))) - 1)
                 follow = np.bincount(_find(keys, above), minlength=len(keys) + 1)[: len(keys)].astype(np.float64)
@@ -163,6 +197,17 @@ class Spelling:
                 total, off = np.bincount(ctx, weights=counts[i], minlength=size), np.bincount(ctx, weights=discounted(counts[i]), minlength=size)
                 self.own[o].append(np.append((counts[i] - discounted(counts[i])) / (total[ctx] + PULL), 0.0))
                 self.own_rest[o].append((off + PULL) / (total + PULL))
+        # The longest sequences give no shared counts: those stay of which discounts leave something, and their contexts.
+        o = ORDERS - 1
+        at = np.flatnonzero((self.own[o][0] > 0) | (self.own[o][1] > 0))
+        self.keys[o], self.own[o] = self.keys[o][at], [np.append(own[at], 0.0) for own in self.own[o]]
+        at = np.flatnonzero((self.own_rest[o][0][:-1] < 1) | (self.own_rest[o][1][:-1] < 1))
+        contexts_of[o], self.own_rest[o] = contexts_of[o][at], [np.append(rest[at], 1.0) for rest in self.own_rest[o]]
+        #: By order: the place of a context from that of the sequence that ends one byte before; the last two are for what was never seen and for a word's start.
+        start = np.array([_START[0]])
+        self.context = [np.zeros(1, np.int32)]
+        for o in range(1, ORDERS):
+            self.context.append(np.concatenate([_find(contexts_of[o], rows[o - 1][0]), [len(contexts_of[o])], _find(contexts_of[o], start)]).astype(np.int32))
 
     def log_probabilities(self, words: list[bytes]) -> np.ndarray:
         """log P(spelling) of each word under the two classes, 2 x words."""
@@ -170,16 +215,25 @@ class Spelling:
         low = np.full(len(place), 1 / 256)
         top = np.minimum(place, ORDERS - 1)
         out = np.zeros((2, len(place)))
+        seen = np.empty(0, np.int64)
         for o in range(ORDERS):
             at = np.flatnonzero((top >= o) & (place >= 1))
-            entry, ctx = _find(self.keys[o], keys[o][at]), _find(self.contexts[o], keys[o][at] >> 8)
             if o:
+                ctx = self.context[o][seen[at - 1]]
+                # Of a sequence that was seen its end was.
+                fits = np.flatnonzero(seen[at] < len(self.keys[o - 1]))
+                entry = np.full(len(at), len(self.keys[o]))
+                entry[fits] = _find(self.keys[o], keys[o][at[fits]])
                 last = top[at] == o
                 here = at[last]
                 for i in range(2):
                     out[i, here] = np.log(self.own[o][i][entry[last]] + self.own_rest[o][i][ctx[last]] * low[here])
+            else:
+                entry, ctx = _find(self.keys[0], keys[0][at]), np.zeros(len(at), np.int64)
             if o < ORDERS - 1:
                 low[at] = self.shared[o][entry] + self.shared_rest[o][ctx] * low[at]
+            seen = np.full(len(place), len(self.keys[o]) + (o == 0))
+            seen[at] = entry
         return np.add.reduceat(out, offsets, axis=1)
 
 
@@ -194,11 +248,13 @@ class Words:
         left = lambda c, total: np.append((c - discounted(c)) / np.maximum(total, 1), 0.0)
         rest = lambda off, total: np.where(total > 0, off / np.maximum(total, 1), 1.0)
         by = np.argsort(single[0], kind="stable")
-        self.key = single[0][by]
-        self.single = [left(c[by], total) for c, (total, _) in zip(single[1:3], totals)]
+        self.key, self.classes = Sorted(single[0][by]), np.append(single[3][by], 0).astype(np.int8)
+        strong = by[(single[1][by] > _GONE) | (single[2][by] > _GONE)]
+        self.strong = Sorted(single[0][strong])
+        self.single = [left(c[strong], total) for c, (total, _) in zip(single[1:3], totals)]
         self.single_rest = [float(rest(off, total)) for total, off in totals[:2]]
         known, classes = (single[3] > 0).sum(), single[3].sum()
-        self.shared = np.append(np.maximum(single[3][by] - DISCOUNT, 0) / max(classes, 1), 0.0)
+        self.shared = np.maximum(np.arange(3) - DISCOUNT, 0) / max(classes, 1)
         self.shared_rest = float(DISCOUNT * known / classes) if classes else 1.0
         by = np.argsort(contexts[0], kind="stable")
         self.context = contexts[0][by]
@@ -206,22 +262,23 @@ class Words:
         self.rest = [np.append(rest(off[i], total[i]), 1.0) for i in range(3)]
         key = pair_hash(pairs[0], pairs[1])
         by = np.argsort(key, kind="stable")
-        self.pair, at = key[by], _find(self.context, pairs[0][by])
+        self.pair, at = Sorted(key[by]), _find(self.context, pairs[0][by])
         self.own = [left(pairs[2][i][by], np.append(total[i], 0)[at]) for i in range(3)]
 
     def alone(self, hashes: np.ndarray, spelling: np.ndarray) -> np.ndarray:
         """P(word) of each class, 2 x words, from the words' spelling probabilities."""
-        at = _find(self.key, hashes)
-        return np.stack([self.single[i][at] + self.single_rest[i] * (self.shared[at] + self.shared_rest * spelling[i]) for i in range(2)])
+        at, shared = self.strong.find(hashes), self.shared[self.classes[self.key.find(hashes)]]
+        return np.stack([self.single[i][at] + self.single_rest[i] * (shared + self.shared_rest * spelling[i]) for i in range(2)])
 
-    def after(self, before: np.ndarray, word: np.ndarray, alone: np.ndarray) -> np.ndarray:
+    def after(self, before: np.ndarray, word: np.ndarray, alone: np.ndarray, ctx: np.ndarray | None = None) -> np.ndarray:
         """P(word | word before) of each class: its own pairs, then those of both, then its words alone. After a word that one
-        class alone has seen, the other one expects what both together do."""
+        class alone has seen, the other one expects what both together do. ``ctx`` are the places of the words before, if known."""
         out = alone.copy()
-        ctx = _find(self.context, before)
+        if ctx is None:
+            ctx = _find(self.context, before)
         at = np.flatnonzero(ctx < len(self.context))
         if len(at):
-            pair, ctx = _find(self.pair, pair_hash(before[at], word[at])), ctx[at]
+            pair, ctx = self.pair.find(pair_hash(before[at], word[at])), ctx[at]
             for i in range(2):
                 shared = self.own[2][pair] + self.rest[2][ctx] * alone[i, at]
                 out[i, at] = self.own[i][pair] + self.rest[i][ctx] * shared
@@ -239,14 +296,14 @@ class Model:
 
 
 class Memo:
-    """What a worker remembers of words: their key and their probabilities."""
+    """What a worker remembers of words: their key, their probabilities and their place as a word before."""
 
     def __init__(self) -> None:
         self.clear()
 
     def clear(self) -> None:
         self.at: dict[bytes, int] = {}
-        self.hashes, self.alone = np.empty(0, np.int64), np.empty((2, 0))
+        self.hashes, self.alone, self.ctx = np.empty(0, np.int64), np.empty((2, 0)), np.empty(0, np.int64)
 
     def look_up(self, words: list[bytes], model: Model) -> np.ndarray:
         new = sorted(set(words).difference(self.at))
@@ -258,6 +315,7 @@ class Memo:
             hashes, alone = model.describe(part)
             self.at.update(zip(part, range(len(self.at), len(self.at) + len(part))))
             self.hashes, self.alone = np.append(self.hashes, hashes), np.append(self.alone, alone, axis=1)
+            self.ctx = np.append(self.ctx, _find(model.words.context, hashes))
         return np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
 
 
@@ -265,9 +323,9 @@ def ratios(words: list[bytes], first: np.ndarray, model: Model, memo: Memo) -> n
     """log P(word | before, toxic) - log P(word | before, ordinary); ``first`` are the places where a text starts."""
     at = memo.look_up(words, model)
     hashes = memo.hashes[at]
-    before = np.concatenate([[0], hashes[:-1]])
-    before[first] = 0
-    p = np.log(np.maximum(model.words.after(before, hashes, memo.alone[:, at]), 1e-300))
+    before, ctx = np.concatenate([[0], hashes[:-1]]), np.concatenate([[0], memo.ctx[at[:-1]]])
+    before[first], ctx[first] = 0, _find(model.words.context, np.zeros(1, np.int64))[0]
+    p = np.log(np.maximum(model.words.after(before, hashes, memo.alone[:, at], ctx), 1e-300))
     return np.clip(p[1] - p[0], -MOST, MOST)
 
 
@@ -301,14 +359,19 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarr
     """
     mean, spread = x.mean(axis=0), x.std(axis=0)
     spread[spread == 0] = 1
-    every = np.hstack([np.ones((len(x), 1)), (x - mean) / spread])
-    used = list(range(every.shape[1]))
+    blocks = [slice(a, a + 100_000) for a in range(0, len(x), 100_000)]
+    used = list(range(x.shape[1] + 1))
     while True:
-        z, w = every[:, used], np.zeros(len(used))
+        w = np.zeros(len(used))
         pull = np.diag([1e-6] + [ridge] * (len(used) - 1))
         for _ in range(50):
-            p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-            step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + pull, z.T @ (y - p) - pull @ w)
+            bent, slope = pull.copy(), -pull @ w
+            for b in blocks:
+                z = np.hstack([np.ones((len(x[b]), 1)), (x[b] - mean) / spread])[:, used]
+                p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+                bent += (z * (p * (1 - p))[:, None]).T @ z
+                slope += z.T @ (y[b] - p)
+            step = np.linalg.solve(bent, slope)
             w = w + step
             if np.abs(step).max() < 1e-8:
                 break
@@ -316,7 +379,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarr
         if not worst or w[worst] >= 0:
             break
         del used[worst]
-    out = np.zeros(every.shape[1])
+    out = np.zeros(x.shape[1] + 1)
     out[used] = w
     return mean, spread, out
 
@@ -359,33 +422,95 @@ class Scorer:
         return _probability(features(texts, self.model, memo)[:, self.columns], self.fit)
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (o, a, b, n0..n3) from (text, y, half): of byte sequences their order and key; of pairs, as order ``ORDERS``,
-    the keys of both words. What a document holds counts once, in the column of its half and class."""
+def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (w, h, n0..n3) from (text, y, half): words, their keys, and by half and class the documents that hold them."""
 
-    def emit(o: int, a: np.ndarray, b: np.ndarray, column: int, n: np.ndarray) -> pa.RecordBatch:
-        counts = [n if c == column else np.zeros(len(a), np.int64) for c in range(4)]
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), o, np.int32)), pa.array(a), pa.array(b), *map(pa.array, counts)], names=["o", "a", "b", "n0", "n1", "n2", "n3"])
+    def emit(held: dict[bytes, list[int]]) -> pa.RecordBatch:
+        n = np.array(list(held.values()), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(map(word_hash, held)), pa.int64()), *[pa.array(n[:, c]) for c in range(4)]], names=["w", "h", "n0", "n1", "n2", "n3"])
 
+    held: dict[bytes, list[int]] = {}
     for batch in batches:
-        held = [Counter() for _ in range(4)]
-        pairs: list[list[np.ndarray]] = [[] for _ in range(4)]
-        keys: dict[bytes, int] = {}
         for text, y, half in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            words = words_of(text)
-            if words:
-                column = 2 * half + (y > 0)
-                held[column].update(set(words))
-                for w in set(words).difference(keys):
-                    keys[w] = word_hash(w)
-                h = np.array([0, *map(keys.__getitem__, words)], np.int64)
-                pairs[column].append(np.unique(np.stack([h[:-1], h[1:]], axis=1), axis=0))
-        for column in range(4):
-            if pairs[column]:
-                found, n = np.unique(np.concatenate(pairs[column]), axis=0, return_counts=True)
-                yield emit(ORDERS, found[:, 0].copy(), found[:, 1].copy(), column, n)
-            for o, found, n in byte_counts(held[column]):
-                yield emit(o, found, np.zeros(len(found), np.int64), column, n)
+            column = 2 * half + (y > 0)
+            for w in set(words_of(text)):
+                held.setdefault(w, [0, 0, 0, 0])[column] += 1
+        if len(held) > CHUNK_WORDS:
+            yield emit(held)
+            held = {}
+    if held:
+        yield emit(held)
+
+
+def _spellings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (o, a, n0..n3) from (w, n0..n3): of byte sequences their order and key, counted as often as their words."""
+    words: list[bytes] = []
+    times: list[np.ndarray] = []
+
+    def emit() -> Iterator[pa.RecordBatch]:
+        for o, found, n in byte_counts(words, np.concatenate(times, axis=1)):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), o, np.int32)), pa.array(found), *map(pa.array, n)], names=["o", "a", "n0", "n1", "n2", "n3"])
+
+    for batch in batches:
+        words += batch.column(0).to_pylist()
+        times.append(np.stack([batch.column(i).to_numpy() for i in range(1, 5)]))
+        if len(words) > 50_000:
+            yield from emit()
+            words, times = [], []
+    if words:
+        yield from emit()
+
+
+def pairs_counter(shared):
+    """Rows (key, n) from (text, y, half): the places of both words of a pair in the shared sorted word keys, the one before in the
+    upper 32 bits, and, 16 bits for each half and class, the documents that hold it. A pair with ``_ALL`` has those of all
+    pairs after its first word, in as many rows as it takes."""
+
+    def emit(codes: list[np.ndarray], columns: list[int]) -> Iterator[pa.RecordBatch]:
+        key = np.concatenate(codes)
+        n = np.repeat(np.array([1 << (16 * c) for c in columns], np.int64), [len(c) for c in codes])
+        by = np.argsort(key)
+        key, n = key[by], n[by]
+        at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        key, n = key[at], np.add.reduceat(n, at)
+        at = np.flatnonzero(np.concatenate([[True], key[1:] >> 32 != key[:-1] >> 32]))
+        before = (key[at] >> 32 << 32) + _ALL
+        sums = np.stack([np.add.reduceat(n >> (16 * c) & 0xFFFF, at) for c in range(4)])
+        while len(before):
+            part = np.minimum(sums, _MOST)
+            key, n = np.append(key, before), np.append(n, sum(part[c] << (16 * c) for c in range(4)))
+            sums = sums - part
+            some = sums.any(axis=0)
+            before, sums = before[some], sums[:, some]
+        for i in range(0, len(key), 200_000):
+            yield pa.RecordBatch.from_arrays([pa.array(key[i : i + 200_000]), pa.array(n[i : i + 200_000])], names=["key", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, places = shared.value, {}
+        codes: list[np.ndarray] = []
+        columns: list[int] = []
+        size = 0
+        for batch in batches:
+            text, y, half = (batch.column(i).to_pylist() for i in range(3))
+            split = [words_of(t) for t in text]
+            new = list({w for words in split for w in words}.difference(places))
+            places.update(zip(new, np.searchsorted(keys, np.array(list(map(word_hash, new)), np.int64)).tolist()))
+            start = int(np.searchsorted(keys, 0))
+            for words, t, h in zip(split, y, half):
+                if words:
+                    at = np.fromiter(map(places.__getitem__, words), np.int64, len(words))
+                    codes.append(np.unique((np.concatenate([[start], at[:-1]]) << 32) + at))
+                    columns.append(2 * h + (t > 0))
+                    size += len(codes[-1])
+            if size > CHUNK_PAIRS or len(codes) > _MOST - BATCH_ROWS:
+                yield from emit(codes, columns)
+                codes, columns, size = [], [], 0
+            if len(places) > CHUNK_WORDS:
+                places = {}
+        if codes:
+            yield from emit(codes, columns)
+
+    return run
 
 
 def _columns(df: DataFrame, names: list[str]) -> list[np.ndarray]:
@@ -393,87 +518,123 @@ def _columns(df: DataFrame, names: list[str]) -> list[np.ndarray]:
     return [t.column(c).to_numpy().astype(np.int64) for c in names]
 
 
-def fit_models(rows: DataFrame) -> list[Model]:
-    """The models of both halves and of the whole from settled (text, y, half) rows."""
-    counted = rows.mapInArrow(_count, "o int, a long, b long, n0 long, n1 long, n2 long, n3 long")
-    summed = settle(counted.groupBy("o", "a", "b").agg(*[F.sum(f"n{i}").alias(f"n{i}") for i in range(4)]))
-    n = {(m, c): sum((F.col(f"n{2 * h + c}") for h in halves[1:]), F.col(f"n{2 * halves[0] + c}")) for m, halves in enumerate(_HALVES) for c in range(2)}
-    names = {k: f"c{k[0]}{k[1]}" for k in n}
-    n3 = n | {(m, 2): n[m, 0] + n[m, 1] for m in range(len(_HALVES))}
-    names3 = {k: f"c{k[0]}{k[1]}" for k in n3}
-    off = lambda c: F.least(c, F.floor(ERRORS * F.sqrt(c))).cast("long")
-    some = lambda cs: F.greatest(*cs) > _GONE
-    types = summed.where(F.col("o") == ORDERS)
-    # Single words count by the different words before them.
-    kinds = {names[k]: F.sum((c > 0).cast("long")) for k, c in n.items()} | {f"e{m}": F.max((n[m, 0] > 0).cast("long")) + F.max((n[m, 1] > 0).cast("long")) for m in range(3)}
-    single = settle(types.groupBy("b").agg(*[c.alias(k) for k, c in kinds.items()]))
-    totals = single.agg(*[F.coalesce(F.sum(k), F.lit(0)).alias(f"t_{k}") for k in names.values()], *[F.coalesce(F.sum(off(F.col(k))), F.lit(0)).alias(f"d_{k}") for k in names.values()]).first()
-    word, *one = _columns(single, ["b", *kinds])
-    one = dict(zip(kinds, one))
-    strong = settle(types.where(some(n3.values())).select("a", "b", *[c.alias(names3[k]) for k, c in n3.items()]))
-    before, after, *two = _columns(strong, ["a", "b", *names3.values()])
-    two = dict(zip(names3.values(), two))
-    needed = strong.select("a").distinct()  # as many as the strong pairs at most, which the sample bounds
-    sums = types.join(F.broadcast(needed), "a").groupBy("a").agg(*[F.sum(c).alias(f"t_{names3[k]}") for k, c in n3.items()], *[F.sum(off(c)).alias(f"d_{names3[k]}") for k, c in n3.items()])
-    context, *three = _columns(sums, ["a", *[f"{p}_{x}" for p in "td" for x in names3.values()]])
-    three = dict(zip([f"{p}_{x}" for p in "td" for x in names3.values()], three))
-    order, key, *n4 = _columns(summed.where(F.col("o") < ORDERS), ["o", "a", "n0", "n1", "n2", "n3"])
-    out = []
-    for m, halves in enumerate(_HALVES):
-        of = [names[m, c] for c in range(2)]
-        of3 = [names3[m, c] for c in range(3)]
-        words = Words(
-            (word, one[of[0]], one[of[1]], one[f"e{m}"]),
-            [(totals[f"t_{k}"], totals[f"d_{k}"]) for k in of],
-            (before, after, [two[k] for k in of3]),
-            (context, [three[f"t_{k}"] for k in of3], [three[f"d_{k}"] for k in of3]),
-        )
-        out.append(Model(Spelling(order, key, np.stack([sum(n4[2 * h + c] for h in halves) for c in range(2)])), words))
-    return out
+class Counts:
+    """What (text, y, half) rows hold, all of them, summed in Spark and settled; models are made from it one at a time.
+
+    Single words are counted by the different words before them. Of pairs those are kept whose count in all rows is not discounted
+    entirely; a context's discounts are its sum less what discounts leave of these.
+    """
 
+    def __init__(self, rows: DataFrame) -> None:
+        spark = rows.sparkSession
+        sums = [F.sum(f"n{i}").alias(f"n{i}") for i in range(4)]
+        words = settle(rows.mapInArrow(_vocabulary, "w binary, h long, n0 long, n1 long, n2 long, n3 long").groupBy("w", "h").agg(*sums))
+        self.keys = np.unique(np.append(_columns(words, ["h"])[0], 0))  # 0: a text's start
+        spelt = words.select("w", "n0", "n1", "n2", "n3").mapInArrow(_spellings, "o int, a long, n0 long, n1 long, n2 long, n3 long")
+        self.sequences = settle(spelt.groupBy("o", "a").agg(*sums))
+        forget(words)
+        shared = spark.sparkContext.broadcast(self.keys)
+        each = [F.shiftright("n", 16 * i).bitwiseAND(F.lit(0xFFFF)) for i in range(4)]
+        types = rows.mapInArrow(pairs_counter(shared), "key long, n long").repartition("key").groupBy("key").agg(*[F.sum(e).alias(f"n{i}") for i, e in enumerate(each)])
+        n = {(m, c): sum((F.col(f"n{2 * h + c}") for h in halves[1:]), F.col(f"n{2 * halves[0] + c}")) for m, halves in enumerate(_HALVES) for c in range(2)}
+        strong = F.col("n0") + F.col("n1") + F.col("n2") + F.col("n3") > _GONE
+        types = types.withColumn("b", F.col("key").bitwiseAND(F.lit(0xFFFFFFFF))).withColumn("a", F.when(strong, F.shiftright("key", 32)))
+        kinds = [F.sum((x > 0).cast("long")).alias(f"k{m}{c}") for (m, c), x in n.items()]
+        self.found = settle(types.groupBy("b", "a").agg(*kinds, *sums))
+        shared.unpersist()
+
+    def model(self, m: int) -> Model:
+        """The model of the halves ``_HALVES[m]``."""
+        here = [F.col(f"k{m}{c}") for c in range(2)]
+        single = self.found.where(F.col("b") != _ALL).groupBy("b").agg(*[F.sum(k).alias(f"k{c}") for c, k in enumerate(here)])
+        word, *kinds = _columns(single.where("k0 + k1 > 0"), ["b", "k0", "k1"])
+        totals = [(int(k.sum()), int(discounted(k).sum())) for k in kinds]
+        n = [sum((F.col(f"n{2 * h + c}") for h in _HALVES[m][1:]), F.col(f"n{2 * _HALVES[m][0] + c}")) for c in range(2)]
+        kept = self.found.where("a is not null").select("a", "b", *[x.alias(f"c{c}") for c, x in enumerate(n)]).where(F.col("c0") + F.col("c1") > _GONE)
+        before, after, *own = _columns(kept.where(F.col("b") != _ALL), ["a", "b", "c0", "c1"])
+        own.append(own[0] + own[1])
+        context, *sums = _columns(kept.where(F.col("b") == _ALL), ["a", "c0", "c1"])
+        needed = np.isin(context, before)
+        context, sums = context[needed], [x[needed] for x in sums]
+        by = np.argsort(context)
+        context, sums = context[by], [x[by] for x in sums]
+        sums.append(sums[0] + sums[1])
+        at = np.searchsorted(context, before)
+        off = [total - np.bincount(at, weights=c - discounted(c), minlength=len(context)).astype(np.int64) for c, total in zip(own, sums)]
+        words = Words((self.keys[word], *kinds, sum((k > 0).astype(np.int64) for k in kinds)), totals, (self.keys[before], self.keys[after], own), (self.keys[context], sums, off))
+        del word, kinds, before, after, own
+        by_class = [sum((F.col(f"n{2 * h + c}") for h in _HALVES[m][1:]), F.col(f"n{2 * _HALVES[m][0] + c}")).alias(f"c{c}") for c in range(2)]
+        order, key, *n2 = _columns(self.sequences.select("o", "a", *by_class).where("c0 + c1 > 0"), ["o", "a", "c0", "c1"])
+        return Model(Spelling(order, key, np.stack(n2)), words)
+
+    def forget(self) -> None:
+        forget(self.sequences)
+        forget(self.found)
 
-def train(docs: DataFrame, labels: DataFrame, hold: tuple[int, int] = HOLD, label_col: str = "toxic", sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Scorer:
-    """Learns from at most ``sample`` labelled rows whose fold is not the held-out one."""
+
+def fit_models(rows: DataFrame) -> list[Model]:
+    """The models of both halves and of the whole from (text, y, half) rows."""
+    counts = Counts(rows)
+    return [counts.model(m) for m in range(len(_HALVES))]
+
+
+def labelled_texts(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_col: str) -> tuple[DataFrame, dict[int, int]]:
+    """Rows (text, y, half, id) of all different texts that ``labels`` (doc_id, y) names, and how many each class has.
+    Halves alternate within a class by a hash of the text: ranks go by buckets of the hash, so no task sees a whole class."""
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("text is not null")
+    kept = settle(join_ids(texts, labels.select("doc_id", label_col), "doc_id").select("text", F.xxhash64("text").alias("id"), F.unhex(F.md5("text")).alias("same"), (F.col(label_col) > 0).cast("int").alias("y"), F.monotonically_increasing_id().alias("row")))
+    once = settle(kept.groupBy("id", "same").agg(F.max("y").alias("y"), F.min("row").alias("row")).withColumn("bucket", F.shiftright("id", 64 - BUCKET_BITS)))
+    sizes = sorted((r["y"], r["bucket"], r["n"]) for r in once.groupBy("y", "bucket").agg(F.count("*").alias("n")).collect())
+    have: dict[int, int] = {}
+    offsets = []
+    for y, bucket, n in sizes:
+        offsets.append((y, bucket, have.get(y, 0)))
+        have[y] = have.get(y, 0) + n
+    known = docs.sparkSession.createDataFrame(offsets, "y int, bucket long, before long")
+    nth = F.col("before") + F.row_number().over(W.partitionBy("y", "bucket").orderBy("id", "same"))
+    halves = once.join(F.broadcast(known), ["y", "bucket"]).select("row", "y", (nth % 2).cast("int").alias("half"))
+    return join_ids(kept.select("text", "id", "row"), halves, "row").select("text", "y", "half", "id"), have
+
+
+def train(docs: DataFrame, labels: DataFrame, hold: tuple[int, int] = HOLD, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> Scorer:
+    """Learns from all labelled rows whose fold is not the held-out one."""
     spark = docs.sparkSession
     small_batches(spark)
     known = labels.where(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label_col).cast("int").alias("y"))
-    known = known.where(fold_of(F.col("doc_id"), hold[0]) != hold[1]).withColumn("h", F.xxhash64("doc_id", F.lit(7)))
-    pick = lambda toxic: known.where((F.col("y") > 0) == F.lit(toxic)).orderBy("h", "doc_id").limit(sample // 2)
-    chosen = pick(True).unionByName(pick(False)).select("doc_id", "y")
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    once = texts.join(F.broadcast(chosen), "doc_id").where("text is not null").groupBy("text").agg(F.max((F.col("y") > 0).cast("int")).alias("y"))
-    # The sample bounds these windows; halves alternate within a class.
-    nth = F.row_number().over(W.partitionBy("y").orderBy(F.xxhash64("text"), "text"))
-    rows = settle(once.withColumn("half", nth % 2).withColumn("id", F.xxhash64("text")))
-    have = {(r["y"], r["half"]): r["n"] for r in rows.groupBy("y", "half").agg(F.count("*").alias("n")).collect()}
-    if len({y for y, _ in have}) < 2:
+    known = known.where(fold_of(F.col("doc_id"), hold[0]) != hold[1])
+    rows, have = labelled_texts(docs, known, "y", id_col, text_col)
+    if len(have) < 2:
         share = known.agg(F.avg((F.col("y") > 0).cast("double"))).first()[0]
         return Scorer(None, [], None, float(share or 0.0))
-    models = fit_models(rows)
-    crossed = len(have) == 4
-    shared = spark.sparkContext.broadcast([models[1], models[0]] if crossed else [models[2], models[2]])
-
-    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memos = Memo(), Memo()
-        for batch in batches:
-            text, y, of, ids = (batch.column(i).to_pylist() for i in range(4))
-            for i in range(2):
-                at = [j for j, h in enumerate(of) if h == i]
-                if at:
-                    x = features([text[j] for j in at], shared.value[i], memos[i])
-                    yield pa.RecordBatch.from_arrays([pa.array(list(x)), pa.array([y[j] for j in at], pa.int32()), pa.array([ids[j] for j in at], pa.int64())], names=["x", "y", "id"])
-
-    found = rows.select("text", "y", "half", "id").mapInArrow(describe, "x array<double>, y int, id long").toArrow().to_pylist()
-    shared.unpersist()
-    found.sort(key=lambda r: (r["id"], r["y"], r["x"]))
-    x, y = np.array([r["x"] for r in found]), np.array([r["y"] for r in found], np.float64)
+    counts = Counts(rows)
+
+    def described(part: DataFrame, model: Model) -> pa.Table:
+        shared = spark.sparkContext.broadcast(model)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            memo = Memo()
+            for batch in batches:
+                x = features(batch.column(0).to_pylist(), shared.value, memo)
+                yield pa.RecordBatch.from_arrays([*[pa.array(x[:, j]) for j in range(x.shape[1])], batch.column(1), batch.column(2)], names=[*names, "y", "id"])
+
+        names = [f"x{j}" for j in range(1 + len(SPANS))]
+        found = part.select("text", "y", "id").mapInArrow(run, ", ".join(f"{c} double" for c in names) + ", y int, id long").toArrow()
+        shared.unpersist()
+        return found
+
+    if min(have.values()) > 1:
+        found = pa.concat_tables([described(rows.where(F.col("half") == i), counts.model(1 - i)) for i in range(2)])
+        model = counts.model(2)
+    else:
+        model = counts.model(2)
+        found = described(rows, model)
+    counts.forget()
+    x, y = np.stack([found.column(j).to_numpy() for j in range(1 + len(SPANS))], axis=1), found.column("y").to_numpy().astype(np.float64)
+    by = np.lexsort([*x.T[::-1], y, found.column("id").to_numpy()])
+    del found
+    x, y = x[by], y[by]
     columns = chosen_columns(x, y, np.arange(len(y)) % FOLDS)
-    mean, spread, w = logistic(x[:, columns], y)
-    # The sample holds as many texts of either class as there are, half of its size at most: the odds go back to those of all labelled rows.
-    every = known.agg(F.count_if(F.col("y") > 0).alias("toxic"), F.count_if(F.col("y") <= 0).alias("plain")).first()
-    taken = chosen.agg(F.count_if(F.col("y") > 0).alias("toxic"), F.count_if(F.col("y") <= 0).alias("plain")).first()
-    w[0] += math.log(every["toxic"] / taken["toxic"]) - math.log(every["plain"] / taken["plain"])
-    return Scorer(models[2], columns, (mean, spread, w), 0.0)
+    return Scorer(model, columns, logistic(x[:, columns], y), 0.0)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, hold: tuple[int, int] = HOLD, cut: float = CUT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -182,3 +182,46 @@ def test_columns_are_chosen_on_the_rows_given():
     y = (np.arange(400) % 2).astype(float)
     x = np.stack([r.normal(size=400), y + r.normal(scale=0.3, size=400), r.normal(size=400), r.normal(size=400)], axis=1)
     assert 1 in T.chosen_columns(x, y, np.arange(400) % T.FOLDS)
+
+
+def test_all_labelled_rows_are_counted(spark):
+    """What only the last rows by the hash of their id show is learned from: 4,500 rows of either class, the last 300 toxic ones with a word of their own."""
+    ids = [i for i in range(14_000) if __import__("zlib").crc32(str(i).encode()) % 4 != 2][:9_000]
+    h = spark.createDataFrame([(i,) for i in ids], "doc_id long").selectExpr("doc_id", "doc_id % 2 toxic", "row_number() over (partition by doc_id % 2 order by xxhash64(doc_id, 7)) n")
+    toxic = {(r.doc_id, r.toxic, r.n) for r in h.collect()}
+    words = ["day", "sun", "sea", "hill", "road", "tree", "bird", "stone"]
+
+    def text(i, y, n):
+        r = random.Random(i)
+        return " ".join([*r.choices(words, k=6), "zorblat" if y and n > sum(x[1] for x in toxic) - 300 else "moron" if y else "cloud", *r.choices(words, k=6)])
+
+    rows = [(i, text(i, y, n)) for i, y, n in toxic] + [(100_000, "day sea zorblat hill sun"), (100_001, "day sea cloud hill sun")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.predicted for r in T.score_toxicity(docs, h.select("doc_id", "toxic")).where("doc_id >= 100000").collect()}
+    assert got == {100_000: 1, 100_001: 0}
+    labelled, have = T.labelled_texts(docs, h.selectExpr("doc_id", "toxic y"), "y", "doc_id", "text")
+    assert labelled.count() == sum(have.values()) == len({t for _, t in rows[:-2]})
+
+
+def test_sums_do_not_depend_on_chunks(monkeypatch):
+    """Counts of pairs, and of contexts beyond one packed row, are the same when handed on in small parts."""
+    rows = [(" ".join(w.decode() for w in words), y, i // 2 % 2) for i, (words, y) in enumerate(texts())]
+    batch = T.pa.RecordBatch.from_arrays([T.pa.array(c) for c in zip(*rows)], names=["text", "y", "half"])
+
+    class Shared:
+        value = np.unique([0, *[T.word_hash(w) for words, _ in texts() for w in words]])
+
+    def summed(parts):
+        out = {}
+        for b in T.pairs_counter(Shared)(iter(parts)):
+            for key, n in zip(*(b.column(j).to_pylist() for j in range(2))):
+                out.setdefault(key, []).append(n)
+        return {k: tuple(sum(n >> 16 * c & 0xFFFF for n in ns) for c in range(4)) for k, ns in out.items()}, max(map(len, out.values()))
+
+    whole, _ = summed([batch])
+    monkeypatch.setattr(T, "_MOST", 7)
+    packed, most = summed([batch])
+    monkeypatch.setattr(T, "CHUNK_PAIRS", 1)
+    assert packed == whole and most > 1 and summed([batch.slice(i, 3) for i in range(0, len(rows), 3)])[0] == whole
+    start = int(np.searchsorted(Shared.value, 0))
+    assert sum(whole[(start << 32) + T._ALL]) == len(rows)
