@@ -184,23 +184,37 @@ def test_columns_are_chosen_on_the_rows_given():
     assert 1 in T.chosen_columns(x, y, np.arange(400) % T.FOLDS)
 
 
-def test_all_labelled_rows_are_counted(spark):
-    """What only the last rows by the hash of their id show is learned from: 4,500 rows of either class, the last 300 toxic ones with a word of their own."""
+def beyond(spark):
+    """4,500 labelled rows of either class; the last 300 toxic ones by the hash of their id alone have the word zorblat."""
     ids = [i for i in range(14_000) if __import__("zlib").crc32(str(i).encode()) % 4 != 2][:9_000]
-    h = spark.createDataFrame([(i,) for i in ids], "doc_id long").selectExpr("doc_id", "doc_id % 2 toxic", "row_number() over (partition by doc_id % 2 order by xxhash64(doc_id, 7)) n")
-    toxic = {(r.doc_id, r.toxic, r.n) for r in h.collect()}
+    labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, toxic int")
+    nth = labels.selectExpr("doc_id", "toxic", "row_number() over (partition by toxic order by xxhash64(doc_id, 7)) n").collect()
+    most = sum(r.toxic for r in nth) - 300
     words = ["day", "sun", "sea", "hill", "road", "tree", "bird", "stone"]
 
     def text(i, y, n):
         r = random.Random(i)
-        return " ".join([*r.choices(words, k=6), "zorblat" if y and n > sum(x[1] for x in toxic) - 300 else "moron" if y else "cloud", *r.choices(words, k=6)])
+        return " ".join([*r.choices(words, k=6), "zorblat" if y and n > most else "moron" if y else "cloud", *r.choices(words, k=6)])
+
+    rows = [(r.doc_id, text(*r)) for r in nth] + [(100_000, "day sea zorblat hill sun"), (100_001, "day sea cloud hill sun")]
+    return spark.createDataFrame(rows, "doc_id long, text string"), labels, len({t for _, t in rows[:-2]})
 
-    rows = [(i, text(i, y, n)) for i, y, n in toxic] + [(100_000, "day sea zorblat hill sun"), (100_001, "day sea cloud hill sun")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: r.predicted for r in T.score_toxicity(docs, h.select("doc_id", "toxic")).where("doc_id >= 100000").collect()}
+
+def test_all_labelled_rows_are_counted(spark):
+    docs, labels, different = beyond(spark)
+    got = {r.doc_id: r.predicted for r in T.score_toxicity(docs, labels).where("doc_id >= 100000").collect()}
     assert got == {100_000: 1, 100_001: 0}
-    labelled, have = T.labelled_texts(docs, h.selectExpr("doc_id", "toxic y"), "y", "doc_id", "text")
-    assert labelled.count() == sum(have.values()) == len({t for _, t in rows[:-2]})
+    labelled, have = T.labelled_texts(docs, labels.withColumnRenamed("toxic", "y"), "y", "doc_id", "text")
+    assert labelled.count() == sum(have.values()) == different
+
+
+def test_pipeline_learns_from_all_labelled_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    for name, df in zip(("documents", "labels"), beyond(spark)):
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet").where("doc_id >= 100000")
+    assert [r.doc_id for r in corpus_pipeline.drop_toxic(spark, docs, str(tmp_path)).collect()] == [100_001]
 
 
 def test_sums_do_not_depend_on_chunks(monkeypatch):
