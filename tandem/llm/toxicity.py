@@ -20,7 +20,7 @@ A document is judged by its log-likelihood ratio a word, over the whole and over
 length in ``SPANS``, calibrated by a logistic fit on rows that the model in question has not counted (two halves,
 drawn apart by class, crossed; a class of one text is not crossed). Which of the lengths count is chosen by cross-validation inside those rows.
 
-The models learn from all labelled rows outside the held-out fold; equal texts count once. Texts stay where they are; the driver gets the
+The models learn from all labelled rows outside the held-out fold, if one is held out; equal texts count once. Texts stay where they are; the driver gets the
 different words and byte sequences, the pairs that discounts leave something of, one model at a time, and four numbers of each text for the fit.
 
 Edge cases: null and empty texts and texts without words score by the intercept alone; null ids are never
@@ -596,12 +596,13 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, label_col: str, id_col: s
     return join_ids(kept.select("text", "id", "row"), halves, "row").select("text", "y", "half", "id"), have
 
 
-def train(docs: DataFrame, labels: DataFrame, hold: tuple[int, int] = HOLD, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> Scorer:
-    """Learns from all labelled rows whose fold is not the held-out one."""
+def train(docs: DataFrame, labels: DataFrame, hold: tuple[int, int] | None = HOLD, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> Scorer:
+    """Learns from all labelled rows whose fold is not the held-out one; without ``hold`` from all labelled rows."""
     spark = docs.sparkSession
     small_batches(spark)
     known = labels.where(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label_col).cast("int").alias("y"))
-    known = known.where(fold_of(F.col("doc_id"), hold[0]) != hold[1])
+    if hold:
+        known = known.where(fold_of(F.col("doc_id"), hold[0]) != hold[1])
     rows, have = labelled_texts(docs, known, "y", id_col, text_col)
     if len(have) < 2:
         share = known.agg(F.avg((F.col("y") > 0).cast("double"))).first()[0]

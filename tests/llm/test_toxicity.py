@@ -217,6 +217,22 @@ def test_pipeline_learns_from_all_labelled_rows(spark, tmp_path):
     assert [r.doc_id for r in corpus_pipeline.drop_toxic(spark, docs, str(tmp_path)).collect()] == [100_001]
 
 
+def test_pipeline_holds_no_labelled_row_out(spark, tmp_path):
+    """The word zorblat is toxic by the labels of the fold alone that op8_toxicity holds out; rare words tell nothing."""
+    import corpus_pipeline
+
+    words, r = ["day", "sun", "sea", "hill", "road", "tree", "bird", "stone"], random.Random(3)
+    rows = []
+    for i in range(2_000):
+        held = __import__("zlib").crc32(str(i).encode()) % 4 == 2
+        rows.append((i, " ".join([*r.choices(words, k=6), ("".join(r.choices("abdegilmnorstz", k=7)) if i % 5 else "zorblat" if held else "moron"), *r.choices(words, k=6)]), int(i % 5 == 0)))
+    docs = spark.createDataFrame([x[:2] for x in rows] + [(100_000, "day sea zorblat hill sun"), (100_001, "day sea cloud hill sun")], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([x[::2] for x in rows], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet").where("doc_id >= 100000")
+    assert [x.doc_id for x in corpus_pipeline.drop_toxic(spark, docs, str(tmp_path)).collect()] == [100_001]
+
+
 def test_sums_do_not_depend_on_chunks(monkeypatch):
     """Counts of pairs, and of contexts beyond one packed row, are the same when handed on in small parts."""
     rows = [(" ".join(w.decode() for w in words), y, i // 2 % 2) for i, (words, y) in enumerate(texts())]
