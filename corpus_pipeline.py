@@ -25,9 +25,10 @@ def row_key() -> Column:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below the cut. Nothing is measured on labels here, so no labelled row is held out."""
-    scorer = toxicity.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), hold=None)
     score = unused(docs, "_score")
-    return toxicity.add_score(docs, scorer, name=score).where(F.col(score) < toxicity.CUT).drop(score)
+    # Passed on, not kept: the driver is free of the model once it is broadcast.
+    scored = toxicity.add_score(docs, toxicity.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), hold=None), name=score)
+    return scored.where(F.col(score) < toxicity.CUT).drop(score)
 
 
 def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,9 +7,9 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.state import forget, settle, ship
+from ..operators.state import forget, release, settle, ship
 
-__all__ = ["forget", "settle"]
+__all__ = ["forget", "release", "settle"]
 
 #: ASCII white space, as the word pattern ``[^\x20\x09-\x0D]+`` has it.
 SPACE = "\t\n\x0b\x0c\r "

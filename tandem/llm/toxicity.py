@@ -41,7 +41,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import BATCH_ROWS, forget, join_ids, settle, small_batches, unused
+from .common import BATCH_ROWS, forget, join_ids, release, settle, small_batches, unused
 
 ORDERS = 6
 #: Of the byte sequences: what a count is discounted by, and the shared counts that every class context is given.
@@ -167,16 +167,9 @@ class Sorted:
 
 
 class Spelling:
-    """Byte models of the two classes. ``order``, ``key`` and ``n`` (2 x rows) are the counts of sequences."""
+    """Byte models of the two classes. ``rows`` has of each order the sorted keys of the sequences and their counts (2 x keys)."""
 
-    def __init__(self, order: np.ndarray, key: np.ndarray, n: np.ndarray) -> None:
-        some = n.sum(axis=0) > 0
-        order, key, n = order[some], key[some], n[:, some]
-        rows = []
-        for o in range(ORDERS):
-            at = np.flatnonzero(order == o)
-            at = at[np.argsort(key[at], kind="stable")]
-            rows.append((key[at], n[:, at].astype(np.float64)))
+    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]]) -> None:
         #: By order: sequences; their contexts; discounted shares and what contexts leave, shared and by class. The last place is for what was never seen.
         self.keys = [keys for keys, _ in rows]
         contexts_of, self.shared, self.shared_rest, self.own, self.own_rest = [], [], [], [], []
@@ -240,30 +233,39 @@ class Spelling:
 class Words:
     """Models of words after words, from the counts that discounts leave something of.
 
-    ``single`` has (key, class counts x 2, classes that hold it), ``totals`` the (sums, discounts) of both counts;
-    ``pairs`` (word before, word, counts x 3) and ``contexts`` (word before, sums x 3, discounts x 3) of either class and of both together.
+    ``single`` has (key, class counts x 2, classes that hold it), ``totals`` the (sums, discounts) of both counts. Pairs come
+    after them, so that the driver never holds the counts of both.
     """
 
-    def __init__(self, single: tuple, totals: tuple, pairs: tuple, contexts: tuple) -> None:
-        left = lambda c, total: np.append((c - discounted(c)) / np.maximum(total, 1), 0.0)
-        rest = lambda off, total: np.where(total > 0, off / np.maximum(total, 1), 1.0)
+    def __init__(self, single: tuple, totals: tuple) -> None:
         by = np.argsort(single[0], kind="stable")
         self.key, self.classes = Sorted(single[0][by]), np.append(single[3][by], 0).astype(np.int8)
         strong = by[(single[1][by] > _GONE) | (single[2][by] > _GONE)]
         self.strong = Sorted(single[0][strong])
-        self.single = [left(c[strong], total) for c, (total, _) in zip(single[1:3], totals)]
-        self.single_rest = [float(rest(off, total)) for total, off in totals[:2]]
+        self.single = [self._left(c[strong], total) for c, (total, _) in zip(single[1:3], totals)]
+        self.single_rest = [float(self._rest(off, total)) for total, off in totals[:2]]
         known, classes = (single[3] > 0).sum(), single[3].sum()
         self.shared = np.maximum(np.arange(3) - DISCOUNT, 0) / max(classes, 1)
         self.shared_rest = float(DISCOUNT * known / classes) if classes else 1.0
+
+    @staticmethod
+    def _left(c: np.ndarray, total: np.ndarray) -> np.ndarray:
+        return np.append((c - discounted(c)) / np.maximum(total, 1), 0.0)
+
+    @staticmethod
+    def _rest(off: np.ndarray, total: np.ndarray) -> np.ndarray:
+        return np.where(total > 0, off / np.maximum(total, 1), 1.0)
+
+    def add_pairs(self, pairs: tuple, contexts: tuple) -> None:
+        """``pairs`` (word before, word, counts x 3) and ``contexts`` (word before, sums x 3, discounts x 3) of either class and of both together."""
         by = np.argsort(contexts[0], kind="stable")
         self.context = contexts[0][by]
         total, off = [x[by] for x in contexts[1]], [x[by] for x in contexts[2]]
-        self.rest = [np.append(rest(off[i], total[i]), 1.0) for i in range(3)]
+        self.rest = [np.append(self._rest(off[i], total[i]), 1.0) for i in range(3)]
         key = pair_hash(pairs[0], pairs[1])
         by = np.argsort(key, kind="stable")
         self.pair, at = Sorted(key[by]), _find(self.context, pairs[0][by])
-        self.own = [left(pairs[2][i][by], np.append(total[i], 0)[at]) for i in range(3)]
+        self.own = [self._left(pairs[2][i][by], np.append(total[i], 0)[at]) for i in range(3)]
 
     def alone(self, hashes: np.ndarray, spelling: np.ndarray) -> np.ndarray:
         """P(word) of each class, 2 x words, from the words' spelling probabilities."""
@@ -440,6 +442,8 @@ def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held = {}
     if held:
         yield emit(held)
+    del held
+    release()
 
 
 def _spellings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -509,13 +513,19 @@ def pairs_counter(shared):
                 places = {}
         if codes:
             yield from emit(codes, columns)
+        del codes, places
+        release()
 
     return run
 
 
 def _columns(df: DataFrame, names: list[str]) -> list[np.ndarray]:
+    """The columns, whole numbers of Spark's own width."""
     t = df.select(names).toArrow()
-    return [t.column(c).to_numpy().astype(np.int64) for c in names]
+    out = [t.column(c).to_numpy() for c in names]
+    del t
+    release()
+    return out
 
 
 class Counts:
@@ -541,17 +551,21 @@ class Counts:
         types = types.withColumn("b", F.col("key").bitwiseAND(F.lit(0xFFFFFFFF))).withColumn("a", F.when(strong, F.shiftright("key", 32)))
         kinds = [F.sum((x > 0).cast("long")).alias(f"k{m}{c}") for (m, c), x in n.items()]
         self.found = settle(types.groupBy("b", "a").agg(*kinds, *sums))
-        shared.unpersist()
+        shared.destroy()
 
     def model(self, m: int) -> Model:
         """The model of the halves ``_HALVES[m]``."""
         here = [F.col(f"k{m}{c}") for c in range(2)]
         single = self.found.where(F.col("b") != _ALL).groupBy("b").agg(*[F.sum(k).alias(f"k{c}") for c, k in enumerate(here)])
-        word, *kinds = _columns(single.where("k0 + k1 > 0"), ["b", "k0", "k1"])
+        # Places, and so the numbers of different words, take 31 bits at most.
+        word, *kinds = _columns(single.where("k0 + k1 > 0").select(*[F.col(c).cast("int") for c in ("b", "k0", "k1")]), ["b", "k0", "k1"])
         totals = [(int(k.sum()), int(discounted(k).sum())) for k in kinds]
+        words = Words((self.keys[word], *kinds, sum((k > 0).astype(np.int8) for k in kinds)), totals)
+        del word, kinds
+        release()
         n = [sum((F.col(f"n{2 * h + c}") for h in _HALVES[m][1:]), F.col(f"n{2 * _HALVES[m][0] + c}")) for c in range(2)]
         kept = self.found.where("a is not null").select("a", "b", *[x.alias(f"c{c}") for c, x in enumerate(n)]).where(F.col("c0") + F.col("c1") > _GONE)
-        before, after, *own = _columns(kept.where(F.col("b") != _ALL), ["a", "b", "c0", "c1"])
+        before, after, *own = _columns(kept.where(F.col("b") != _ALL).select(F.col("a").cast("int"), F.col("b").cast("int"), "c0", "c1"), ["a", "b", "c0", "c1"])
         own.append(own[0] + own[1])
         context, *sums = _columns(kept.where(F.col("b") == _ALL), ["a", "c0", "c1"])
         needed = np.isin(context, before)
@@ -561,11 +575,18 @@ class Counts:
         sums.append(sums[0] + sums[1])
         at = np.searchsorted(context, before)
         off = [total - np.bincount(at, weights=c - discounted(c), minlength=len(context)).astype(np.int64) for c, total in zip(own, sums)]
-        words = Words((self.keys[word], *kinds, sum((k > 0).astype(np.int64) for k in kinds)), totals, (self.keys[before], self.keys[after], own), (self.keys[context], sums, off))
-        del word, kinds, before, after, own
+        words.add_pairs((self.keys[before], self.keys[after], own), (self.keys[context], sums, off))
+        del before, after, own, at, off, sums, context, by, needed
+        release()
         by_class = [sum((F.col(f"n{2 * h + c}") for h in _HALVES[m][1:]), F.col(f"n{2 * _HALVES[m][0] + c}")).alias(f"c{c}") for c in range(2)]
-        order, key, *n2 = _columns(self.sequences.select("o", "a", *by_class).where("c0 + c1 > 0"), ["o", "a", "c0", "c1"])
-        return Model(Spelling(order, key, np.stack(n2)), words)
+        rows = []
+        for o in range(ORDERS):
+            key, *n2 = _columns(self.sequences.where(F.col("o") == o).select("a", *by_class).where("c0 + c1 > 0"), ["a", "c0", "c1"])
+            by = np.argsort(key, kind="stable")
+            rows.append((key[by], np.stack([x[by].astype(np.float64) for x in n2])))
+        del key, n2, by
+        release()
+        return Model(Spelling(rows), words)
 
     def forget(self) -> None:
         forget(self.sequences)
@@ -611,16 +632,20 @@ def train(docs: DataFrame, labels: DataFrame, hold: tuple[int, int] | None = HOL
 
     def described(part: DataFrame, model: Model) -> pa.Table:
         shared = spark.sparkContext.broadcast(model)
+        del model
+        release()
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             memo = Memo()
             for batch in batches:
                 x = features(batch.column(0).to_pylist(), shared.value, memo)
                 yield pa.RecordBatch.from_arrays([*[pa.array(x[:, j]) for j in range(x.shape[1])], batch.column(1), batch.column(2)], names=[*names, "y", "id"])
+            del memo
+            release()
 
         names = [f"x{j}" for j in range(1 + len(SPANS))]
         found = part.select("text", "y", "id").mapInArrow(run, ", ".join(f"{c} double" for c in names) + ", y int, id long").toArrow()
-        shared.unpersist()
+        shared.destroy()
         return found
 
     if min(have.values()) > 1:
@@ -660,5 +685,9 @@ def add_score(docs: DataFrame, scorer: Scorer, text_col: str = "text", name: str
         for batch in batches:
             score = shared.value(batch.column(at).to_pylist(), memo)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.round(score, 6))], names=names)
+        del memo
+        release()
 
+    del scorer
+    release()
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(names[-1], DoubleType())]))

@@ -233,6 +233,40 @@ def test_pipeline_holds_no_labelled_row_out(spark, tmp_path):
     assert [x.doc_id for x in corpus_pipeline.drop_toxic(spark, docs, str(tmp_path)).collect()] == [100_001]
 
 
+def test_driver_is_free_of_models(spark, monkeypatch):
+    """Of training no broadcast stays in the driver; where texts are scored, it holds no model beside the broadcast one."""
+    import gc
+    import weakref
+
+    from pyspark.core.broadcast import Broadcast
+
+    sent, gone, alive = [], [], []
+    make, destroy, model = type(spark.sparkContext).broadcast, Broadcast.destroy, T.Counts.model
+    frames = type(spark.range(1))
+    arrow = frames.mapInArrow
+
+    def counted(self, m):
+        if alive:
+            gc.collect()
+            assert alive[-1]() is None
+        out = model(self, m)
+        alive.append(weakref.ref(out))
+        return out
+
+    def mapped(self, run, *a, **b):
+        assert not alive or alive[-1]() is None
+        return arrow(self, run, *a, **b)
+
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: sent.append(make(self, value)) or sent[-1])
+    monkeypatch.setattr(Broadcast, "destroy", lambda self, *a: gone.append(self) or destroy(self, *a))
+    monkeypatch.setattr(T.Counts, "model", counted)
+    monkeypatch.setattr(frames, "mapInArrow", mapped)
+    docs, labels = frame(spark)
+    scored = T.add_score(docs, T.train(docs, labels, hold=None))
+    assert len(alive) == 3 and gone == sent[:-1] and len(gone) == 3
+    assert scored.count() == docs.count()
+
+
 def test_sums_do_not_depend_on_chunks(monkeypatch):
     """Counts of pairs, and of contexts beyond one packed row, are the same when handed on in small parts."""
     rows = [(" ".join(w.decode() for w in words), y, i // 2 % 2) for i, (words, y) in enumerate(texts())]
