@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +44,14 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A table of the driver's rows of whole numbers. They go as Arrow: of a plain list ``createDataFrame`` makes an RDD, for which each executor
+    starts Python workers of another kind beside those of the maps, and keeps them."""
+    names = [c.split()[0] for c in schema.split(", ")]
+    columns = list(zip(*rows)) or [()] * len(names)
+    return spark.createDataFrame(pa.table({c: pa.array(x, pa.int64()) for c, x in zip(names, columns)}), schema)
+
+
 def unused(docs: DataFrame, name: str) -> str:
     """``name``, with as many underscores before it as it takes to clash with no column."""
     while name.lower() in {c.lower() for c in docs.columns}:

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, settle
+from .common import BROADCAST_ROWS, settle, small_table
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
@@ -67,7 +67,7 @@ def numbered(sizes: DataFrame) -> DataFrame:
     for part, count in held:
         offsets.append((part, before))
         before += count
-    start = sizes.sparkSession.createDataFrame(offsets, "part int, start long")
+    start = small_table(sizes.sparkSession, offsets, "part int, start long")
     local = F.row_number().over(W.partitionBy("part").orderBy(by)) - 1
     return ranged.withColumn("local", local).join(F.broadcast(start), "part").select(*sizes.columns, (F.col("start") + F.col("local")).alias("place"))
 

@@ -41,7 +41,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import BATCH_ROWS, forget, join_ids, release, settle, small_batches, unused
+from .common import BATCH_ROWS, forget, join_ids, release, settle, small_batches, small_table, unused
 
 ORDERS = 6
 #: Of the byte sequences: what a count is discounted by, and the shared counts that every class context is given.
@@ -611,7 +611,7 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, label_col: str, id_col: s
     for y, bucket, n in sizes:
         offsets.append((y, bucket, have.get(y, 0)))
         have[y] = have.get(y, 0) + n
-    known = docs.sparkSession.createDataFrame(offsets, "y int, bucket long, before long")
+    known = small_table(docs.sparkSession, offsets, "y int, bucket long, before long")
     nth = F.col("before") + F.row_number().over(W.partitionBy("y", "bucket").orderBy("id", "same"))
     halves = once.join(F.broadcast(known), ["y", "bucket"]).select("row", "y", (nth % 2).cast("int").alias("half"))
     return join_ids(kept.select("text", "id", "row"), halves, "row").select("text", "y", "half", "id"), have

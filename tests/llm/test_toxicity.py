@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tandem.llm import toxicity as T
 
@@ -289,3 +290,17 @@ def test_sums_do_not_depend_on_chunks(monkeypatch):
     assert packed == whole and most > 1 and summed([batch.slice(i, 3) for i in range(0, len(rows), 3)])[0] == whole
     start = int(np.searchsorted(Shared.value, 0))
     assert sum(whole[(start << 32) + T._ALL]) == len(rows)
+
+
+def test_small_tables_start_no_other_workers(spark, monkeypatch):
+    """The driver's own rows reach Spark without an RDD, which would have Python workers of its own on each executor."""
+    from tandem.llm import mixing
+
+    def refused(*a, **b):
+        raise AssertionError("an RDD of Python objects")
+
+    docs, labels = frame(spark)
+    docs = docs.select("doc_id", "text", F.lit("x").alias("source"))
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", refused)
+    assert T.score_toxicity(docs, labels).count() == docs.count()
+    assert mixing.mix(docs).count() == docs.count()
