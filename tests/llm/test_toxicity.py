@@ -292,6 +292,23 @@ def test_sums_do_not_depend_on_chunks(monkeypatch):
     assert sum(whole[(start << 32) + T._ALL]) == len(rows)
 
 
+def test_words_share_beginnings():
+    """A beginning stands once, in any order of the words and beyond the compared width; what is looked up stays the same."""
+    r, wide = random.Random(5), b"ab" * T.WIDTH
+    words = sorted({bytes(r.choices(b"abc", k=r.randint(1, 9))) for _ in range(300)} | {wide, wide + b"a", wide + b"c", "été".encode()})
+    for given in (words, r.sample(words, len(words)), words[:1]):
+        place, window, offsets = T.spelled(given)
+        node, own = T.shared_beginnings(given, place, offsets)
+        marked = [b"\x01" + w + b"\x02" for w in given]
+        begins = [w[: i + 1] for w in marked for i in range(len(w))]
+        assert [begins[own[i]] for i in node] == begins
+    place, _, offsets = T.spelled(words)
+    short = [i for i, b in enumerate(place) if b <= T.WIDTH]
+    begins = [w[: i + 1] for w in (b"\x01" + w + b"\x02" for w in words) for i in range(len(w))]
+    _, own = T.shared_beginnings(words, place, offsets)
+    assert len(set(own) & set(short)) == len({begins[i] for i in short})
+
+
 def test_small_tables_start_no_other_workers(spark, monkeypatch):
     """The driver's own rows reach Spark without an RDD, which would have Python workers of its own on each executor."""
     from tandem.llm import mixing
