@@ -95,3 +95,23 @@ def test_same_file_negatives_are_neither_positive_nor_called(spark):
     assert got <= every - {(0, 1), (4, 5), (2, 3), (12, 13)} and {a // 4 for a, _ in got} == set(range(10))
     made = graph.negatives(pos, nodes, e, ["file"]).collect()
     assert len(made) == 5 and sorted(r.type for r in made) == ["hard"] * 2 + ["intra_file"] * 3
+
+
+def test_candidates_of_files_cut_into_blocks(spark):
+    """SET4 JN18: blocks change nothing, a pair that shares several files stays one, and the pairs of one file are not gathered again."""
+    nodes = [(i, f"f{i % 3}") for i in range(40)] + [(i, "both") for i in range(0, 40, 3)] + [(50, None), (51, None), (0, "f0")]
+    e = spark.createDataFrame([(0, 3), (1, 0), (3, 1), (7, 7), (60, 61)], "src long, dst long")
+    df = spark.createDataFrame(nodes, "node long, file string")
+    files = {}
+    for n, f in nodes:
+        files.setdefault(f, set()).add(n)
+    want = {(a, b) for f, ns in files.items() if f for a in ns for b in ns if a < b}
+    for block, a_task in ((1, 10), (4, 100), (512, 10**6)):
+        made = graph.same_file_pairs(df, ["file"], block, a_task)
+        got = [tuple(r) for r in made.collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    assert graph.same_file_pairs(df, ["file"], 4, 100).rdd.getNumPartitions() >= len(want) // 100
+    c = graph.candidates(df, e, ["file"])
+    got = [tuple(r) for r in c.select("func1", "func2").collect()]
+    assert len(got) == len(set(got)) and set(got) == want | {(0, 1), (0, 3), (1, 3), (60, 61)}
+    assert c._jdf.queryExecution().optimizedPlan().nodeName() == "Union"
