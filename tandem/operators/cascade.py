@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import basename, import_file, stem
 from ..functions.vectors import cosine
+from .nearest import BLOCK, likely_best
 from .state import settle
 
 
@@ -79,19 +80,22 @@ def match_historical(hist: DataFrame, functions: DataFrame, key: str = "hist_id"
     return best_match(hist, key, rules)
 
 
-def match_similar(hist: DataFrame, functions: DataFrame, key: str = "hist_id", vector: str = "vector", least: float = 0.5, same_path: float = 0.2, same_base: float = 0.1) -> DataFrame:
+def match_similar(hist: DataFrame, functions: DataFrame, key: str = "hist_id", vector: str = "vector", least: float = 0.5, same_path: float = 0.2, same_base: float = 0.1, block: int = BLOCK) -> DataFrame:
     """JN8: among functions of the same name the most similar one, if its score is over ``least``.
 
     The score is the vectors' cosine plus a bonus for the same path or the same base name; the
-    earlier function wins a tie.
+    earlier function wins a tie. Of functions equal in name, path and vector the earliest is compared; pairs that
+    cannot be the best leave in blocks (:mod:`.nearest`), and the few others get their score here.
     """
-    h, f = hist.alias("h"), functions.alias("f")
-    path, own = F.col("h.path"), F.col("f.path")
+    order = F.struct((-F.col("seq")).alias("seq"), "node_id")
+    f = settle(functions.groupBy("name", "path", F.col(vector).alias("vector")).agg(F.max(order).alias("first")))
+    near = likely_best(hist.select("name", "path", F.col(vector).alias("vector"), F.col(key).alias("key")), f, least, same_path, same_base, block)
+    path, own = F.col("h_path"), F.col("f_path")
     bonus = F.when(path == own, same_path).when(basename(path) == basename(own), same_base).otherwise(0.0)
-    score = F.round(cosine(F.col(f"h.{vector}"), F.col(f"f.{vector}")) + bonus, 9)
-    cand = h.join(f, F.col("h.name") == F.col("f.name")).select(F.col(f"h.{key}").alias(key), score.alias("score"), F.col("f.node_id").alias("node_id"), F.col("f.seq").alias("seq"))
-    best = cand.where(F.col("score") > least).groupBy(key).agg(F.max(F.struct("score", (-F.col("seq")).alias("seq"), "node_id")).alias("m"))
-    return best.select(key, F.col("m.node_id").alias("node_id"), F.col("m.score").alias("score"))
+    score = F.round(cosine(F.col("h_vector"), F.col("f_vector")) + bonus, 9)
+    cand = near.select(F.col("h_key").alias(key), score.alias("score"), "f_first")
+    best = cand.where(F.col("score") > least).groupBy(key).agg(F.max(F.struct("score", "f_first")).alias("m"))
+    return best.select(key, F.col("m.f_first.node_id").alias("node_id"), F.col("m.score").alias("score"))
 
 
 def resolve_callees(calls: DataFrame, functions: DataFrame, imports: DataFrame, key: str = "call_id") -> DataFrame:

@@ -16,3 +16,43 @@ def test_suffix_rule_is_endswith(spark):
     h = spark.createDataFrame(hist, "hist_id long, path string, name string")
     got = {(x.hist_id, x.node_id) for x in cascade.ends_with(h, f).collect()}
     assert got == {(i, n) for i, p, name in hist if p is not None for n, path, fname, _ in functions if fname == name and path.endswith(p)}
+
+
+def test_most_similar_in_blocks(spark):
+    """JN8: blocks of any size give what comparing all pairs gives: ties, copies, odd vectors, null paths and names."""
+    import math
+
+    from tandem.operators import nearest
+
+    r = random.Random(7)
+    nan, inf = float("nan"), float("inf")
+    odd = [None, [], [0.0, 0.0, 0.0], [nan, 1.0, 0.0], [1.0, None, 2.0], [1.0, 2.0], [1e300, 1e300, 0.0], [inf, 1.0, 1.0], [1e-160, 0.0, 0.0], [2.0, 2.0, 2.0], [1.0, 1.0, 1.0]]
+    vector = lambda: r.choice(odd) if r.random() < 0.2 else [float(r.randint(-3, 3)) for _ in range(3)]
+    path = lambda: r.choice(["a/x.py", "b/x.py", "a/y.py", "x.py", None, "", "a/"])
+    hist = [(i, r.choice(["f", "f", "g", "h", None]), path(), vector()) for i in range(120)]
+    functions = [(f"n{i}", i % 50, r.choice(["f", "f", "g", None, "k"]), path(), vector()) for i in range(150)]
+
+    def cosine(a, b):
+        dot = lambda x, y: None if x is None or y is None or len(x) != len(y) or None in x or None in y else sum((p * q for p, q in zip(x, y)), 0.0)
+        d, n = dot(a, b), (dot(a, a), dot(b, b))
+        if d is None or None in n or math.sqrt(n[0]) * math.sqrt(n[1]) == 0:
+            return 0.0
+        return d / (math.sqrt(n[0]) * math.sqrt(n[1]))
+
+    want = {}
+    for i, name, p, v in hist:
+        for node, seq, own, q, w in functions:
+            if name is None or name != own:
+                continue
+            base = lambda x: None if x is None else x.split("/")[-1]
+            s = cosine(v, w) + (0.0 if p is None or q is None else 0.2 if p == q else 0.1 if base(p) == base(q) else 0.0)
+            s = s if math.isnan(s) else round(s, 9)
+            if s > 0.5 or math.isnan(s):
+                want[i] = max(want.get(i, (False, -9.0, 0, "")), (math.isnan(s), 0.0 if math.isnan(s) else s, -seq, node))
+    h = spark.createDataFrame(hist, "hist_id long, name string, path string, vector array<double>")
+    f = spark.createDataFrame(functions, "node_id string, seq long, name string, path string, vector array<double>")
+    for block in (3, 16, 8192):
+        got = {x.hist_id: (x.node_id, math.isnan(x.score), 0.0 if math.isnan(x.score) else round(x.score, 9)) for x in cascade.match_similar(h, f, block=block).collect()}
+        assert got == {i: (node, bad, s) for i, (bad, s, _, node) in want.items()}
+    few = nearest.likely_best(h, f.select("name", "path", "vector", "seq"), 0.5, 0.2, 0.1)
+    assert few.count() < len(hist) * len(functions) / 8
