@@ -30,7 +30,7 @@ def hops(edges: DataFrame, k: int) -> DataFrame:
 
     Each step is one join of the frontier with the edges; pairs already reached leave the frontier by an anti join.
     """
-    e = edges.select("src", "dst").where("src <> dst").distinct()
+    e = settle(edges.select("src", "dst").where("src <> dst").distinct())  # every step reads them
     reached = frontier = e.withColumn("depth", F.lit(1))
     for depth in range(2, k + 1):
         step = frontier.select("src", F.col("dst").alias("_m")).join(e.select(F.col("src").alias("_m"), "dst"), "_m").where("src <> dst").select("src", "dst").distinct()
@@ -52,16 +52,17 @@ def call_distance(pairs: DataFrame, edges: DataFrame, k: int) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root): weakly connected components by alternating star contraction; root is the smallest node."""
+    """(node, root): weakly connected components by alternating star contraction; root is the smallest node. Its joins are
+    merge joins, as those of :func:`reachable`: a side that is small enough to broadcast would go through the driver in every round."""
     e = settle(edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct())
     before = None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        last, e = e, settle(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        last, e = e, settle(both.where("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
         forget(last)
         least = e.groupBy("u").agg(F.min("v").alias("m"))
-        low = e.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = e.join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         last, e = e, settle(low.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
         forget(last)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -71,25 +72,49 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
 
 
+#: Shortcuts that a walk may take, for each edge.
+SHORTCUTS = 4
+
+
+def shortcuts(edges: DataFrame, most: int = SHORTCUTS) -> DataFrame:
+    """``edges`` (src, dst) and ways of 2, 4, 8... steps beside them, as long as there are no more than ``most`` times as many as
+    edges: the same nodes are reached in a fraction of the rounds. Counted before they are made, so hubs cost nothing."""
+    limit = most * edges.count()
+    while True:
+        into = edges.groupBy(F.col("dst").alias("m")).agg(F.count("*").alias("i"))
+        out = edges.groupBy(F.col("src").alias("m")).agg(F.count("*").alias("o"))
+        ways = into.join(out.hint("merge"), "m").agg(F.sum(F.col("i").cast("double") * F.col("o"))).first()[0] or 0
+        if not ways or ways > 2 * limit:
+            return edges
+        far = edges.select("src", F.col("dst").alias("_m")).join(edges.select(F.col("src").alias("_m"), "dst").hint("merge"), "_m").where("src <> dst").select("src", "dst")
+        more = settle(edges.unionByName(far).distinct())
+        n = more.count()
+        if n > limit or n == edges.count():
+            forget(more)
+            return edges
+        edges = more
+
+
 def reachable(pairs: DataFrame, edges: DataFrame) -> DataFrame:
     """GR9: those of ``pairs`` (func1, func2) with a way from one to the other, whichever way round.
 
     Pairs in different components have none. For the others only the nodes asked about are
-    walked from, until no frontier is left.
+    walked from, until no frontier is left. A round writes its frontier only; what was reached is all frontiers.
     """
     e = settle(edges.select("src", "dst").where("src <> dst").distinct())
     roots = settle(components(e))
-    side = lambda k: roots.select(F.col("node").alias(f"func{k}"), F.col("root").alias(f"_r{k}"))
+    side = lambda k: roots.select(F.col("node").alias(f"func{k}"), F.col("root").alias(f"_r{k}")).hint("merge")
     near = settle(pairs.select(*PAIR).distinct().join(side(1), "func1").join(side(2), "func2").where("_r1 = _r2").select(*PAIR))
     starts = near.select(F.col("func1").alias("s")).unionByName(near.select(F.col("func2").alias("s"))).distinct()
+    e = shortcuts(e)
     seen = frontier = settle(starts.select("s", F.col("s").alias("t")))
     while True:
-        step = frontier.join(e, frontier["t"] == e["src"]).select("s", F.col("dst").alias("t")).distinct()
-        frontier = settle(step.join(seen, ["s", "t"], "left_anti"))
+        step = frontier.join(e.hint("merge"), frontier["t"] == e["src"]).select("s", F.col("dst").alias("t")).distinct()
+        frontier = settle(step.join(seen.hint("merge"), ["s", "t"], "left_anti"))
         if frontier.isEmpty():
             break
-        seen = settle(seen.unionByName(frontier))
-    ways = seen.where("s <> t")
+        seen = seen.unionByName(frontier)
+    ways = seen.where("s <> t").hint("merge")
     forth = near.join(ways, (near["func1"] == ways["s"]) & (near["func2"] == ways["t"]), "left_semi")
     back = near.join(ways, (near["func2"] == ways["s"]) & (near["func1"] == ways["t"]), "left_semi")
     return forth.unionByName(back).distinct()
@@ -160,8 +185,17 @@ def hard_negatives(edges: DataFrame, positives: DataFrame) -> DataFrame:
 
 
 def first_by_key(pairs: DataFrame, n: int, seed: int = SEED) -> DataFrame:
-    """ST5, ST6: the first n pairs in hashed order."""
-    return pairs.orderBy(pair_key(F.col("func1"), F.col("func2"), seed), *PAIR).limit(n)
+    """ST5, ST6: the first n pairs in hashed order, which are kept as they stand. Whole buckets of the hash are taken up to the one
+    in which the n-th pair falls, and only that one is put in order: a top-k of this size would gather them all in one task."""
+    p = settle(pairs.withColumn("_k", pair_key(F.col("func1"), F.col("func2"), seed)))
+    p = p.withColumn("_b", F.substring("_k", 1, 4))
+    sizes = p.groupBy("_b").agg(F.count("*").alias("_n"))  # 65,536 at most
+    sizes = sizes.withColumn("_upto", F.sum("_n").over(W.orderBy("_b")))
+    last = sizes.where(F.col("_upto") >= n).orderBy("_b").select("_b", F.col("_upto") - F.col("_n")).first()
+    if last is None:
+        return p.drop("_k", "_b")
+    cut = p.where(F.col("_b") == last[0]).orderBy("_k", *PAIR).limit(n - last[1])
+    return p.where(F.col("_b") < last[0]).unionByName(cut).drop("_k", "_b")
 
 
 def intra_file_negatives(nodes: DataFrame, edges: DataFrame, positives: DataFrame, rounds: int, keys: list[str], seed: int = SEED) -> DataFrame:
@@ -207,11 +241,12 @@ def draw_pairs(nodes: DataFrame, keys: list[str], rounds: int, seed: int = SEED,
 def unreachable_negatives(nodes: DataFrame, edges: DataFrame, rounds: int = 1, seed: int = SEED) -> DataFrame:
     """JN14: random pairs without a way between them."""
     drawn = settle(draw_pairs(nodes, [], rounds, seed))
-    return drawn.join(reachable(drawn, edges), PAIR, "left_anti")
+    return drawn.join(reachable(drawn, edges).hint("merge"), PAIR, "left_anti")
 
 
 def negatives(positives: DataFrame, nodes: DataFrame, edges: DataFrame, keys: list[str], ratio: float = 2.5, seed: int = SEED) -> DataFrame:
     """ML17: hard negatives up to half of the quota, the rest from the same files, in hashed order."""
+    positives, edges = settle(positives.select(*PAIR)), settle(edges.select("src", "dst").distinct())  # both are read again and again
     n = positives.count()
     target = int(n * ratio)
     hard = settle(first_by_key(hard_negatives(edges, positives), target // 2, seed).withColumn("type", F.lit("hard")))
@@ -221,6 +256,7 @@ def negatives(positives: DataFrame, nodes: DataFrame, edges: DataFrame, keys: li
 
 def static_samples(nodes: DataFrame, edges: DataFrame, keys: list[str], max_distance: int = 2, ratio: float = 2.5, intra_file: bool = True, seed: int = SEED) -> DataFrame:
     """ML18: positives within ``max_distance`` calls; negatives without a way, then filled from the same files."""
+    edges = settle(edges.select("src", "dst").distinct())
     pos = settle(distances(edges, max_distance).withColumn("label", F.lit(1)))
     target = int(pos.count() * ratio)
     far = unreachable_negatives(nodes, edges, max(1, int(ratio) + 1), seed).join(pos.select(*PAIR), PAIR, "left_anti")

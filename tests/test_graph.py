@@ -115,3 +115,29 @@ def test_candidates_of_files_cut_into_blocks(spark):
     got = [tuple(r) for r in c.select("func1", "func2").collect()]
     assert len(got) == len(set(got)) and set(got) == want | {(0, 1), (0, 3), (1, 3), (60, 61)}
     assert c._jdf.queryExecution().optimizedPlan().nodeName() == "Union"
+
+
+def test_first_by_key_is_the_head_of_the_order_and_gathers_nothing(spark):
+    """ST5 ST6: the same pairs as sorting all and taking the first, without a top-k of n rows in one task."""
+    import hashlib
+
+    pairs = [(a, a + k) for a in range(60) for k in (1, 2, 5)]
+    df = spark.createDataFrame(pairs, "func1 long, func2 long")
+    order = sorted((hashlib.md5("|".join([*sorted((str(a), str(b))), "42"]).encode()).hexdigest(), a, b) for a, b in pairs)
+    for n in (0, 1, 7, 100, len(pairs), 500):
+        out = graph.first_by_key(df, n)
+        assert sorted((x.func1, x.func2) for x in out.collect()) == sorted((a, b) for _, a, b in order[:n])
+    assert "GlobalLimit 100" not in graph.first_by_key(df, 100)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_walks_take_shortcuts_and_broadcast_nothing(spark):
+    """GR9: a long way is found in few rounds, and no table of a round goes through the driver."""
+    way = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(7, 3)], "src long, dst long")
+    more = graph.shortcuts(way)
+    assert {(r.src, r.dst) for r in more.collect()} >= {(i, i + k) for k in (1, 2) for i in range(50)}
+    hub = spark.createDataFrame([(i, 100) for i in range(50)] + [(100, i) for i in range(200, 250)], "src long, dst long")
+    assert graph.shortcuts(hub).count() == 100
+    pairs = spark.createDataFrame([(0, 60), (60, 5), (7, 3), (0, 99)], "func1 long, func2 long")
+    found = graph.reachable(pairs, way)
+    assert {(r.func1, r.func2) for r in found.collect()} == {(0, 60), (60, 5), (7, 3)}
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
