@@ -7,6 +7,8 @@ shuffle; the window over a pair and the aggregation by the pair share the next o
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -16,19 +18,36 @@ from ..functions.times import day_gap
 PAIR = ["func1", "func2"]
 
 
-def pair_events(touched: DataFrame, commits: DataFrame | None = None, max_nodes: int | None = None) -> DataFrame:
+#: Touched functions whose pairs one task makes, and pairs that one task counts, in the mean.
+TOUCHED_A_TASK, PAIRS_A_TASK = 500_000, 500_000
+
+
+def pair_events(touched: DataFrame, commits: DataFrame | None = None, max_nodes: int | None = None, dealt: bool = False, touched_a_task: int = TOUCHED_A_TASK, pairs_a_task: int = PAIRS_A_TASK) -> DataFrame:
     """JN10: a row for each pair func1 < func2 in a commit, with ts and author (JN9: null where unknown).
 
-    ``max_nodes`` leaves out commits with more distinct nodes; off by default.
+    ``max_nodes`` leaves out commits with more distinct nodes; off by default. Commits are dealt into as many partitions as
+    their functions take, so that what a task holds does not grow with the input; with ``dealt`` also the pairs, those of two functions
+    into one partition. That is for windows and for pairs that seldom recur; few pairs that recur often are better combined first.
     """
-    seen = touched.select("commit", "node").where("commit is not null and node is not null").distinct()
+    each = touched.where("commit is not null and node is not null").groupBy("commit").agg(F.count("*").cast("double").alias("n"))
+    rows, pairs = each.agg(F.sum("n"), F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()
+    parts = lambda n, a_task: math.ceil((n or 0) / a_task)
+    deal = lambda df, n, *by: df.repartition(n, *by) if n > 1 else df
+    into = parts(rows, touched_a_task)
+    seen = deal(touched.select("commit", "node").where("commit is not null and node is not null"), into, "commit").distinct()
     if max_nodes:
         seen = seen.withColumn("_n", F.count("*").over(W.partitionBy("commit"))).where(F.col("_n") <= max_nodes).drop("_n")
-    left = seen if commits is None else seen.join(commits.select("commit", "ts", "author", *[c for c in ("seq",) if c in commits.columns]), "commit", "left")
+    left = seen if commits is None else seen.join(deal(commits.select("commit", "ts", "author", *[c for c in ("seq",) if c in commits.columns]), into, "commit"), "commit", "left")
     a, b = left.alias("a"), seen.alias("b")
-    pairs = a.join(b, (F.col("a.commit") == F.col("b.commit")) & (F.col("a.node") < F.col("b.node")))
+    met = a.join(b, (F.col("a.commit") == F.col("b.commit")) & (F.col("a.node") < F.col("b.node")))
     rest = [F.col(f"a.{c}") for c in left.columns if c != "node"]
-    return pairs.select(F.col("a.node").alias("func1"), F.col("b.node").alias("func2"), *rest)
+    met = met.select(F.col("a.node").alias("func1"), F.col("b.node").alias("func2"), *rest)
+    return deal(met, parts(pairs, pairs_a_task), *PAIR) if dealt else met
+
+
+def pair_counts(touched: DataFrame, name: str = "cochange_count") -> DataFrame:
+    """AG8: (func1, func2, count) of the commits that touch both."""
+    return pair_events(touched, dealt=True).groupBy(*PAIR).agg(F.count("*").alias(name))
 
 
 def cochange_matrix(touched: DataFrame, commits: DataFrame, arrays: bool = False) -> DataFrame:
@@ -36,7 +55,7 @@ def cochange_matrix(touched: DataFrame, commits: DataFrame, arrays: bool = False
 
     A gap (WN1) is counted in whole days from the pair's previous commit that has a time.
     """
-    events = pair_events(touched, commits)
+    events = pair_events(touched, commits, dealt=True)
     order = ["ts", "seq"] if "seq" in events.columns else ["ts", "commit"]
     past = W.partitionBy(*PAIR).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     events = events.withColumn("gap", day_gap(F.last("ts", ignorenulls=True).over(past), F.col("ts")))

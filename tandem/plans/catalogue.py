@@ -156,7 +156,7 @@ def modify_count(spark, d):
 @query(f"WITH {_TOUCHED}, {_EVENTS} SELECT func1, func2, coalesce(strftime(min(ts), '%Y-%m-%d'), '') AS earliest FROM events_ GROUP BY 1, 2")
 def pair_earliest(spark, d):
     """AG11."""
-    e = mining.pair_events(touched(spark, d), commits(spark, d))
+    e = mining.pair_events(touched(spark, d), commits(spark, d), dealt=True)
     return e.groupBy("func1", "func2").agg(F.coalesce(F.date_format(F.min("ts"), "yyyy-MM-dd"), F.lit("")).alias("earliest"))
 
 
@@ -378,7 +378,7 @@ _POS = f"{_TOUCHED}, pos AS (SELECT a.node AS func1, b.node AS func2 FROM touche
 
 
 def _positives(spark, d):
-    return mining.pair_events(touched(spark, d)).groupBy("func1", "func2").agg(F.count("*").alias("n")).where("n >= 2").select("func1", "func2")
+    return mining.pair_counts(touched(spark, d), "n").where("n >= 2").select("func1", "func2")
 
 
 @query(f"WITH {_POS}, {_EDGES}, p AS (SELECT DISTINCT least(src, dst) AS func1, greatest(src, dst) AS func2 FROM edges WHERE src <> dst) SELECT func1, func2 FROM p ANTI JOIN pos USING (func1, func2)")
@@ -464,7 +464,7 @@ split_ AS (SELECT func1, func2, label, {_SPLIT} AS split FROM ranked)"""
 
 def _labeled(spark, d):
     pos = mining.cochange_matrix(touched(spark, d), commits(spark, d)).where("cochange_count >= 2")
-    pos = pos.select("func1", "func2", F.lit(1).alias("label"), F.date_format("first_ts", "yyyy-MM-dd").alias("first_ts"))
+    pos = settle(pos.select("func1", "func2", F.lit(1).alias("label"), F.date_format("first_ts", "yyyy-MM-dd").alias("first_ts")))
     neg = graph.hard_negatives(call_edges(spark, d), pos).withColumn("label", F.lit(0))
     return pos.unionByName(neg, allowMissingColumns=True)
 
@@ -803,7 +803,7 @@ SELECT func1 AS src, func2 AS dst, round(k / (k + 1), 6) AS weight FROM n WHERE
 )
 def threshold_edges(spark, d):
     """FLT15 GR8."""
-    p = mining.pair_events(touched(spark, d)).groupBy("func1", "func2").agg(F.count("*").alias("k")).withColumn("score", F.col("k") / (F.col("k") + 1))
+    p = mining.pair_counts(touched(spark, d), "k").withColumn("score", F.col("k") / (F.col("k") + 1))
     return models.threshold_edges(p, 0.6).withColumn("weight", F.round("weight", 6))
 
 
@@ -892,7 +892,7 @@ def adaptive_scaler(spark, d):
 @query(f"WITH {_POS}, {_EDGES}, q AS (SELECT CAST(floor(count(*) * 2.5) AS BIGINT) // 2 AS n FROM pos), p AS (SELECT DISTINCT least(src, dst) AS func1, greatest(src, dst) AS func2 FROM edges WHERE src <> dst), h AS (SELECT func1, func2, row_number() OVER (ORDER BY {_KEY}, func1, func2) AS r FROM p ANTI JOIN pos USING (func1, func2)) SELECT func1, func2 FROM h, q WHERE r <= n")
 def negatives_quota(spark, d):
     """ML17 ST5 ST9: hard negatives up to half of the quota."""
-    pos = _positives(spark, d)
+    pos = settle(_positives(spark, d))
     half = ordering.quota(pos.count(), 2.5)[1]
     return graph.first_by_key(graph.hard_negatives(call_edges(spark, d), pos), half)
 

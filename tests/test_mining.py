@@ -90,3 +90,15 @@ def test_recent(spark):
     assert [r.commit for r in ordering.newest(c, 2).collect()] == ["c3", "c2"]
     seq = c.withColumn("seq", F.col("commit"))
     assert ordering.first_commits(seq, 0).count() == 3 and [r.commit for r in ordering.first_commits(seq, 1).collect()] == ["c1"]
+
+
+def test_pairs_are_dealt_by_their_number(spark):
+    """JN10 AG8: partitions grow with the touched functions and the pairs, and the rows stay the same."""
+    rows = [(c, n) for c in range(40) for n in range(c % 9)] + [(1, None), (None, 3), (8, 2)]
+    df = spark.createDataFrame(rows, "commit int, node int")
+    plain = sorted(map(tuple, mining.pair_events(df).collect()))
+    made = mining.pair_events(df, dealt=True, touched_a_task=10, pairs_a_task=8)
+    assert sorted(map(tuple, made.collect())) == plain and len(plain) == sum(math.comb(c % 9, 2) for c in range(40))
+    assert made.rdd.getNumPartitions() >= len(plain) // 8
+    got = {(r.func1, r.func2): r.cochange_count for r in mining.pair_counts(df).collect()}
+    assert got == {(a, b): sum((x, y) == (a, b) for x, y, _ in plain) for a, b, _ in plain}
