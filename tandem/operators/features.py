@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.vectors import pair_vector, standardize, zeros
+from .state import settle
 
 TOKEN = r"[\p{L}\p{N}_]{2,}"
 VOCABULARY = 256
@@ -27,12 +28,25 @@ def vocabulary(counts: DataFrame, size: int = VOCABULARY) -> DataFrame:
     return t.orderBy(F.desc("total"), "term").limit(size).withColumn("position", F.row_number().over(W.orderBy("term")) - 1)
 
 
-def tfidf(counts: DataFrame, terms: DataFrame, n: DataFrame, key: str = "id") -> DataFrame:
-    """ML1, ML2: (key, term, position, weight) in long form; ``n`` is a one-row frame (n) of the fitted texts.
+def vocabulary_weights(bodies: DataFrame, key: str = "id", text: str = "text", size: int = VOCABULARY) -> DataFrame:
+    """ML1, ML2: the weights of :func:`tfidf` of all ``bodies``, fitted on them. Terms are chosen by their totals, which need no
+    counts by text; only the words of the chosen ones are dealt out, each as its position."""
+    words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(TOKEN), F.lit(0))
+    total = bodies.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("total"))
+    chosen = settle(total.orderBy(F.desc("total"), "term").limit(size).withColumn("position", F.row_number().over(W.orderBy("term")) - 1))
+    few = bodies.select(key, F.explode(words).alias("term")).join(F.broadcast(chosen.select("term", "position")), "term")
+    tf = settle(few.groupBy(key, "position").agg(F.count("*").alias("tf")))
+    terms = chosen.select("term", "position").join(tf.groupBy("position").agg(F.count("*").alias("df")), "position")
+    return tfidf(tf, terms, bodies.agg(F.count("*").alias("n")), key, "position")
+
+
+def tfidf(counts: DataFrame, terms: DataFrame, n: DataFrame, key: str = "id", by: str = "term") -> DataFrame:
+    """ML1, ML2: (key, term, position, weight) in long form; ``n`` is a one-row frame (n) of the fitted texts. ``counts`` has the
+    terms themselves, or their positions if told so by ``by``.
 
     The vocabulary has a fixed size, so it is broadcast; the length of a text's vector comes from a window on its key.
     """
-    t = counts.join(F.broadcast(terms.select("term", "df", "position")), "term")
+    t = counts.join(F.broadcast(terms.select("term", "df", "position")), by)
     t = t.withColumn("raw", F.col("tf") * (F.log((1 + n.scalar()) / (1 + F.col("df"))) + 1))
     return t.select(key, "term", "position", (F.col("raw") / F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(W.partitionBy(key)))).alias("weight"))
 

@@ -711,9 +711,7 @@ SELECT id AS doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY id)), 6)
 )
 def tfidf_weights(spark, d):
     """ML1 ML2."""
-    docs = table(spark, d, "documents")
-    counts = features.term_counts(docs, "doc_id")
-    w = features.tfidf(counts, features.vocabulary(counts), docs.agg(F.count("*").alias("n")), "doc_id")
+    w = features.vocabulary_weights(table(spark, d, "documents"), "doc_id")
     return w.select("doc_id", "term", F.round("weight", 6).alias("weight"))
 
 

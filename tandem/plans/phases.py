@@ -102,8 +102,7 @@ def analyze(p: Project, source_dir: str | None = None) -> DataFrame:
 def extract_features(p: Project, embedder=None, vocabulary: int = features.VOCABULARY, embedding: int = features.EMBEDDING) -> DataFrame:
     """E15: TF-IDF padded to ``vocabulary``, embedding, metrics."""
     f = p.read("functions").withColumn("id", F.col("node_id"))
-    counts = features.term_counts(f, "id", "body_code")
-    weights = features.tfidf(counts, features.vocabulary(counts, vocabulary), f.agg(F.count("*").alias("n")))
+    weights = features.vocabulary_weights(f, "id", "body_code", vocabulary)
     tfidf = features.dense(weights, f, vocabulary).withColumnRenamed("id", "node_id")
     v = f.join(tfidf, "node_id").join(features.embed(f, embedder, dim=embedding), "node_id")
     return p.write(features.function_vector(v).select("node_id", "features"), "features")

@@ -78,3 +78,15 @@ def test_embedding_cache(spark):
     got = {r.node_id: r.embedding for r in features.embed(f, embedder, cache, dim=2).collect()}
     assert got == {"a": [3.0, 1.0], "b": [0.0, 0.0], "c": [9.0, 9.0]}
     assert features.embed(f, dim=3).first().embedding == [0.0, 0.0, 0.0]
+
+
+def test_weights_of_the_chosen_terms_only(spark):
+    """ML1 ML2: what counting every word of every text gives, also for ids that are shared or missing; only the chosen terms' words are dealt out."""
+    rows = [("d1", "Foo bar bar x"), ("d2", "bar baz"), ("d1", "foo baz bar"), (None, "foo q1 q2"), (None, "foo"), ("d3", None), ("d4", "q1 q2 q3 q4 q5")]
+    df = spark.createDataFrame(rows, "id string, text string")
+    c = features.term_counts(df)
+    key = lambda r: (str(r.id), r.term, r.position, round(r.weight, 9))
+    for size in (1, 2, 4, 256):
+        want = features.tfidf(c, features.vocabulary(c, size), df.selectExpr("count(*) as n"))
+        assert sorted(map(key, features.vocabulary_weights(df, size=size).collect())) == sorted(map(key, want.collect()))
+    assert "regexp_extract_all" not in features.vocabulary_weights(df)._jdf.queryExecution().executedPlan().toString()
