@@ -19,6 +19,12 @@ def _ready(df: DataFrame) -> DataFrame:
     return df.withColumn("_x", array_to_vector("features"))
 
 
+def gathered(df: DataFrame) -> DataFrame:
+    """``df`` in no more partitions than the cluster runs at once. Each level of each tree sends its bins from every partition
+    through a shuffle, whatever the rows of a partition, so more of them add to that and to nothing else."""
+    return df.coalesce(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def train(df: DataFrame, balanced: bool = True, **settings) -> Model:
     """ML11: (features, label) to a model; positives weigh as much as there are negatives for each of them."""
     data, extra = _ready(df.select("features", F.col("label").cast("double").alias("label"))), {}
@@ -26,7 +32,7 @@ def train(df: DataFrame, balanced: bool = True, **settings) -> Model:
         c = df.agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") == 0).alias("n")).first()
         data = data.withColumn("_w", F.when(F.col("label") == 1, float(c["n"]) / c["p"] if c["p"] else 1.0).otherwise(1.0))
         extra = {"weightCol": "_w"}
-    return GBTClassifier(featuresCol="_x", labelCol="label", **(SINGLE | settings), **extra).fit(data)
+    return GBTClassifier(featuresCol="_x", labelCol="label", **(SINGLE | settings), **extra).fit(gathered(data))
 
 
 def train_joint(projects: dict[str, DataFrame], **settings) -> Model:

@@ -90,3 +90,22 @@ def test_weights_of_the_chosen_terms_only(spark):
         want = features.tfidf(c, features.vocabulary(c, size), df.selectExpr("count(*) as n"))
         assert sorted(map(key, features.vocabulary_weights(df, size=size).collect())) == sorted(map(key, want.collect()))
     assert "regexp_extract_all" not in features.vocabulary_weights(df)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_training_is_in_no_more_partitions_than_cores(spark, monkeypatch):
+    """ML11: what the trees shuffle grows with the partitions of the rows, not with the rows."""
+    from tandem.operators import models
+
+    seen = []
+
+    class Fitter:
+        def __init__(self, **settings):
+            pass
+
+        def fit(self, df):
+            seen.append((df.rdd.getNumPartitions(), df.count()))
+
+    monkeypatch.setattr(models, "GBTClassifier", Fitter)
+    df = spark.range(200, numPartitions=50).selectExpr("array(cast(id as double)) as features", "cast(id % 2 as int) as label")
+    models.train(df)
+    assert seen == [(spark.sparkContext.defaultParallelism, 200)]
