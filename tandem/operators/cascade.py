@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.paths import basename, import_file, stem
@@ -18,14 +19,14 @@ from .nearest import BLOCK, likely_best
 from .state import settle
 
 
-def best_match(rows: DataFrame, key: str, rules: Sequence[DataFrame]) -> DataFrame:
-    """``rows`` with (node_id, rule): the candidate of the first rule that has one, lowest seq first; null if none."""
+def best_match(rows: DataFrame, key: str, rules: Sequence[DataFrame], give: Sequence[str] = ("node_id", "rule")) -> DataFrame:
+    """``rows`` with (node_id, rule), or what else of (rule, seq, node_id) is asked for: the candidate of the first rule that has one, lowest seq first; null if none."""
     found = None
     for i, rule in enumerate(rules, 1):
         part = rule.select(key, F.struct(F.lit(i).alias("rule"), "seq", "node_id").alias("m"))
         found = part if found is None else found.unionByName(part)
     best = found.groupBy(key).agg(F.min("m").alias("m"))
-    return rows.join(best, key, "left").select(*[rows[c] for c in rows.columns], F.col("m.node_id").alias("node_id"), F.col("m.rule").alias("rule"))
+    return rows.join(best, key, "left").select(*[rows[c] for c in rows.columns], *[F.col(f"m.{c}").alias(c) for c in give])
 
 
 def last_by(functions: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -100,13 +101,32 @@ def match_similar(hist: DataFrame, functions: DataFrame, key: str = "hist_id", v
 
 def resolve_callees(calls: DataFrame, functions: DataFrame, imports: DataFrame, key: str = "call_id") -> DataFrame:
     """JN6: calls (call_id, path, class_name, called) to functions (node_id, path, class_name, name, seq);
-    ``imports`` has (path, alias, target).
+    ``imports`` has (path, alias, target). See :func:`resolve_names` for the rules.
+
+    What a call finds depends on its file, class and name only, so each of these is resolved once and the calls meet the result
+    in one join. Rows that share an id get the best that any of them finds.
+    """
+    calls = settle(calls)
+    by = ["path", "class_name", "called"]
+    asked = settle(calls.select(*by).distinct().withColumn("_ask", F.monotonically_increasing_id()))
+    found = resolve_names(asked, functions, imports, "_ask").select(*[F.col(c).alias(f"_{c}") for c in by], F.struct("rule", "seq", "node_id").alias("_m"))
+    on = F.lit(True)
+    for c in by:
+        on = on & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    out = calls.join(found, on, "left").withColumn("_m", F.when(F.col("_m.rule").isNotNull(), F.col("_m")))
+    again = calls.select(F.xxhash64(key).alias("h")).groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    if not again.isEmpty():
+        out = out.withColumn("_m", F.min("_m").over(W.partitionBy(key)))
+    return out.select(*calls.columns, F.col("_m.node_id").alias("node_id"), F.col("_m.rule").alias("rule"))
+
+
+def resolve_names(calls: DataFrame, functions: DataFrame, imports: DataFrame, key: str) -> DataFrame:
+    """``calls`` with (rule, seq, node_id), null if nothing is found.
 
     A dotted call tries 1 its own file and class, 2 its receiver among the file's imports, 3 its own file.
     A plain call tries 4 its own file, 5 the imports, 6 a name that only one function has, 7 a file of
     the same stem, 8 the first function of that name.
     """
-    calls = settle(calls)  # every rule reads them
     c = calls.withColumn("receiver", F.regexp_extract("called", r"^(.*)\.[^.]*$", 1)).withColumn("method", F.element_at(F.split("called", r"\."), -1))
     dotted, plain = c.where(F.col("receiver") != ""), c.where(F.col("receiver") == "")
     f = functions.select("node_id", "path", "class_name", "name", "seq")
@@ -132,7 +152,7 @@ def resolve_callees(calls: DataFrame, functions: DataFrame, imports: DataFrame,
         by_name(plain.drop("class_name")).withColumn("st", stem(F.col("path"))).drop("path").join(first_by(f.withColumn("st", stem(F.col("path"))), ["st", "name"]), ["st", "name"]),
         by_name(plain.drop("class_name", "path")).join(first_by(f, ["name"]), "name"),
     ]
-    return best_match(calls, key, [r.select(key, "node_id", "seq") for r in rules])
+    return best_match(calls, key, [r.select(key, "node_id", "seq") for r in rules], ["rule", "seq", "node_id"])
 
 
 def defaulted(metadata: DataFrame) -> DataFrame:

@@ -56,3 +56,17 @@ def test_most_similar_in_blocks(spark):
         assert got == {i: (node, bad, s) for i, (bad, s, _, node) in want.items()}
     few = nearest.likely_best(h, f.select("name", "path", "vector", "seq"), 0.5, 0.2, 0.1)
     assert few.count() < len(hist) * len(functions) / 8
+
+
+def test_names_are_resolved_once(spark):
+    """JN6: calls of one file, class and name share a lookup, nulls too; rows that share an id get the best of them."""
+    f = spark.createDataFrame([("n1", "a.py", "A", "go", 1), ("n2", "b.py", None, "run", 2), ("n3", "c.py", None, "go", 3)], "node_id string, path string, class_name string, name string, seq long")
+    i = spark.createDataFrame([("b.py", "a", "a")], "path string, alias string, target string")
+    calls = [(k, "a.py", "A", "self.go") for k in range(20)] + [(20, "b.py", None, "a.go"), (21, "b.py", None, "run"), (22, None, None, "go"), (23, "x.py", "B", "none"), (24, "x.py", None, None)]
+    calls += [(25, "x.py", None, "go"), (25, "c.py", None, "go"), (25, "x.py", None, "none")]
+    c = spark.createDataFrame(calls, "call_id long, path string, class_name string, called string")
+    got = sorted((r.call_id, str(r.path), r.node_id, r.rule) for r in cascade.resolve_callees(c, f, i).collect())
+    want = [(k, "a.py", "n1", 1) for k in range(20)] + [(20, "b.py", "n1", 2), (21, "b.py", "n2", 4), (22, "None", "n1", 8), (23, "x.py", None, None), (24, "x.py", None, None)]
+    assert got == sorted(want + [(25, p, "n3", 4) for p in ("x.py", "c.py", "x.py")])
+    few = cascade.resolve_callees(c.where("call_id < 24"), f, i)
+    assert "Aggregate" not in few._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
