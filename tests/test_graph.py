@@ -141,3 +141,12 @@ def test_walks_take_shortcuts_and_broadcast_nothing(spark):
     found = graph.reachable(pairs, way)
     assert {(r.func1, r.func2) for r in found.collect()} == {(0, 60), (60, 5), (7, 3)}
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_positives_and_edges_are_made_once(spark):
+    """ML17: what makes the positives and the edges is no part of the result's plan, where it would run again."""
+    nodes = spark.createDataFrame([(i, f"f{i // 4}") for i in range(16)], "node long, file string")
+    pos = spark.range(0, 8, 4).selectExpr("id as func1", "id + 1 as func2")
+    e = spark.range(0, 8).selectExpr("id as src", "id + 2 as dst")
+    out = graph.negatives(pos, nodes, e, ["file"])
+    assert out.count() == 5 and "Range" not in out._jdf.queryExecution().optimizedPlan().toString()
